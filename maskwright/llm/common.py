@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..deploy import ship
 
 #: Rows and bytes in one Arrow batch: very long texts must not meet by thousands in a worker.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
