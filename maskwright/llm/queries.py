@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secret_scan, sharding, url_filter
+from . import packing, secret_scan, sharding, token_files, url_filter
 from .common import table
 from .tokens import tokenizer_file
 
@@ -25,7 +25,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op5_packing, op6_url_filter)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).read())
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op5_packing, op6_url_filter, op9_token_files)}
 
 SQL: dict[str, str] = {}
 
