@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secret_scan, sharding, token_files, url_filter
+from . import html_extract, packing, secret_scan, sharding, token_files, url_filter
 from .common import table
 from .tokens import tokenizer_file
 
@@ -29,7 +29,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).read())
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op5_packing, op6_url_filter, op9_token_files)}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op5_packing, op6_url_filter, op9_token_files, op10_html_extract)}
 
 SQL: dict[str, str] = {}
 
