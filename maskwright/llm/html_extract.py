@@ -158,6 +158,7 @@ LABELLED = (
     (1, 300, 0.02, 1, 0.0, 2, 0.0, 1), (1, 18, 0.6, 33, 0.0, 29, 0.1, 1), (1, 4, 0.0, 3, 0.0, 5, 0.0, 1), (1, 1, 0.0, 1, 0.0, 1, 0.0, 1),
     (1, 5, 0.0, 30, 0.0, 4, 1.0, 1), (1, 10, 0.0, 3, 1.0, 6, 0.9, 1), (1, 20, 0.1, 10, 0.0, 3, 1.0, 1), (1, 2, 0.0, 9, 0.2, 1, 1.0, 1),
     (1, 8, 0.0, 1, 1.0, 1, 1.0, 1), (1, 50, 0.1, 2, 1.0, 3, 1.0, 1), (1, 7, 0.2, 40, 0.0, 2, 0.8, 1), (1, 1, 0.0, 2, 1.0, 2, 1.0, 1),
+    (1, 12, 0.0, 6, 1.0, 0, 0.0, 1), (1, 3, 0.0, 2, 1.0, 0, 0.0, 1), (1, 40, 0.1, 3, 1.0, 0, 0.0, 1), (1, 1, 0.2, 1, 0.9, 0, 0.0, 1),
     (1, 2, 0.5, 3, 0.0, 1, 0.0, 1), (1, 4, 0.75, 5, 0.0, 20, 0.0, 1), (1, 1, 1.0, 10, 0.0, 12, 0.0, 1), (1, 6, 1.0, 15, 0.0, 8, 0.0, 1),
     (1, 10, 0.5, 2, 0.0, 30, 0.0, 1), (1, 8, 1.0, 20, 0.0, 0, 0.0, 1), (1, 3, 0.6, 4, 0.2, 6, 0.2, 1), (1, 30, 0.8, 9, 0.5, 12, 0.3, 1),
     (0, 2, 0.0, 20, 0.0, 17, 0.0, 1), (0, 1, 0.0, 18, 0.0, 25, 0.0, 1), (0, 3, 0.0, 16, 0.0, 19, 0.0, 1), (0, 4, 0.0, 12, 0.0, 30, 0.0, 1),
