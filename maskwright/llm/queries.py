@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, packing, secret_scan, sharding, token_files, url_filter
+from . import html_extract, packing, quality, secret_scan, sharding, token_files, url_filter
 from .common import table
 from .tokens import tokenizer_file
 
@@ -25,6 +25,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).read())
 
@@ -33,7 +38,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op5_packing, op6_url_filter, op9_token_files, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op5_packing, op6_url_filter, op7_quality_rules, op9_token_files, op10_html_extract)}
 
 SQL: dict[str, str] = {}
 
