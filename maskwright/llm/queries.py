@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, packing, quality, secret_scan, sharding, token_files, url_filter
+from . import html_extract, ngram_join, packing, quality, secret_scan, sharding, token_files, url_filter
 from .common import table
 from .tokens import tokenizer_file
 
@@ -17,6 +17,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
@@ -38,7 +42,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op5_packing, op6_url_filter, op7_quality_rules, op9_token_files, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_ngram_join, op5_packing, op6_url_filter, op7_quality_rules, op9_token_files, op10_html_extract)}
 
 SQL: dict[str, str] = {}
 
