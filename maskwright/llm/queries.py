@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, ngram_join, packing, quality, secret_scan, sharding, token_files, url_filter
+from . import chat_format, decontaminate, html_extract, ngram_join, packing, quality, secret_scan, sharding, token_files, url_filter
 from .common import table
 from .tokens import tokenizer_file
 
@@ -21,6 +21,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
@@ -34,6 +38,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_texts(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).read())
 
@@ -42,7 +50,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_ngram_join, op5_packing, op6_url_filter, op7_quality_rules, op9_token_files, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_sharding, op3_ngram_join, op4_decontaminate, op5_packing, op6_url_filter, op7_quality_rules, op8_chat_format, op9_token_files, op10_html_extract)}
 
 SQL: dict[str, str] = {}
 
@@ -63,3 +71,4 @@ SELECT page_id, host, path, {rule} AS rule, {said} AS verdict, n_strict, n_soft
 
 
 SQL["op6_url_filter"] = _url_sql()
+SQL["op8_chat_format"] = chat_format.SQL
