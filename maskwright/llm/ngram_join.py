@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Stages, mix, partitions, pieces, session, span_hashes, word_spans
@@ -116,13 +116,13 @@ def _slots(tokens: np.ndarray, n: int) -> np.ndarray:
 
 
 def _send(n: int):
-    """docs(doc_id, text) -> parcels of tokens by range, and of owners."""
+    """docs(doc_id, text, h) -> parcels of tokens by range, and of owners; h is a hash of the row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
         flush = TaskContext.get().partitionId() << 24
-        ids, names, sizes, tokens = [], [], [], []
+        ids, marks, names, sizes, tokens = [], [], [], [], []
         held = 0
 
         def out():
@@ -133,7 +133,7 @@ def _send(n: int):
             every, owner = every[order], owner[order]
             cut = np.searchsorted(slot[order], np.arange(n + 1))
             known = np.array([i is not None for i in ids])
-            rows = [(flush % n, flush, 0, np.array([i or 0 for i in ids], np.int64).tobytes() + known.tobytes(), np.array(sizes, np.int64).tobytes(), np.array(names, np.int64).tobytes())]
+            rows = [(flush % n, flush, 0, np.array([i or 0 for i in ids], np.int64).tobytes() + known.tobytes(), np.array([sizes, marks], np.int64).tobytes(), np.array(names, np.int64).tobytes())]
             for s in range(n):
                 if cut[s + 1] > cut[s]:
                     part = slice(cut[s], cut[s + 1])
@@ -141,10 +141,11 @@ def _send(n: int):
             return _parcels(rows)
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, _j, data, offs in pieces(batch, "text", 4 << 20):
                 for k, (own, name) in enumerate(_sets(data, offs)):
                     ids.append(doc_ids[i + k])
+                    marks.append(hashes[i + k])
                     names.append(name)
                     sizes.append(len(own))
                     tokens.append(own)
@@ -152,7 +153,7 @@ def _send(n: int):
                     if held >= FLUSH or len(ids) >= 60_000:
                         yield out()
                         flush, held = flush + 1, 0
-                        ids, names, sizes, tokens = [], [], [], []
+                        ids, marks, names, sizes, tokens = [], [], [], [], []
         if ids:
             yield out()
 
@@ -191,7 +192,7 @@ def _count(batches: Iterator[pa.RecordBatch]):
             yield _parcels(rows)
 
 
-_SETS = "kind int, doc_id bigint, n bigint, name bigint, rare bigint, tokens binary"
+_SETS = "kind int, doc_id bigint, h bigint, n bigint, name bigint, rare bigint, tokens binary"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]):
@@ -200,16 +201,16 @@ def _gather(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for flush, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True):
             held[flush].append((kind, a, b, c))
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    fields = ["kind", "doc_id", "n", "name", "rare", "tokens"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    fields = ["kind", "doc_id", "h", "n", "name", "rare", "tokens"]
     for flush in list(held):
         parts = held.pop(flush)
         a, b, c = next(p[1:] for p in parts if p[0] == 0)
-        sizes, names = np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)
+        (sizes, marks), names = np.frombuffer(b, np.int64).reshape(2, -1), np.frombuffer(c, np.int64)
         m = len(sizes)
         ids, known = np.frombuffer(a[: 8 * m], np.int64), np.frombuffer(a[8 * m :], bool)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(m, np.int32)), pa.array(ids, mask=~known), pa.array(sizes), pa.array(names), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], fields
+            [pa.array(np.zeros(m, np.int32)), pa.array(ids, mask=~known), pa.array(marks), pa.array(sizes), pa.array(names), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], fields
         )
         parts = [p for p in parts if p[0] == 1]
         if not parts:
@@ -234,7 +235,7 @@ def _gather(batches: Iterator[pa.RecordBatch]):
         for i in range(0, len(live), 2000):
             some = live[i : i + 2000]
             blobs = [_pack6(tokens[cut[k] : cut[k + 1]]) for k in some]
-            values = [np.ones(len(some), np.int32), [None] * len(some), sizes[some], names[some], rare[some].astype(np.int64), blobs]
+            values = [np.ones(len(some), np.int32), [None] * len(some), [None] * len(some), sizes[some], names[some], rare[some].astype(np.int64), blobs]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], fields)
 
 
@@ -424,17 +425,16 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of docs(doc_id, text)."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, h (a hash of the text), n and root (null: an empty set) for every row."""
     spark = session(docs.sparkSession)
     stages, n = Stages(spark, "ngram-join"), partitions(spark)
-    id_type = docs.schema["doc_id"].dataType
-    parcels = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_send(n), _PARCEL)
+    parcels = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_hash(F.col("text")).alias("h")).mapInArrow(_send(n), _PARCEL)
     counted = parcels.repartitionById(n, "slot").mapInArrow(_count, _PARCEL)
     known = stages.write(counted.repartition(n, "flush").mapInArrow(_gather, _SETS), codec="none")
     del parcels, counted
     stages.tidy()
-    rows = known.where("kind = 0").select("doc_id", "n", "name")
+    rows = known.where("kind = 0").select("doc_id", "h", "n", "name")
     sets = stages.write(known.where("kind = 1").select("n", "name", "rare", "tokens").dropDuplicates(["name"]), codec="none")
     found = sets.mapInArrow(_sign(n), _PARCEL).repartitionById(n, "slot").mapInArrow(_meet, _FOUND)
     found = stages.write(found)
@@ -464,8 +464,42 @@ def join(docs: DataFrame) -> DataFrame:
         members = open_lists.join(picked.select("signature", F.col("pivot").alias("name")), ["signature", "name"], "left_anti").select("signature", "name", "n")
         pivots *= 8
     rows = rows.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
-    rows = rows.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "name")))
+    return rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "name")).alias("root"))
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of docs(doc_id, text)."""
+    id_type = docs.schema["doc_id"].dataType
+    rows = _placed(docs)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     least = least.where("copies > 1").select("root", "least")
-    rows = rows.join(least, "root", "left")
-    return rows.select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("least").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).cast(id_type).alias("component_id"))
+    own = F.coalesce("least", "doc_id")
+    return rows.join(least, "root", "left").select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("n").alias("n_shingles"), own.cast(id_type).alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all columns of docs: that of least doc_id (then text hash; null ids last). Rows with an empty set all stay."""
+    stages = Stages(docs.sparkSession, "representatives")
+    placed = stages.write(_placed(docs))
+    best = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("best"))
+    empty = placed.where("root is null").select("doc_id", "h").distinct()
+    kept = best.select("best.doc_id", "best.h").unionByName(empty).select(F.col("doc_id").alias("k0"), F.col("h").alias("k1"))
+    again = placed.where("root is not null").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("k0"), F.col("h").alias("k1"))
+    again = stages.write(again)
+    # The rows' own columns get other names meanwhile, whatever they are called.
+    names = docs.columns
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    doc_id, mark = F.col(f"c{names.index('doc_id')}").cast("bigint"), _text_hash(F.col(f"c{names.index('text')}"))
+
+    def among(rows, keys, how):
+        return rows.join(keys, doc_id.eqNullSafe(F.col("k0")) & (mark == F.col("k1")), how)
+
+    rows = among(rows, kept, "left_semi")
+    if not again.isEmpty():  # repeated rows: one of each
+        once = among(rows, again, "left_semi").withColumn("k0", doc_id).withColumn("k1", mark).dropDuplicates(["k0", "k1"]).drop("k0", "k1")
+        rows = among(rows, again, "left_anti").unionByName(once)
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
