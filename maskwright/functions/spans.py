@@ -22,6 +22,11 @@ def fenceable(text: Column) -> Column:
     return F.translate(text, OPEN + CLOSE, PLACEHOLDER)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value written and computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, body: str, before: str = "", guard: Column | None = None) -> Column:
     """All matches: ranges of what ``body`` matches right after ``before``. guard: a condition that any text with a match fulfils."""
     fenced = F.regexp_replace(text, FLAGS + f"({before})({body})", f"$1{OPEN}$2{CLOSE}")

@@ -16,13 +16,13 @@ _J = S.FLAGS
 
 def _around(text: Column, kind: str, anchor: Column) -> Column:
     """A struct of the address about an anchor: start, end and whether it is one."""
-    head = S.before(text, anchor, X.ADDRESS_LOOKBACK)
-    left = F.greatest(F.lit(0), anchor["start"] - X.ADDRESS_LOOKBACK)
-    cut = F.length(F.regexp_extract(head, f"{_J}(?s)^.*{X.ADDRESS_BOUNDARY}", 0))
-    # a boundary may look at what follows the head, so one is looked for only within it
-    rest = F.substring(head, cut + 1, F.length(head))
-    chunk = F.ltrim(rest, F.lit(X.ADDRESS_LEAD))
-    start = left + cut + F.length(rest) - F.length(chunk)
+    # what lies between the last boundary in the window (or its begin) and the anchor, without its leading marks
+    head = F.regexp_replace(S.before(text, anchor, X.ADDRESS_LOOKBACK), f"{_J}(?s)^.*{X.ADDRESS_BOUNDARY}", "")
+    return S.let(F.ltrim(head, F.lit(X.ADDRESS_LEAD)), lambda chunk: _judged(text, kind, anchor, chunk))
+
+
+def _judged(text: Column, kind: str, anchor: Column, chunk: Column) -> Column:
+    start = anchor["start"] - F.length(chunk)
     tail = F.length(F.regexp_extract(F.substring(text, anchor["end"] + 1, F.length(text)), f"{_J}(?i)^{X.ADDRESS_TAIL}", 0))
     good = F.regexp_count(chunk, F.lit("[A-Za-z]{3,}")) >= 2
     if kind != "us":

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import cut
 from ..functions import fixed as X
 from ..functions import hygiene as H
 from ..functions import names as N
@@ -53,14 +54,20 @@ def lower_vocab(paras: DataFrame) -> DataFrame:
 
 def words(text: Column, pattern: str = X.WORD) -> Column:
     """The words of a text: start, end, token, norm and the gap before each."""
-    found = S.matches(text, pattern)
 
-    def one(w: Column, i: Column) -> Column:
-        last = F.when(i > 0, F.try_element_at(found, i)["end"]).otherwise(0)
-        token = S.part(text, w)
-        return F.struct(w["start"].alias("start"), w["end"].alias("end"), token.alias("token"), H.norm(token).alias("norm"), F.substring(text, last + 1, w["start"] - last).alias("gap"))
+    def within(t: Column) -> Column:
+        def linked(found: Column) -> Column:
+            ends = F.concat(F.array(F.lit(0)), F.transform(found, lambda w: w["end"]))
 
-    return F.transform(found, one)
+            def one(w: Column, last: Column) -> Column:
+                token, gap = S.part(t, w), F.substring(t, last + 1, w["start"] - last)
+                return F.struct(w["start"].alias("start"), w["end"].alias("end"), token.alias("token"), H.norm(token).alias("norm"), gap.alias("gap"))
+
+            return F.zip_with(found, F.slice(ends, F.lit(1), F.size(found)), one)
+
+        return S.let(S.matches(t, pattern), linked)
+
+    return S.let(text, within)
 
 
 def _known(name: Column) -> Column:
@@ -179,11 +186,12 @@ def place_tokens(paras: DataFrame, proposals: DataFrame) -> DataFrame:
 
 def learn(paras: DataFrame, proposals: DataFrame | None = None) -> Lexicon:
     """The lexicon of every document."""
-    vocabulary = lower_vocab(paras)
-    named = org_names(paras)
-    core = org_core(named, vocabulary)
+    # written once each: everything later joins with them
+    vocabulary = cut(lower_vocab(paras))
+    named = cut(org_names(paras))
+    core = cut(org_core(named, vocabulary))
     places = place_tokens(paras, proposals) if proposals is not None else None
-    phrases = person_phrases(paras, vocabulary, places, proposals)
+    phrases = cut(person_phrases(paras, vocabulary, places, proposals))
     support = token_support(phrases)
     tokens = support.where((F.col("support") >= 2) | (_known(F.col("token")) & (F.length("token") >= 4))).select("doc_id", "token")
     return Lexicon(vocabulary, phrases, tokens, core, localities(paras, vocabulary, core), named, places)

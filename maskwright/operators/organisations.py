@@ -14,12 +14,18 @@ _J = S.FLAGS
 
 def _clipped(text: Column, span: Column) -> Column:
     """The span without leading words that don't belong to the name."""
-    words = S.matches(S.part(text, span), r"\S+")
-    plain = lambda w: F.lower(F.trim(F.trim(S.part(S.part(text, span), w), F.lit("()&,")), F.lit(".")))
-    trims = F.transform(words, lambda w: plain(w).isin(*X.TRIM))
-    first = F.aggregate(trims, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, t: F.struct((a["n"] + (a["go"] & t).cast("int")).alias("n"), (a["go"] & t).alias("go")))["n"]
-    first = F.least(first, F.size(words) - 1)
-    return F.when(F.size(words) > 0, F.struct((span["start"] + F.element_at(words, first + 1)["start"]).alias("start"), span["end"].alias("end")))
+
+    def clip(name: Column) -> Column:
+        def start(words: Column) -> Column:
+            plain = lambda w: F.lower(F.trim(F.trim(S.part(name, w), F.lit("()&,")), F.lit(".")))
+            kept = F.filter(words, lambda w: ~plain(w).isin(*X.TRIM))
+            # the first word that belongs to a name, at the latest the last word
+            return F.coalesce(F.try_element_at(kept, F.lit(1)), F.try_element_at(words, F.lit(-1)))["start"]
+
+        return S.let(S.matches(name, r"\S+"), start)
+
+    begin = S.let(S.part(text, span), clip)
+    return F.when(begin.isNotNull(), F.struct((span["start"] + begin).cast("int").alias("start"), span["end"].alias("end")))
 
 
 def organisation_spans(text: Column) -> Column:

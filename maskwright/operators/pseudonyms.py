@@ -13,9 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import cut
 from ..functions import fixed as X
 from ..functions import hygiene as H
 from ..functions import names as N
+from ..functions.spans import let
 from ..functions.validators import digits, luhn_sum
 
 SEED = "maskwright"
@@ -79,15 +81,16 @@ def aadhaar(value: Column, seed: str = SEED) -> Column:
 
 def card(value: Column, seed: str = SEED) -> Column:
     """Same first digit, length and grouping, with a valid check digit."""
-    n = digits(value)
-    body = F.concat(F.substring(n, 1, 1), F.substring(stream(seed, "card", n), F.lit(1), F.length(n) - 2))
-    check = (F.lit(10) - luhn_sum(F.concat(body, F.lit("0")))) % 10
-    return fill(value, F.concat(body, check.cast("string")))
+    body = let(digits(value), lambda n: F.concat(F.substring(n, 1, 1), F.substring(stream(seed, "card", n), F.lit(1), F.length(n) - 2)))
+    return fill(value, let(body, lambda b: F.concat(b, ((F.lit(10) - luhn_sum(F.concat(b, F.lit("0")))) % 10).cast("string"))))
 
 
 def phone(value: Column, seed: str = SEED) -> Column:
     """Same layout and country code; a first digit that a subscriber's number can have."""
-    n = digits(value)
+    return let(digits(value), lambda n: _phone(value, n, seed))
+
+
+def _phone(value: Column, n: Column, seed: str) -> Column:
     abroad = F.ltrim(value).startswith("+") | (n.startswith("91") & (F.length(n) == 12))
     code = F.when(~abroad, 0).when(F.substring(n, 1, 3).isin(*X.COUNTRY_CODES_3), 3).when(n.rlike("^[17]"), 1).otherwise(2)
     kept = F.substring(n, F.lit(1), code)
@@ -130,6 +133,10 @@ def id_number(value: Column, seed: str = SEED) -> Column:
 def dob(value: Column, seed: str = SEED) -> Column:
     """Moved by 200 to 2500 days, in the same format; what is no date keeps its shape with other digits."""
     days = (between(seed, "dob", value, 200, 2500) * (F.lit(1) - 2 * (draw(seed, "dob", value, 1) % 2))).cast("int")
+    return let(days, lambda d: _moved_dob(value, d, seed))
+
+
+def _moved_dob(value: Column, days: Column, seed: str) -> Column:
     moved = lambda text, form: F.date_add(F.try_to_date(text, form), days)
     get = lambda rx, i: F.regexp_extract(value, rx, i)
     like = lambda n, model: F.when(F.length(model) > 1, F.lpad(n.cast("string"), F.length(model), F.lit("0"))).otherwise(n.cast("string"))
@@ -144,9 +151,13 @@ def dob(value: Column, seed: str = SEED) -> Column:
     month_first = (ai <= 12) & (bi > 12)
     dd, mm = F.when(month_first, bi).otherwise(ai), F.when(month_first, ai).otherwise(bi)
     d = moved(F.concat_ws("-", year.cast("string"), F.lpad(mm.cast("string"), 2, "0"), F.lpad(dd.cast("string"), 2, "0")), "yyyy-MM-dd")
-    one, two = F.when(month_first, F.month(d)).otherwise(F.dayofmonth(d)), F.when(month_first, F.dayofmonth(d)).otherwise(F.month(d))
-    short = F.when(F.length(y) == 4, F.year(d).cast("string")).otherwise(F.lpad((F.year(d) % 100).cast("string"), 2, "0"))
-    slashed = F.concat(like(one, a), sep, like(two, b), sep, short)
+
+    def as_numbers(d: Column) -> Column:
+        one, two = F.when(month_first, F.month(d)).otherwise(F.dayofmonth(d)), F.when(month_first, F.dayofmonth(d)).otherwise(F.month(d))
+        short = F.when(F.length(y) == 4, F.year(d).cast("string")).otherwise(F.lpad((F.year(d) % 100).cast("string"), 2, "0"))
+        return F.concat(like(one, a), sep, like(two, b), sep, short)
+
+    slashed = let(d, as_numbers)
 
     months = "|".join(m[:3] for m in X.MONTH_NAMES)
     number = lambda name: F.array_position(F.lit([m[:3].lower() for m in X.MONTH_NAMES]), F.lower(F.substring(name, 1, 3)))
@@ -161,12 +172,13 @@ def dob(value: Column, seed: str = SEED) -> Column:
 
     day_first = rf"(?i)^(\d{{1,2}})(st|nd|rd|th)?([ -])((?:{months})[a-z]*)(\.?,?)([ -])(\d{{4}})$"
     p = [None, *(get(day_first, i) for i in range(1, 8))]
-    d1 = built(p[7], p[4], p[1])
-    worded = F.concat(F.dayofmonth(d1).cast("string"), F.when(p[2] != "", ordinal(d1)).otherwise(""), p[3], named(d1, p[4]), p[5], p[6], F.year(d1).cast("string"))
+    worded = let(built(p[7], p[4], p[1]), lambda d: F.concat(F.dayofmonth(d).cast("string"), F.when(p[2] != "", ordinal(d)).otherwise(""), p[3], named(d, p[4]), p[5], p[6], F.year(d).cast("string")))
     month_lead = rf"(?i)^((?:{months})[a-z]*)(\.?) (\d{{1,2}})(st|nd|rd|th)?(,?) (\d{{4}})$"
     q = [None, *(get(month_lead, i) for i in range(1, 7))]
-    d2 = built(q[6], q[1], q[3])
-    lead = F.concat(named(d2, q[1]), q[2], F.lit(" "), F.dayofmonth(d2).cast("string"), F.when(q[4] != "", ordinal(d2)).otherwise(""), q[5], F.lit(" "), F.year(d2).cast("string"))
+    lead = let(
+        built(q[6], q[1], q[3]),
+        lambda d: F.concat(named(d, q[1]), q[2], F.lit(" "), F.dayofmonth(d).cast("string"), F.when(q[4] != "", ordinal(d)).otherwise(""), q[5], F.lit(" "), F.year(d).cast("string")),
+    )
     other = fill(value, stream(seed, "dob", value))
     return F.coalesce(iso, F.when(value.rlike(numeric), slashed), F.when(value.rlike(day_first), worded), F.when(value.rlike(month_lead), lead), other)
 
@@ -175,7 +187,9 @@ def address(value: Column, seed: str = SEED) -> Column:
     """Number, street and town, a code of the source's layout, and state and country where the source has them."""
     k = key_of(value)
     states = X.STATES.split("|")
-    state = pick(seed, "state", k, states)
+    # never the state itself, where the line is one
+    others = F.array_remove(F.lit(states), F.trim(F.regexp_replace(value, r",?\s*India\s*$", "")))
+    state = let(others, lambda o: F.element_at(o, (draw(seed, "state", k) % F.size(o) + 1).cast("int")))
     code = r"(\d{3})( ?)(\d{3})(?!\d)"
     pin = value.rlike(code)
     dash = F.regexp_extract(value, r"([\-–—,])\s*\d{3} ?\d{3}", 1)
@@ -196,13 +210,10 @@ def register_faker(label: str, make) -> None:
 
 
 def direct(label: Column, value: Column, seed: str = SEED) -> Column:
-    """The fake of a value whose label needs no token map; null for others. One more draw if it equals the original."""
-
-    def other(make):
-        first = make(value, seed)
-        return F.when(first == value, make(value, f"{seed}+")).otherwise(first)
-
-    return reduce(lambda out, item: out.when(label == item[0], other(item[1])), list(FAKERS.items())[1:], F.when(label == list(FAKERS)[0], other(FAKERS[list(FAKERS)[0]])))
+    """The fake of a value whose label needs no token map; null for others. One that equals the original has its digits moved on by one."""
+    (first, make), *rest = FAKERS.items()
+    drawn = reduce(lambda out, item: out.when(label == item[0], item[1](value, seed)), rest, F.when(label == first, make(value, seed)))
+    return let(drawn, lambda fake: F.when(fake == value, F.translate(fake, "0123456789", "1234567890")).otherwise(fake))
 
 
 # ---------------------------------------------------------------- words
@@ -272,16 +283,24 @@ def host_of(label: Column, value: Column) -> Column:
 
 def brand_of(host: Column) -> Column:
     """The label that a domain is registered under."""
-    parts = F.split(host, r"\.")
-    at = F.when((F.size(parts) >= 3) & F.try_element_at(parts, F.lit(-2)).isin("co", "gov", "ac"), -3).otherwise(-2)
-    return F.coalesce(F.try_element_at(parts, F.when(F.size(parts) >= -at, at).otherwise(1)), F.lit(""))
+
+    def pick_label(parts: Column) -> Column:
+        at = F.when((F.size(parts) >= 3) & F.try_element_at(parts, F.lit(-2)).isin("co", "gov", "ac"), -3).when(F.size(parts) >= 2, -2).otherwise(1)
+        return F.coalesce(F.try_element_at(parts, at), F.lit(""))
+
+    return let(F.split(host, r"\."), pick_label)
 
 
 def fake_names(label: Column, value: Column, fakes: Column, known: Column) -> Column:
     """Fakes of names, mailboxes and addresses in the web. fakes: map token -> fake; known: name words, longest first."""
     from .lexicon import words
 
-    ws = words(value)
+    return let(words(value), lambda ws: _fake_names(label, value, fakes, known, ws))
+
+
+def _fake_names(label: Column, value: Column, fakes: Column, known: Column, ws: Column) -> Column:
+    from .lexicon import words
+
     initial = lambda w: F.concat(H.keep_case(w["token"], pick(SEED, "initial", w["token"], "ABCDEFGHJKLMNPRSTV")), F.lit("."))
     swapped = lambda w: H.keep_case(F.trim(w["token"], F.lit(".")), _look(fakes, w["norm"]))
     person = _swap(value, ws, lambda w: F.when(w["token"].rlike(r"^[A-Z]\.$"), initial(w)).otherwise(swapped(w)))
@@ -291,10 +310,10 @@ def fake_names(label: Column, value: Column, fakes: Column, known: Column) -> Co
 
     def branded(word: Column) -> Column:
         """By the longest known name word that it begins with, else as a word of its own."""
-        begin = F.try_element_at(F.filter(known, lambda t: (F.length(t) >= 3) & word.startswith(t)), F.lit(1))
-        return F.lower(F.when(begin.isNotNull(), F.concat(_look(fakes, begin), F.substring(word, F.length(begin) + 1, F.length(word)))).otherwise(_look(fakes, word)))
+        begin = F.coalesce(F.try_element_at(F.filter(known, lambda t: (F.length(t) >= 3) & word.startswith(t)), F.lit(1)), word)
+        return F.lower(let(begin, lambda b: F.concat(_look(fakes, b), F.substring(word, F.length(b) + 1, F.length(word)))))
 
-    domain = F.concat(branded(brand_of(host_of(label, value))), F.lit(".example.com"))
+    domain = F.concat(let(brand_of(host_of(label, value)), branded), F.lit(".example.com"))
     local = F.substring_index(value, "@", 1)
     parts = words(local, "[A-Za-z]+")
     mailbox = _swap(local, parts, lambda w: F.when(w["norm"].isin(*X.ROLE_MAILBOXES), w["token"]).otherwise(branded(w["norm"])))
@@ -306,8 +325,8 @@ def fake_names(label: Column, value: Column, fakes: Column, known: Column) -> Co
 
 def pseudonymise(entities: DataFrame, forbidden: DataFrame | None = None, seed: str = SEED, scope: str = "doc_id") -> DataFrame:
     """entities with a replacement. scope: within which equal words have equal fakes and fakes are no real words."""
-    tokens = name_tokens(entities, scope)
-    mapped = token_map(tokens, forbidden, seed, scope)
+    tokens = cut(name_tokens(entities, scope))
+    mapped = cut(token_map(tokens, forbidden, seed, scope))
     names = entities.where(F.col("label").isin("PERSON", "ORG", "LOCALITY")).select(scope).distinct()
     core = tokens.join(names, scope, "left_semi").select(scope, "token").distinct()
     maps = mapped.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("token", "fake"))).alias("fakes"))
@@ -317,5 +336,6 @@ def pseudonymise(entities: DataFrame, forbidden: DataFrame | None = None, seed:
     values = entities.select(scope, "label", "original").distinct().join(maps, scope, "left").join(known, scope, "left")
     none = F.create_map().cast("map<string,string>")
     label, value = F.col("label"), F.col("original")
-    fake = F.coalesce(direct(label, value, seed), fake_names(label, value, F.coalesce("fakes", none), F.coalesce("known", F.array().cast("array<string>"))))
+    values = values.withColumn("fakes", F.coalesce("fakes", none)).withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    fake = F.when(label.isin(*FAKERS), direct(label, value, seed)).otherwise(fake_names(label, value, F.col("fakes"), F.col("known")))
     return entities.join(values.select(scope, "label", "original", fake.alias("replacement")), [scope, "label", "original"])
