@@ -71,5 +71,5 @@ def resolve(spans: Column) -> Column:
     def step(kept: Column, s: Column) -> Column:
         return F.when(F.exists(kept, lambda k: overlap(k, s)), kept).otherwise(F.concat(kept, F.array(s)))
 
-    ranked = F.array_sort(spans, compare)
-    return F.when(F.size(spans) < 2, spans).otherwise(F.array_sort(F.aggregate(ranked, F.array().cast(SPAN), step)))
+    greedy = lambda all_: F.array_sort(F.aggregate(F.array_sort(all_, compare), F.array().cast(SPAN), step))
+    return let(spans, lambda s: F.when(F.size(s) < 2, s).otherwise(greedy(s)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..deploy import cut
 from ..functions import spans as S
 from .pseudonyms import key_of
 
@@ -26,13 +27,13 @@ def gold_spans(text: Column, items: Column) -> Column:
     def places(item: Column) -> Column:
         word = item["substring"]
         pieces = F.split(text, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), -1)
-        ends = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p) + F.length(word))))
+        ends = F.aggregate(S.let(pieces, lambda p: F.slice(p, F.lit(1), F.size(p) - 1)), F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + F.length(p) + F.length(word))))
         return F.transform(ends, lambda e: F.struct((e - F.length(word)).alias("start"), e.alias("end"), item["label"].alias("label")))
 
-    every = F.array_distinct(F.flatten(F.transform(F.filter(items, lambda i: i["substring"] != ""), places)))
+    found = F.array_distinct(F.flatten(F.transform(F.filter(items, lambda i: i["substring"] != ""), places)))
     inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (a != b)
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"])
-    return F.array_sort(F.filter(every, lambda a: ~F.exists(every, lambda b: inside(a, b) & (~same(a, b) | (b["label"] < a["label"])))))
+    return S.let(found, lambda every: F.array_sort(F.filter(every, lambda a: ~F.exists(every, lambda b: inside(a, b) & (~same(a, b) | (b["label"] < a["label"]))))))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -48,19 +49,20 @@ def match(pred: Column, gold: Column, threshold: float) -> Column:
 
     def step(a: Column, p: Column) -> Column:
         scored = F.transform(gold, lambda g, i: F.struct(F.when((g["label"] == p["label"]) & ~F.array_contains(a["used"], i), iou(p, g)).otherwise(0.0).alias("v"), (-i).alias("i")))
-        best = F.array_max(scored)
-        hit = F.coalesce((best["v"] > 0) & (best["v"] >= threshold), F.lit(False))
-        label = F.array(p["label"])
-        none = F.array().cast("array<string>")
-        return F.struct(
-            F.when(hit, F.concat(a["used"], F.array(-best["i"]))).otherwise(a["used"]).alias("used"),
-            F.concat(a["tp"], F.when(hit, label).otherwise(none)).alias("tp"),
-            F.concat(a["fp"], F.when(hit, none).otherwise(label)).alias("fp"),
-        )
 
-    done = F.aggregate(F.array_sort(pred), state, step)
-    missed = F.filter(F.transform(gold, lambda g, i: F.when(~F.array_contains(done["used"], i), g["label"])), lambda x: x.isNotNull())
-    return F.struct(done["tp"].alias("tp"), done["fp"].alias("fp"), missed.alias("fn"))
+        def add(best: Column) -> Column:
+            hit = F.coalesce((best["v"] > 0) & (best["v"] >= threshold), F.lit(False))
+            right = F.struct(F.concat(a["used"], F.array(-best["i"])).alias("used"), F.concat(a["tp"], F.array(p["label"])).alias("tp"), a["fp"].alias("fp"))
+            wrong = F.struct(a["used"].alias("used"), a["tp"].alias("tp"), F.concat(a["fp"], F.array(p["label"])).alias("fp"))
+            return F.when(hit, right).otherwise(wrong)
+
+        return S.let(F.array_max(scored), add)
+
+    def with_missed(done: Column) -> Column:
+        missed = F.filter(F.transform(gold, lambda g, i: F.when(~F.array_contains(done["used"], i), g["label"])), lambda x: x.isNotNull())
+        return F.struct(done["tp"].alias("tp"), done["fp"].alias("fp"), missed.alias("fn"))
+
+    return S.let(F.aggregate(F.array_sort(pred), state, step), with_missed)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -73,7 +75,7 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 def scores(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """label (null: all), tp, fp, fn, precision, recall and f1 of rows(pred, gold): arrays of (start, end, label)."""
-    m = rows.select(match(F.col("pred"), F.col("gold"), threshold).alias("m"))
+    m = cut(rows.select(match(F.col("pred"), F.col("gold"), threshold).alias("m")))
     kinds = [m.select(F.explode(f"m.{k}").alias("label"), F.lit(k).alias("kind")) for k in ("tp", "fp", "fn")]
     each = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
     sums = each.rollup("label").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import ship
+from ..deploy import cut, ship
 from ..functions import fixed as X
 from ..functions import hygiene as H
 from ..functions import spans as S
@@ -385,7 +385,7 @@ def candidate_runs(spark, sf_dir):
     return lexicon.candidate_runs(paras, lexicon.lower_vocab(paras))
 
 
-@query("SELECT c_custkey AS doc_id, 'waterloo' AS token FROM customer")
+@query("SELECT c_custkey AS doc_id, unnest(['waterloo', 'widgets']) AS token FROM customer")
 def org_core(spark, sf_dir):
     paras = paragraphs(_named_docs(spark, sf_dir))
     return lexicon.org_core(lexicon.org_names(paras), lexicon.lower_vocab(paras))
@@ -408,10 +408,11 @@ def lexicon_match(spark, sf_dir):
 def _marked(spark, sf_dir):
     """Tickets with detected spans, and with gold spans made from their text."""
     rows = tickets(ship(spark), sf_dir)
-    found = F.transform(S.resolve(static_spans(F.col("text"), Policy(mode="regex"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), evaluate.folded(s["label"]).alias("label")))
+    rows = rows.withColumn("spans", static_spans(F.col("text"), Policy(mode="regex"))).withColumn("spans", S.resolve(F.col("spans")))
+    found = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), evaluate.folded(s["label"]).alias("label")))
     item = lambda pattern, label: F.struct(F.regexp_extract("text", pattern, 1).alias("substring"), F.lit(label).alias("label"))
     items = F.array(item(r"write to (\S+) ", "EMAIL"), item(r"at (\+91 [0-9 ]+) before", "PHONE"), item("SSN is ([0-9-]+)", "SSN"), item("DOB: ([0-9-]+)", "DOB"), item(r"Server ([0-9.]+) ", "IP_ADDRESS"))
-    return rows.select("ticket_id", "text", found.cast(evaluate.MARK).alias("pred"), evaluate.gold_spans(F.col("text"), items).cast(evaluate.MARK).alias("gold"))
+    return cut(rows.select("ticket_id", "text", found.cast(evaluate.MARK).alias("pred"), evaluate.gold_spans(F.col("text"), items).cast(evaluate.MARK).alias("gold")))
 
 
 @query()
