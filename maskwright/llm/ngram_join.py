@@ -12,9 +12,10 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|. Method: prefixes of token
    shorter would hold more tokens that the other lacks than a link allows. Sub-classes depend on the size
    band, and a document near the end of its band is indexed in the next one too.
 3. Documents with a signature in common, of sizes that allow a link, are verified on their whole sets.
-   Short signature lists give all their pairs. A long list gives the pairs with one pivot; where that and
-   other lists don't make its members one component, further pivots follow, more in each round, only
-   against members of other components, until every pair of the list is verified or joined.
+   Short signature lists give all their pairs. A long list gives the pairs with one pivot, its set with the
+   fewest tokens of its own (what copies were made from links with all of them). Where the members of a
+   pivot's lists are then not one component, those outside the largest are compared with all others, in
+   pairs of blocks, by exact overlap matrices.
 
 Equal sets are one node throughout, so copies cost nothing beyond their own row. Components come from
 large-star / small-star rounds on the links; nothing but counts reaches the driver. Steps are written to
@@ -45,6 +46,8 @@ SHINGLE, PERCENT = 5, 75
 FREQUENT = 64
 #: Signature lists up to this size give all their pairs at once.
 SHORT = 12
+#: Sets in a block of members that are compared with another block.
+BLOCK = 512
 #: Tokens that a task gathers before it sends them on.
 FLUSH = 3 << 20
 LOW48 = U((1 << 48) - 1)
@@ -286,13 +289,13 @@ def signatures(n: int, tokens: np.ndarray, rare: int) -> np.ndarray:
 
 
 def _sign(n_slots: int):
-    """Sets -> parcels of signatures by slot: signatures, which of the set names each has, and names with sizes."""
+    """Sets -> parcels of signatures by slot: signatures, which of the sets each is of, and the sets' names, sizes, shared tokens and tokens that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
         flush = TaskContext.get().partitionId() << 24
-        names, sizes, each = [], [], []
+        facts, each = [], []
         held = 0
 
         def out():
@@ -302,63 +305,56 @@ def _sign(n_slots: int):
             order = np.argsort(slot, kind="stable")
             every, owner = every[order], owner[order]
             cut = np.searchsorted(slot[order], np.arange(n_slots + 1))
-            name, size = np.array(names, np.int64), np.array(sizes, np.int64)
+            known = np.array(facts, np.int64)
             rows = []
             for s in range(n_slots):
                 if cut[s + 1] > cut[s]:
                     part = slice(cut[s], cut[s + 1])
                     used, back = np.unique(owner[part], return_inverse=True)
-                    rows.append((s, flush, 1, every[part].tobytes(), _squeeze(back.astype(np.uint32)), name[used].tobytes() + size[used].tobytes()))
+                    rows.append((s, flush, 1, every[part].tobytes(), _squeeze(back.astype(np.uint32)), known[used].tobytes()))
             return _parcels(rows)
 
         for batch in batches:
             for n, name, rare, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                each.append(signatures(n, _unpack6(raw), rare))
-                names.append(name)
-                sizes.append(n)
+                tokens = _unpack6(raw)
+                each.append(signatures(n, tokens, rare))
+                facts.append((name, n, len(tokens), n - len(tokens) + rare))
                 held += len(each[-1])
                 if held >= FLUSH // 2:
                     yield out()
                     flush, held = flush + 1, 0
-                    names, sizes, each = [], [], []
+                    facts, each = [], []
         if held:
             yield out()
 
     return run
 
 
-_FOUND = "kind int, a bigint, b bigint, signature bigint, n bigint"
+_FOUND = "kind int, a bigint, b bigint"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]):
-    """Parcels of signatures -> candidate pairs (kind 0: a < b), and the members of long lists but their pivots (kind 1: a, signature, n)."""
+    """Parcels of signatures -> candidate pairs (kind 0: a < b), and the long lists' pivots with their members (kind 1: pivot a, member b)."""
     held: dict[int, list] = defaultdict(list)
     for batch in batches:
         for slot, _, _, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             held[slot].append((a, b, c))
 
-    def found(kind, a, b, signature, n):
-        m = len(a)
-        none = pa.nulls(m, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, kind, np.int32)), pa.array(a), none if b is None else pa.array(b), none if signature is None else pa.array(signature), none if n is None else pa.array(n)],
-            ["kind", "a", "b", "signature", "n"],
-        )
+    def found(kind, ab):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ab), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in ab.T)], ["kind", "a", "b"])
 
     for slot in list(held):
         parts = held.pop(slot)
-        signature, name, size = [], [], []
+        signature, facts = [], []
         for a, b, c in parts:
-            back = _loosen(b, np.uint32)
-            both = np.frombuffer(c, np.int64).reshape(2, -1)
             signature.append(np.frombuffer(a, np.uint64).view(np.int64))
-            name.append(both[0][back])
-            size.append(both[1][back])
-        signature, name, size = map(np.concatenate, (signature, name, size))
-        order = np.lexsort((name, signature))
-        signature, name, size = signature[order], name[order], size[order]
-        new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (name[1:] != name[:-1])])
-        signature, name, size = signature[new], name[new], size[new]
+            facts.append(np.frombuffer(c, np.int64).reshape(-1, 4)[_loosen(b, np.uint32)])
+        signature, facts = np.concatenate(signature), np.concatenate(facts)
+        # the set with the fewest odd tokens first: what many copies were made from is the pivot of their list
+        order = np.lexsort((facts[:, 0], facts[:, 3], signature))
+        signature, facts = signature[order], facts[order]
+        new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (facts[1:, 0] != facts[:-1, 0])])
+        signature, (name, size, shared, odd) = signature[new], facts[new].T
         begin = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
         length = np.diff(np.append(begin, len(signature)))
         member = np.repeat(length, length)
@@ -374,11 +370,14 @@ def _meet(batches: Iterator[pa.RecordBatch]):
         pairs.append((i - place[i], i))
         left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
         fits = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
-        ab = np.unique(np.stack([name[left[fits]], name[right[fits]]], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
+        # what two sets have in common is among the tokens that either shares with any
+        fits &= (100 + PERCENT) * np.minimum(shared[left], shared[right]) >= PERCENT * (size[left] + size[right])
+        x, y = name[left[fits]], name[right[fits]]
+        ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
         if len(ab):
-            yield found(0, np.ascontiguousarray(ab[:, 0]), np.ascontiguousarray(ab[:, 1]), None, None)
+            yield found(0, ab)
         if len(i):
-            yield found(1, name[i], None, signature[i], size[i])
+            yield found(1, np.unique(np.stack([name[i - place[i]], name[i]], 1), axis=0))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]):
@@ -402,6 +401,64 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verify, "a bigint, b bigint")
 
 
+def _torn(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between members of one pivot's lists that are in different components.
+
+    Members outside a list's largest component are compared with all others, block by block: a group is two
+    blocks of about BLOCK sets, whatever the list's size.
+    """
+    known = sets.select("name", "n", "tokens").join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    placed = members.unionByName(members.select("pivot", F.col("pivot").alias("name")).distinct()).join(known.select("name", "root"), "name")
+    sizes = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("c"))
+    lists = sizes.groupBy("pivot").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    lists = lists.where("parts > 1").select("pivot", F.col("top.root").alias("main"), F.ceil(F.col("m") / BLOCK).alias("whole"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("strays"))
+    rows = placed.join(lists, "pivot")
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("strays") - 1)
+    left = rows.where("root <> main").select("name", "root", "pivot", F.pmod(F.xxhash64("name"), F.col("strays")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("j"), F.lit(True).alias("stray"))
+    right = rows.select("name", "root", "pivot", F.explode(every).alias("i"), F.pmod(F.xxhash64("name", F.lit(1)), F.col("whole")).alias("j"), F.lit(False).alias("stray"))
+    groups = left.unionByName(right).join(known.select("name", "n", "tokens"), "name").select("pivot", "i", "j", "name", "root", "stray", "n", "tokens")
+    return groups.groupBy("pivot", "i", "j").applyInArrow(_compare, "a bigint, b bigint").distinct()
+
+
+def _compare(key, table):
+    """Links between the strays of one block and the members of another that are in other components."""
+    stray = table.column("stray").to_numpy(zero_copy_only=False)
+    name, root, n = (table.column(c).to_numpy() for c in ("name", "root", "n"))
+    tokens = [_unpack6(x) for x in table.column("tokens").to_pylist()]
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, token, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    place = np.cumsum(stray) - 1  # a stray's line in the matrix
+    other = np.cumsum(~stray) - 1
+    common = np.zeros((int(stray.sum()), int((~stray).sum())), np.int32)
+    # frequent tokens by products of slices, the others pair by pair
+    frequent = np.flatnonzero(often >= 16)
+    column = np.full(len(often), -1)
+    column[frequent] = np.arange(len(frequent))
+    for at in range(0, len(frequent), 4096):
+        use = (column[token] >= at) & (column[token] < at + 4096)
+        dense = np.zeros((len(tokens), min(4096, len(frequent) - at)), np.float32)
+        dense[row[use], column[token[use]] - at] = 1
+        common += np.rint(dense[stray] @ dense[~stray].T).astype(np.int32)
+    use = (often[token] >= 2) & (often[token] < 16)
+    order = np.argsort(token[use], kind="stable")
+    token, row = token[use][order], row[use][order]
+    for step in range(1, 16):
+        if step >= len(token):
+            break
+        same = np.flatnonzero(token[step:] == token[:-step])
+        if not len(same):
+            break
+        x, y = row[same], row[same + step]
+        for p, q in ((x, y), (y, x)):
+            k = stray[p] & ~stray[q]
+            np.add.at(common, (place[p[k]], other[q[k]]), 1)
+    both = n[stray][:, None] + n[~stray][None, :] - common
+    alike = (100 * common >= PERCENT * both) & (root[stray][:, None] != root[~stray][None, :])
+    i, j = np.nonzero(alike)
+    a, b = name[stray][i], name[~stray][j]
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -443,26 +500,9 @@ def _placed(docs: DataFrame) -> DataFrame:
     links = stages.write(_links(pairs, sets))
     stages.tidy()
     roots = stages.write(components(links, stages))
-    # Long lists whose members are not yet one component.
-    members = found.where("kind = 1").select("signature", F.col("a").alias("name"), "n")
-    pivots = 1
-    while True:
-        placed = members.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        torn = placed.groupBy("signature").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("signature")
-        open_lists = stages.write(placed.join(torn, "signature").select("signature", "name", "n", "root"))
-        if open_lists.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("name", F.lit(pivots)), F.lit(pivots))
-        picked = open_lists.groupBy("signature", part.alias("part")).agg(F.min(F.struct("name", "n", "root")).alias("p"))
-        picked = picked.select("signature", F.col("p.name").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
-        fits = 100 * F.least("n", "pn") >= PERCENT * F.greatest("n", "pn")
-        more = open_lists.join(picked, "signature").where((F.col("root") != F.col("proot")) & fits)
-        more = more.select(F.least("name", "pivot").alias("a"), F.greatest("name", "pivot").alias("b")).distinct()
-        more = _links(more.join(pairs, ["a", "b"], "left_anti"), sets)
-        links = stages.write(links.unionByName(more))
-        roots = stages.write(components(links, stages))
-        members = open_lists.join(picked.select("signature", F.col("pivot").alias("name")), ["signature", "name"], "left_anti").select("signature", "name", "n")
-        pivots *= 8
+    more = stages.write(_torn(found.where("kind = 1").select(F.col("a").alias("pivot"), F.col("b").alias("name")).distinct(), sets, roots))
+    if not more.isEmpty():
+        roots = stages.write(components(links.unionByName(more), stages))
     rows = rows.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
     return rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "name")).alias("root"))
 
