@@ -330,7 +330,7 @@ def ticket_audit(spark, sf_dir):
 
 @query()
 def distinct_changes(spark, sf_dir):
-    return redact.distinct_changes(_audited(spark, sf_dir).drop("replacement").withColumn("replacement", F.lit("*")))
+    return redact.distinct_changes(_audited(spark, sf_dir))
 
 
 @query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, label, key, n_fakes FROM (SELECT 0 AS doc_id, '' AS label, '' AS key, CAST(0 AS BIGINT) AS n_fakes) WHERE false")
