@@ -63,5 +63,6 @@ def detect(paras: DataFrame, policy: Policy = Policy(), learned: DataFrame | Non
 
 def entities(detected: DataFrame) -> DataFrame:
     """One row for each span: doc_id, para_idx, start, end, label, priority and original."""
-    rows = detected.select("doc_id", "para_idx", "text", F.explode("spans").alias("s"))
+    # an inner explode() has a filter on its array inferred below it, which would compute all spans twice
+    rows = detected.select("doc_id", "para_idx", "text", F.explode_outer("spans").alias("s")).where("s is not null")
     return rows.select("doc_id", "para_idx", "s.start", "s.end", "s.label", "s.priority", S.part(F.col("text"), F.col("s")).alias("original"))

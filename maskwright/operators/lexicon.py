@@ -107,7 +107,8 @@ def candidate_runs(paras: DataFrame, vocabulary: DataFrame, places: DataFrame |
     rows = rows.withColumn("new", F.when(joined, 0).otherwise(1)).withColumn("run", F.sum("new").over(line))
     runs = rows.groupBy(*_PARA, "run").agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "norm", "initial"))).alias("ws"))
     first = F.array_position(F.transform("ws", lambda w: w["initial"]), F.lit(False)).cast("int")
-    runs = runs.where(first > 0).withColumn("ws", F.slice("ws", first, F.size("ws") - first + 1))
+    # filters may be evaluated in another order, so a run of initials alone must not fail in slice()
+    runs = runs.where(first > 0).withColumn("ws", F.slice("ws", F.greatest(first, F.lit(1)), F.size("ws") - F.greatest(first, F.lit(1)) + 1))
     back = F.array_position(F.transform(F.reverse("ws"), lambda w: w["initial"]), F.lit(False)).cast("int")
     runs = runs.withColumn("core", F.slice("ws", F.lit(1), F.size("ws") - back + 1))
     known = F.exists("core", lambda w: _known(w["norm"]) | w["initial"])

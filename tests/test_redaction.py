@@ -50,6 +50,14 @@ def test_lexicon(spark):
         assert want in found
 
 
+def test_runs_of_initials_alone(spark):
+    docs = spark.createDataFrame([(1, "Signed by A. B. C. for Priya R. Sharma"), (2, "X. Y.\nJ. K. Sharma Mehta"), (3, "Q. R. S.")], "doc_id long, text string")
+    paras = paragraphs(docs)
+    runs = lexicon.candidate_runs(paras, lexicon.lower_vocab(paras)).collect()
+    assert {(r.doc_id, tuple(r.phrase)) for r in runs} == {(1, ("priya", "r", "sharma")), (2, ("sharma", "mehta"))}
+    assert {r.doc_id for r in redact.redact(docs).collect()} == {1, 2, 3}
+
+
 def _package(body: str) -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     out = io.BytesIO()
