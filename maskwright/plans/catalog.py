@@ -177,20 +177,21 @@ def negative_context(spark, sf_dir):
     return rows.select("ticket_id", F.size(rule("phone_in").spans(F.col("text"))).cast("bigint").alias("kept"), F.size(bare).cast("bigint").alias("candidates"))
 
 
-@query(
-    f"""SELECT ticket_id, CAST(length(regexp_extract(text, '^(.*?)Flat', 1)) AS BIGINT) AS start, regexp_extract(text, '(Flat.*India)$', 1) AS value FROM ({_TICKETS}) WHERE text LIKE 'Ship to Flat%' AND regexp_matches(text, '- 411 0')"""
-)
+def _ticket_values(spark, sf_dir, spans):
+    rows = tickets(ship(spark), sf_dir).select("ticket_id", "text", F.explode(spans(F.col("text"))).alias("s"))
+    return rows.select("ticket_id", F.col("s.start").cast("bigint").alias("start"), S.part(F.col("text"), F.col("s")).alias("value"))
+
+
+@query(f"SELECT ticket_id, CAST(0 AS BIGINT) AS start, regexp_extract(text, '^.*- \\d{{3}} \\d{{3}}, Maharashtra, India') AS value FROM ({_TICKETS}) WHERE regexp_matches(text, '- \\d{{3}} \\d{{3}}, Maharashtra, India')")
 def address_values(spark, sf_dir):
-    rows = tickets(ship(spark), sf_dir).select("ticket_id", "text", F.explode(address_spans(F.col("text"))).alias("s"))
-    value = S.part(F.col("text"), F.col("s"))
-    return rows.select("ticket_id", (F.col("s.start") + F.length(F.regexp_extract(value, "^(.*?)Flat", 1))).cast("bigint").alias("start"), F.regexp_extract(value, "(Flat.*India)$", 1).alias("value"))
+    """Every address in a ticket."""
+    return _ticket_values(spark, sf_dir, address_spans)
 
 
-@query(f"SELECT ticket_id, regexp_extract(text, '(Waterloo\\d Widgets Private Limited)', 1) AS value FROM ({_TICKETS}) WHERE text LIKE 'Invoice from %'")
+@query(_span_sql(_TICKETS, "ticket_id", "text", r"(^|[^\pL\pN_])", r"[A-Z]\w+ [A-Z]\w+ Private Limited"))
 def org_suffix_spans(spark, sf_dir):
-    rows = tickets(ship(spark), sf_dir).select("ticket_id", "text", F.explode(organisation_spans(F.col("text"))).alias("s"))
-    value = S.part(F.col("text"), F.col("s"))
-    return rows.select("ticket_id", F.regexp_extract(value, r"(Waterloo\d Widgets Private Limited)", 1).alias("value")).where("value <> ''")
+    """Every organisation with a legal suffix in a ticket."""
+    return _ticket_values(spark, sf_dir, organisation_spans)
 
 
 # ---------------------------------------------------------------- spans as a whole
@@ -333,13 +334,13 @@ def distinct_changes(spark, sf_dir):
     return redact.distinct_changes(_audited(spark, sf_dir))
 
 
-@query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, label, key, n_fakes FROM (SELECT 0 AS doc_id, '' AS label, '' AS key, CAST(0 AS BIGINT) AS n_fakes) WHERE false")
+@query()
 def consistency_check(spark, sf_dir):
     """Originals of one document with more than one fake: there are none."""
     return evaluate.inconsistent(_audited(spark, sf_dir), ["doc_id"])
 
 
-@query(f"SELECT (SELECT count(*) FROM ({_SSN})) AS gold_spans, CAST(0 AS BIGINT) AS leaked, CAST(0 AS DOUBLE) AS leak_rate")
+@query()
 def leak_rate(spark, sf_dir):
     """Social security numbers that are still in their redacted ticket: none."""
     paras = _redactable(spark, sf_dir)
@@ -385,13 +386,13 @@ def candidate_runs(spark, sf_dir):
     return lexicon.candidate_runs(paras, lexicon.lower_vocab(paras))
 
 
-@query("SELECT c_custkey AS doc_id, unnest(['waterloo', 'widgets']) AS token FROM customer")
+@query()
 def org_core(spark, sf_dir):
     paras = paragraphs(_named_docs(spark, sf_dir))
     return lexicon.org_core(lexicon.org_names(paras), lexicon.lower_vocab(paras))
 
 
-@query("SELECT c_custkey AS doc_id, 'birdewadi' AS token FROM customer")
+@query()
 def learned_localities(spark, sf_dir):
     return lexicon.learn(paragraphs(_named_docs(spark, sf_dir))).localities
 
