@@ -3,13 +3,15 @@
 Both kinds of tokenizer used here cut a text before its model runs, so that the ids of a text are those of
 its segments in a row: words, for a model that drops white space; runs of white space with what follows
 them, for a byte-level model. Segments are cut, hashed (64 bits) and counted with numpy; only those that a
-worker does not remember go through the tokenizer.
+worker does not remember go through the tokenizer. Added tokens of the file (<|endoftext|>) are found in
+the raw text first, as the library does, and what stands between them is cut as texts of its own.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -64,28 +66,41 @@ def _lead_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, np.append(starts[1:], len(data)) if len(starts) else starts, np.searchsorted(starts, offs)
 
 
+def _whole_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole texts."""
+    some = np.diff(offs) > 0
+    return offs[:-1][some], offs[1:][some], np.concatenate([[0], np.cumsum(some)])
+
+
 class Encoder:
-    """Texts to ids, without special tokens."""
+    """Texts to ids as with add_special_tokens=False: none are put around a text, those within it have their ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        pre, norm, added = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec.get("added_tokens") or []
         steps = pre.get("pretokenizers", [])
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
+        # found here and not by the model if they are matched in the raw text just as they are
+        plain = all(x["special"] and not (x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]) for x in added)
+        if plain and added:
+            self.added = {x["content"].encode(): x["id"] for x in added}
+            self.any_added = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)))
+            self.model.encode_special_tokens = True
+        if not plain:
+            self.cut = _whole_spans
+        elif pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not norm:
             self.cut = _lead_spans
         elif steps and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert"):
             self.cut, self.fold = _word_spans, any(x.get("type") == "Lowercase" for x in (norm or {}).get("normalizers", [norm or {}]))
         else:  # whole texts
-            self.cut = lambda data, offs: (offs[:-1][np.diff(offs) > 0], offs[1:][np.diff(offs) > 0], np.concatenate([[0], np.cumsum(np.diff(offs) > 0)]))
+            self.cut = _whole_spans
         self._forget()
 
-    cut, fold = None, False
+    cut, fold, added, any_added = None, False, {}, None
 
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}
@@ -118,6 +133,27 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts (bytes and offsets), and the place in them where each text begins (n + 1)."""
+        raw = data.tobytes() if self.added else b""
+        if not any(x in raw for x in self.added):
+            return self._encode(data, offs)
+        # within each text, as the end of one and the beginning of the next make no token
+        found = [m for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for m in self.any_added.finditer(raw, a, b)]
+        starts, sizes = np.array([m.start() for m in found], np.int64), np.array([len(m[0]) for m in found], np.int64)
+        gone = np.concatenate([[0], np.cumsum(sizes)])
+        left = np.ones(len(data), bool)
+        for m in found:
+            left[m.start() : m.end()] = False
+        # the texts between are cut where a text begins or a token stood; at the same place the text begins first
+        bounds = np.concatenate([offs, starts])
+        order = np.argsort(bounds, kind="stable")
+        ids, at = self._encode(data[left], (bounds - gone[np.searchsorted(starts, bounds)])[order])
+        place = np.empty_like(at)
+        place[order] = at
+        ids = np.insert(ids, place[len(offs) :], np.array([self.added[m[0]] for m in found], np.uint32))
+        return ids, place[: len(offs)] + np.searchsorted(starts, offs)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without added tokens."""
         data = LOWER[data] if self.fold else data
         starts, ends, first = self.cut(data, offs)
         if not len(starts):
