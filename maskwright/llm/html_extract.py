@@ -2,8 +2,9 @@
 
 A page becomes a flat list of text blocks: block-level tags end one, inline tags do not. Each block has the
 numbers of boilerplate detection by shallow text features - words, link density, both for the blocks before
-and after - and where it stands: within the main element, within an element named as page furniture, or in
-neither. A decision tree, grown on the small labelled table below, says which blocks are the article.
+and after -, where it stands (within the main element, within an element that is page furniture or hidden, or
+in neither) and what the names of the elements around it hint at: a layout word (comments, site-footer), a word
+that may as well be a topic (discussion, related-work), or nothing. A decision tree, grown on the small labelled table below, says which blocks are the article.
 
 Text of scripts, styles, templates, heads and form controls never becomes a block. Null and empty pages
 give an empty text; broken markup is read as far as it goes (an unended tag at the end is dropped). Equal
@@ -39,11 +40,20 @@ FURNITURE_WORDS = frozenset(
     share sharing social related recommended recommendations comment comments disqus respond reply replies pagination pager toolbar skip legal copyright
     complementary contentinfo toc tags byline-links discussion""".split()
 )
+#: Those of them that name nothing but furniture; the others may be the topic of a section.
+LAYOUT_WORDS = frozenset(
+    """ad ads advert sponsor sponsored promo promoted nav navbar breadcrumb breadcrumbs footer masthead sidebar aside widget popup modal newsletter share comment
+    comments disqus respond pagination pager toolbar skip contentinfo byline-links""".split()
+)
+#: Parts of a name that say only that there is such a thing elsewhere, and those that say only that it is a box.
+STATE_WORDS = frozenset("has have with without no is".split())
+BOX_WORDS = frozenset("area list section wrapper wrap container box block inner item items links link buttons bar top bottom left right primary secondary".split())
 MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody postcontent entrycontent".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+_NONE = re.compile(r"display\s*:\s*none", re.I)
+_HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _WORD = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)?")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 
@@ -54,29 +64,64 @@ class Block:
     words: int
     linked: int
     zone: int  # 1 within the main element, -1 within page furniture, 0 in neither
+    hint: int = 0  # of the names around it: -2 a layout word, -1 a furniture word that may be a topic, 0 none
 
     @property
     def links(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _zone(tag: str, attributes: str) -> int:
-    if tag in FURNITURE:
-        return -1
-    names = " ".join("".join(m) for m in _NAMED.findall(attributes)) if "=" in attributes else ""
-    parts = set()
-    for name in names.lower().replace("_", "-").split():
-        parts |= {name, *name.split("-")}
-    if parts & FURNITURE_WORDS or (attributes and _HIDDEN.search(attributes)):
-        return -1
-    return 1 if tag in MAIN or parts & MAIN_WORDS else 0
+@lru_cache(65536)
+def _name(name: str) -> tuple[int, int]:
+    """Zone (1 or 0) and hint of one class, id or role."""
+    parts = [p for p in name.split("-") if p]
+    if name in LAYOUT_WORDS:
+        return 0, -2
+    if name in FURNITURE_WORDS:
+        return 0, -1
+    if len(parts) > 1 and parts[0] in STATE_WORDS:
+        return 0, 0
+    core = parts
+    while len(core) > 1 and core[-1] in BOX_WORDS:
+        core = core[:-1]
+    if len(parts) > 1 and core[-1] in LAYOUT_WORDS:  # what the name is about: site-footer, comments-area
+        return 0, -2
+    if FURNITURE_WORDS.intersection(parts):
+        return 0, -1
+    return int(bool(MAIN_WORDS.intersection((name, *parts)))), 0
+
+
+def _place(tag: str, attributes: str, zone: int = 0, hint: int = 0) -> tuple[int, int]:
+    """Zone and hint within an element, by those around it."""
+    names, ids = [], []
+    for m in _ATTRIBUTE.finditer(attributes) if len(attributes) > 2 else ():
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true") or (key == "style" and _NONE.search(value)):
+            return -1, hint
+        if key in ("class", "role"):
+            names += value.replace("_", "-").split()
+        elif key == "id" and tag not in _HEADING:  # a heading's id is its text again
+            ids += value.replace("_", "-").split()
+    if zone == -1 or (tag in FURNITURE and not (tag == "header" and zone == 1)):  # but for an article's own heading
+        return -1, hint
+    said = [_name(x) for x in names]
+    anchors = [_name(x) for x in ids]
+    layout = -2 in (h for _, h in said + anchors)
+    if tag in MAIN:
+        # a comment may be an article within another; the outermost is one whatever its names
+        return 1, -2 if hint == -2 or (zone == 1 and layout) else 0
+    if zone == 0 and any(z for z, _ in said + anchors):
+        return 1, -2 if hint == -2 or layout else 0
+    # within the main element, ids are targets of links to its sections
+    own = min((h for _, h in said + (anchors if zone == 0 or layout else [])), default=0)
+    return zone, min(hint, own)
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """The page's text blocks in order."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements that are not inline, with their zone
+    stack: list[tuple[str, int, int]] = []  # open elements that are not inline, with their zone and hint
     parts: list[str] = []
     linked: list[str] = []
     anchor = False
@@ -87,14 +132,14 @@ def blocks_of(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 words = len(text.split(" "))
-                out.append(Block(text, words, min(words, len(html.unescape(" ".join(linked)).split())), stack[-1][1] if stack else 0))
+                out.append(Block(text, words, min(words, len(html.unescape(" ".join(linked)).split())), *(stack[-1][1:] if stack else (0, 0))))
         parts, linked = [], []
 
     at = 0
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not any(t == "head" for t, _ in stack[:2]):
+        if text and not any(t == "head" for t, *_ in stack[:2]):
             parts.append(text)
             if anchor:
                 linked.append(text)
@@ -119,9 +164,10 @@ def blocks_of(page: str | None) -> list[Block]:
             parts.append(" ")
             continue
         if tag in INLINE:
-            if not ending and _zone(tag, m[3]) == -1 and len(m[3]) > 3:
+            zone, hint = _place(tag, m[3]) if not ending and len(m[3]) > 3 else (0, 0)
+            if zone == -1 or (hint == -2 and not any(t == "pre" for t, *_ in stack)):  # a listing's comments are its text
                 close()
-                stack.append((tag, -1))
+                stack.append((tag, -1, -2))
             elif ending and stack and stack[-1][0] == tag:
                 close()
                 stack.pop()
@@ -140,38 +186,54 @@ def blocks_of(page: str | None) -> list[Block]:
             stack = [x for x in stack if x[0] == "html"]
         if tag in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
             stack.pop()
-        above, own = (stack[-1][1] if stack else 0), 0 if tag in ("html", "body") else _zone(tag, m[3])
-        if tag == "header" and above == 1:  # an article's own heading
-            own = 0
-        stack.append((tag, -1 if -1 in (above, own) else own or above))
+        above = stack[-1][1:] if stack else (0, 0)
+        stack.append((tag, *(above if tag in ("html", "body") else _place(tag, m[3], *above))))
     close()
     return out
 
 
 # ---------------------------------------------------------------- the tree
 
-#: (zone, words, link density, words before, link density before, words after, link density after, article?). Fixed values.
+#: (zone, hint, words, link density, words before, link density before, words after, link density after, article?). Fixed values.
 LABELLED = (
-    (1, 12, 0.0, 6, 1.0, 60, 0.0, 1), (1, 1, 0.0, 40, 0.0, 35, 0.0, 1), (1, 80, 0.0, 30, 0.0, 50, 0.0, 1), (1, 120, 0.1, 60, 0.0, 45, 0.0, 1),
-    (1, 3, 0.0, 9, 0.0, 0, 0.0, 1), (1, 25, 0.3, 90, 0.0, 80, 0.0, 1), (1, 5, 0.2, 0, 0.0, 11, 0.0, 1), (1, 2, 0.0, 1, 1.0, 2, 0.0, 1),
-    (1, 40, 0.0, 15, 0.9, 12, 1.0, 1), (1, 9, 0.0, 0, 0.0, 0, 0.0, 1), (1, 6, 0.5, 70, 0.0, 60, 0.0, 1), (1, 1, 1.0, 55, 0.0, 44, 0.0, 1),
-    (1, 300, 0.02, 1, 0.0, 2, 0.0, 1), (1, 18, 0.6, 33, 0.0, 29, 0.1, 1), (1, 4, 0.0, 3, 0.0, 5, 0.0, 1), (1, 1, 0.0, 1, 0.0, 1, 0.0, 1),
-    (1, 5, 0.0, 30, 0.0, 4, 1.0, 1), (1, 10, 0.0, 3, 1.0, 6, 0.9, 1), (1, 20, 0.1, 10, 0.0, 3, 1.0, 1), (1, 2, 0.0, 9, 0.2, 1, 1.0, 1),
-    (1, 8, 0.0, 1, 1.0, 1, 1.0, 1), (1, 50, 0.1, 2, 1.0, 3, 1.0, 1), (1, 7, 0.2, 40, 0.0, 2, 0.8, 1), (1, 1, 0.0, 2, 1.0, 2, 1.0, 1),
-    (1, 12, 0.0, 6, 1.0, 0, 0.0, 1), (1, 3, 0.0, 2, 1.0, 0, 0.0, 1), (1, 40, 0.1, 3, 1.0, 0, 0.0, 1), (1, 1, 0.2, 1, 0.9, 0, 0.0, 1),
-    (1, 2, 0.5, 3, 0.0, 1, 0.0, 1), (1, 4, 0.75, 5, 0.0, 20, 0.0, 1), (1, 1, 1.0, 10, 0.0, 12, 0.0, 1), (1, 6, 1.0, 15, 0.0, 8, 0.0, 1),
-    (1, 10, 0.5, 2, 0.0, 30, 0.0, 1), (1, 8, 1.0, 20, 0.0, 0, 0.0, 1), (1, 3, 0.6, 4, 0.2, 6, 0.2, 1), (1, 30, 0.8, 9, 0.5, 12, 0.3, 1),
-    (0, 2, 0.0, 20, 0.0, 17, 0.0, 1), (0, 1, 0.0, 18, 0.0, 25, 0.0, 1), (0, 3, 0.0, 16, 0.0, 19, 0.0, 1), (0, 4, 0.0, 12, 0.0, 30, 0.0, 1),
-    (1, 3, 1.0, 3, 1.0, 4, 1.0, 0), (1, 2, 1.0, 2, 1.0, 1, 1.0, 0), (1, 5, 1.0, 4, 1.0, 6, 0.95, 0), (1, 1, 1.0, 2, 0.9, 1, 1.0, 0),
-    (-1, 2, 1.0, 1, 1.0, 3, 1.0, 0), (-1, 14, 0.0, 2, 1.0, 20, 0.0, 0), (-1, 60, 0.0, 20, 0.0, 45, 0.0, 0), (-1, 7, 0.3, 80, 0.0, 0, 0.0, 0),
-    (-1, 150, 0.0, 90, 0.0, 70, 0.0, 0), (-1, 1, 0.0, 1, 1.0, 50, 0.0, 0), (-1, 30, 0.1, 40, 0.0, 35, 0.0, 0), (-1, 9, 0.0, 9, 0.0, 9, 0.0, 0),
-    (-1, 25, 0.0, 0, 0.0, 0, 0.0, 0), (-1, 5, 0.6, 2, 0.5, 12, 0.2, 0), (-1, 45, 0.2, 120, 0.0, 110, 0.0, 0), (-1, 3, 0.0, 70, 0.0, 1, 1.0, 0),
-    (0, 60, 0.0, 50, 0.0, 70, 0.0, 1), (0, 35, 0.05, 20, 0.0, 40, 0.0, 1), (0, 100, 0.1, 3, 1.0, 2, 1.0, 1), (0, 22, 0.0, 45, 0.0, 60, 0.1, 1),
-    (0, 18, 0.0, 2, 0.9, 55, 0.0, 1), (0, 8, 0.0, 70, 0.0, 65, 0.0, 1), (0, 5, 0.0, 3, 1.0, 48, 0.0, 1), (0, 12, 0.1, 30, 0.0, 28, 0.0, 1),
-    (0, 2, 0.0, 62, 0.0, 38, 0.0, 1), (0, 250, 0.02, 5, 0.0, 6, 0.5, 1), (0, 16, 0.2, 80, 0.0, 22, 0.0, 1), (0, 19, 0.0, 0, 0.0, 0, 0.0, 1),
-    (0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 6, 0.8, 5, 0.9, 7, 0.6, 0), (0, 20, 0.7, 4, 1.0, 5, 1.0, 0),
-    (0, 40, 0.6, 30, 0.7, 20, 0.9, 0), (0, 4, 0.0, 2, 1.0, 3, 0.7, 0), (0, 2, 0.0, 3, 0.0, 1, 0.0, 0), (0, 5, 0.0, 0, 0.0, 4, 1.0, 0),
-    (0, 6, 0.2, 3, 0.0, 0, 0.0, 0), (0, 12, 0.9, 60, 0.0, 55, 0.0, 0), (0, 3, 0.4, 1, 1.0, 2, 0.6, 0), (0, 7, 0.0, 2, 1.0, 0, 0.0, 0),
+    (1, 0, 12, 0.0, 6, 1.0, 60, 0.0, 1), (1, 0, 1, 0.0, 40, 0.0, 35, 0.0, 1), (1, 0, 80, 0.0, 30, 0.0, 50, 0.0, 1), (1, 0, 120, 0.1, 60, 0.0, 45, 0.0, 1),
+    (1, 0, 3, 0.0, 9, 0.0, 0, 0.0, 1), (1, 0, 25, 0.3, 90, 0.0, 80, 0.0, 1), (1, 0, 5, 0.2, 0, 0.0, 11, 0.0, 1), (1, 0, 2, 0.0, 1, 1.0, 2, 0.0, 1),
+    (1, 0, 40, 0.0, 15, 0.9, 12, 1.0, 1), (1, 0, 9, 0.0, 0, 0.0, 0, 0.0, 1), (1, 0, 6, 0.5, 70, 0.0, 60, 0.0, 1), (1, 0, 1, 1.0, 55, 0.0, 44, 0.0, 1),
+    (1, 0, 300, 0.02, 1, 0.0, 2, 0.0, 1), (1, 0, 18, 0.6, 33, 0.0, 29, 0.1, 1), (1, 0, 4, 0.0, 3, 0.0, 5, 0.0, 1), (1, 0, 1, 0.0, 1, 0.0, 1, 0.0, 1),
+    (1, 0, 5, 0.0, 30, 0.0, 4, 1.0, 1), (1, 0, 10, 0.0, 3, 1.0, 6, 0.9, 1), (1, 0, 20, 0.1, 10, 0.0, 3, 1.0, 1), (1, 0, 2, 0.0, 9, 0.2, 1, 1.0, 1),
+    (1, 0, 8, 0.0, 1, 1.0, 1, 1.0, 1), (1, 0, 50, 0.1, 2, 1.0, 3, 1.0, 1), (1, 0, 7, 0.2, 40, 0.0, 2, 0.8, 1), (1, 0, 1, 0.0, 2, 1.0, 2, 1.0, 1),
+    (1, 0, 12, 0.0, 6, 1.0, 0, 0.0, 1), (1, 0, 3, 0.0, 2, 1.0, 0, 0.0, 1), (1, 0, 40, 0.1, 3, 1.0, 0, 0.0, 1), (1, 0, 1, 0.2, 1, 0.9, 0, 0.0, 1),
+    (1, 0, 2, 0.5, 3, 0.0, 1, 0.0, 1), (1, 0, 4, 0.75, 5, 0.0, 20, 0.0, 1), (1, 0, 1, 1.0, 10, 0.0, 12, 0.0, 1), (1, 0, 6, 1.0, 15, 0.0, 8, 0.0, 1),
+    (1, 0, 10, 0.5, 2, 0.0, 30, 0.0, 1), (1, 0, 8, 1.0, 20, 0.0, 0, 0.0, 1), (1, 0, 3, 0.6, 4, 0.2, 6, 0.2, 1), (1, 0, 30, 0.8, 9, 0.5, 12, 0.3, 1),
+    (0, 0, 2, 0.0, 20, 0.0, 17, 0.0, 1), (0, 0, 1, 0.0, 18, 0.0, 25, 0.0, 1), (0, 0, 3, 0.0, 16, 0.0, 19, 0.0, 1), (0, 0, 4, 0.0, 12, 0.0, 30, 0.0, 1),
+    (1, 0, 3, 1.0, 3, 1.0, 4, 1.0, 0), (1, 0, 2, 1.0, 2, 1.0, 1, 1.0, 0), (1, 0, 5, 1.0, 4, 1.0, 6, 0.95, 0), (1, 0, 1, 1.0, 2, 0.9, 1, 1.0, 0),
+    (-1, 0, 2, 1.0, 1, 1.0, 3, 1.0, 0), (-1, 0, 14, 0.0, 2, 1.0, 20, 0.0, 0), (-1, 0, 60, 0.0, 20, 0.0, 45, 0.0, 0), (-1, 0, 7, 0.3, 80, 0.0, 0, 0.0, 0),
+    (-1, 0, 150, 0.0, 90, 0.0, 70, 0.0, 0), (-1, 0, 1, 0.0, 1, 1.0, 50, 0.0, 0), (-1, 0, 30, 0.1, 40, 0.0, 35, 0.0, 0), (-1, 0, 9, 0.0, 9, 0.0, 9, 0.0, 0),
+    (-1, 0, 25, 0.0, 0, 0.0, 0, 0.0, 0), (-1, 0, 5, 0.6, 2, 0.5, 12, 0.2, 0), (-1, 0, 45, 0.2, 120, 0.0, 110, 0.0, 0), (-1, 0, 3, 0.0, 70, 0.0, 1, 1.0, 0),
+    (0, 0, 60, 0.0, 50, 0.0, 70, 0.0, 1), (0, 0, 35, 0.05, 20, 0.0, 40, 0.0, 1), (0, 0, 100, 0.1, 3, 1.0, 2, 1.0, 1), (0, 0, 22, 0.0, 45, 0.0, 60, 0.1, 1),
+    (0, 0, 18, 0.0, 2, 0.9, 55, 0.0, 1), (0, 0, 8, 0.0, 70, 0.0, 65, 0.0, 1), (0, 0, 5, 0.0, 3, 1.0, 48, 0.0, 1), (0, 0, 12, 0.1, 30, 0.0, 28, 0.0, 1),
+    (0, 0, 2, 0.0, 62, 0.0, 38, 0.0, 1), (0, 0, 250, 0.02, 5, 0.0, 6, 0.5, 1), (0, 0, 16, 0.2, 80, 0.0, 22, 0.0, 1), (0, 0, 19, 0.0, 0, 0.0, 0, 0.0, 1),
+    (0, 0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 0, 6, 0.8, 5, 0.9, 7, 0.6, 0), (0, 0, 20, 0.7, 4, 1.0, 5, 1.0, 0),
+    (0, 0, 40, 0.6, 30, 0.7, 20, 0.9, 0), (0, 0, 4, 0.0, 2, 1.0, 3, 0.7, 0), (0, 0, 2, 0.0, 3, 0.0, 1, 0.0, 0), (0, 0, 5, 0.0, 0, 0.0, 4, 1.0, 0),
+    (0, 0, 6, 0.2, 3, 0.0, 0, 0.0, 0), (0, 0, 12, 0.9, 60, 0.0, 55, 0.0, 0), (0, 0, 3, 0.4, 1, 1.0, 2, 0.6, 0), (0, 0, 7, 0.0, 2, 1.0, 0, 0.0, 0),
+    # names that hint at furniture: layout words, then words that may be topics, with their counter-examples
+    (0, -2, 60, 0.0, 50, 0.0, 70, 0.0, 0), (0, -2, 3, 0.0, 1, 1.0, 20, 0.0, 0), (0, -2, 25, 0.1, 40, 0.0, 2, 0.0, 0), (0, -2, 4, 1.0, 4, 1.0, 4, 1.0, 0),
+    (1, -2, 60, 0.0, 50, 0.0, 70, 0.0, 0), (1, -2, 3, 0.0, 80, 0.0, 20, 0.0, 0), (1, -2, 1, 0.0, 90, 0.0, 2, 0.0, 0), (1, -2, 30, 0.0, 2, 0.0, 0, 0.0, 0),
+    (1, -2, 120, 0.0, 3, 0.0, 40, 0.0, 0), (1, -2, 4, 1.0, 60, 0.0, 3, 1.0, 0), (1, -2, 12, 0.3, 30, 0.0, 9, 0.5, 0), (1, -2, 6, 0.0, 5, 0.0, 5, 0.0, 0),
+    (0, -2, 150, 0.0, 20, 0.0, 90, 0.0, 0), (0, -2, 2, 0.0, 60, 0.0, 0, 0.0, 0), (0, -2, 18, 0.0, 2, 0.0, 18, 0.0, 0), (0, -2, 8, 0.2, 70, 0.0, 65, 0.0, 0),
+    (1, -1, 60, 0.0, 50, 0.0, 70, 0.0, 1), (1, -1, 2, 0.0, 45, 0.0, 60, 0.0, 1), (1, -1, 1, 0.0, 70, 0.0, 35, 0.0, 1), (1, -1, 25, 0.1, 3, 0.0, 0, 0.0, 1),
+    (1, -1, 9, 0.0, 2, 0.0, 12, 0.0, 1), (1, -1, 5, 0.0, 0, 0.0, 30, 0.0, 1), (1, -1, 120, 0.05, 1, 0.0, 2, 1.0, 1), (1, -1, 14, 0.2, 30, 0.0, 20, 0.1, 1),
+    (1, -1, 60, 0.0, 50, 0.0, 0, 0.0, 1), (1, -1, 25, 0.0, 70, 0.0, 3, 0.0, 1), (1, -1, 8, 0.0, 40, 0.0, 2, 0.0, 1), (1, -1, 80, 0.1, 5, 0.0, 0, 0.0, 1),
+    (1, -1, 3, 0.0, 60, 0.0, 0, 0.0, 1), (1, -1, 12, 0.2, 6, 0.3, 5, 0.0, 1), (1, -1, 40, 0.3, 8, 0.0, 8, 0.0, 1), (1, -1, 6, 0.0, 4, 1.0, 60, 0.0, 1),
+    (1, -1, 30, 0.0, 60, 0.0, 4, 1.0, 1), (1, -1, 15, 0.0, 40, 0.0, 3, 1.0, 1),
+    (0, -1, 20, 0.0, 9, 0.0, 4, 0.0, 0), (0, -1, 5, 0.3, 40, 0.0, 30, 0.0, 0), (0, -1, 12, 0.0, 0, 0.0, 0, 0.0, 0), (0, -1, 45, 0.0, 3, 1.0, 50, 0.0, 1),
+    (1, -1, 4, 1.0, 60, 0.0, 5, 1.0, 0), (1, -1, 6, 0.9, 4, 1.0, 7, 1.0, 0), (1, -1, 3, 1.0, 5, 1.0, 0, 0.0, 0), (1, -1, 12, 0.8, 20, 0.0, 30, 0.0, 0),
+    (1, -1, 4, 0.0, 70, 0.0, 6, 1.0, 0), (1, -1, 2, 0.0, 40, 0.0, 3, 1.0, 0), (1, -1, 5, 0.7, 90, 0.0, 40, 0.0, 0), (1, -1, 1, 1.0, 50, 0.0, 60, 0.0, 0),
+    (-1, -1, 60, 0.0, 50, 0.0, 70, 0.0, 0), (-1, -1, 3, 0.0, 9, 0.0, 20, 0.0, 0), (-1, -1, 25, 0.1, 40, 0.0, 2, 0.0, 0), (-1, -1, 4, 1.0, 4, 1.0, 4, 1.0, 0),
+    (0, -1, 60, 0.0, 50, 0.0, 70, 0.0, 1), (0, -1, 35, 0.05, 20, 0.0, 40, 0.0, 1), (0, -1, 100, 0.1, 30, 0.0, 50, 0.0, 1), (0, -1, 80, 0.0, 25, 0.0, 18, 0.0, 1),
+    (0, -1, 3, 0.0, 1, 1.0, 3, 0.0, 0), (0, -1, 14, 0.0, 2, 1.0, 60, 0.0, 0), (0, -1, 30, 0.0, 4, 1.0, 3, 0.0, 0), (0, -1, 9, 0.0, 9, 0.0, 9, 0.0, 0),
+    (0, -1, 4, 0.0, 80, 0.0, 3, 1.0, 0), (0, -1, 25, 0.6, 30, 0.0, 25, 0.6, 0), (0, -1, 7, 0.0, 70, 0.0, 0, 0.0, 0), (0, -1, 2, 1.0, 3, 1.0, 2, 1.0, 0),
+    (0, -1, 60, 0.9, 50, 0.0, 70, 0.0, 0), (0, -1, 100, 1.0, 30, 0.0, 50, 0.0, 0), (1, -1, 60, 0.9, 50, 0.0, 70, 0.0, 0), (0, -1, 40, 0.8, 20, 0.5, 40, 0.8, 0),
 )
 
 
@@ -195,8 +257,10 @@ def grow(rows: np.ndarray, says: np.ndarray, depth: int = 8):
 
 @lru_cache(1)
 def tree():
+    """The first splits are on the hint, so that labelled names don't move the splits of blocks without any."""
     table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1])
+    layout, topic, none = (grow(table[table[:, 1] == h, :-1], table[table[:, 1] == h, -1]) for h in (-2, -1, 0))
+    return 1, -1.5, layout, (1, -0.5, topic, none)
 
 
 def _judge(node, row) -> int:
@@ -208,7 +272,7 @@ def _judge(node, row) -> int:
 def features(blocks: list[Block]) -> list[tuple]:
     none = Block("", 0, 0, 0)
     around = [none, *blocks, none]
-    return [(b.zone, b.words, b.links, a.words, a.links, c.words, c.links) for a, b, c in zip(around, around[1:], around[2:], strict=False)]
+    return [(b.zone, b.hint, b.words, b.links, a.words, a.links, c.words, c.links) for a, b, c in zip(around, around[1:], around[2:], strict=False)]
 
 
 def main_text(page: str | None) -> str:
