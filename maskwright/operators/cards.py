@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as X
 from ..functions import spans as S
 from .detect import Policy, static_spans
+from .lexicon import PERSON, Lexicon, candidate_runs, learned_spans
 
 _J = S.FLAGS
 COVER = "array<struct<line:int,x0:int,y0:int,x1:int,y1:int,start:int,end:int,size:int,label:string>>"
@@ -68,12 +69,35 @@ def _where(items: Column, condition: Callable[[Column], Column], make: Callable[
     return F.flatten(F.transform(F.filter(items, condition), make)).cast(COVER)
 
 
-def covers(lines: DataFrame, detect: Callable[[Column], Column] | None = None) -> DataFrame:
-    """One row for each box to cover: image, line, box, start, end and label. lines: as from ordered_lines()."""
-    spans_of = detect or (lambda text: S.resolve(static_spans(text, Policy(mode="regex"))))
+def _name_runs(texts: DataFrame, lexicon: Lexicon | None) -> DataFrame:
+    """image and names: any run of name-like words with a known one, capitals allowed, as a picture has no text around it."""
+    paras = texts.select(F.col("image").alias("doc_id"), F.lit(0).alias("para_idx"), F.col("joined").alias("text"))
+    runs = candidate_runs(paras, lexicon and lexicon.lower_vocab, lexicon and lexicon.place_tokens, allow_caps=True)
+    span = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit("PERSON").alias("label"), F.lit(PERSON).alias("priority"))
+    return runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(span)).cast(S.SPAN).alias("names")).withColumnRenamed("doc_id", "of")
+
+
+def covers(lines: DataFrame, detect: Callable[[Column], Column] | None = None, policy: Policy = Policy(), lexicon: Lexicon | None = None) -> DataFrame:
+    """One row for each box to cover: image, line, box, start, end and label. lines: as from ordered_lines().
+
+    In mode 'hybrid' candidate names are covered too; a lexicon (its doc_id is the image) adds the names learned
+    from the document around the picture. detect takes the place of all this.
+    """
+    none = F.array().cast(S.SPAN)
     ls = F.col("lines")
     rows = lines.withColumn("joined", F.array_join(F.transform(ls, lambda l: l["text"]), "\n"))
-    rows = rows.withColumn("spans", spans_of(F.col("joined")))
+    rows = rows.withColumn("spans", detect(F.col("joined")) if detect else static_spans(F.col("joined"), policy))
+    if not detect and policy.mode == "hybrid":
+        texts = rows.select("image", "joined")
+        if lexicon:
+            paras = texts.select(F.col("image").alias("doc_id"), F.lit(0).alias("para_idx"), F.col("joined").alias("text"))
+            learned = learned_spans(paras, lexicon).select(F.col("doc_id").alias("of"), F.col("spans").alias("learned"))
+            kept = F.filter(F.coalesce("learned", none), lambda s: ~s["label"].isin(*policy.skip_labels) if policy.skip_labels else F.lit(True))
+            rows = rows.join(learned, F.col("image").eqNullSafe(F.col("of")), "left").withColumn("spans", F.concat("spans", kept)).drop("of", "learned")
+        rows = rows.join(_name_runs(texts, lexicon), F.col("image").eqNullSafe(F.col("of")), "left")
+        rows = rows.withColumn("spans", F.concat(S.resolve(F.col("spans")), F.coalesce("names", none))).drop("of", "names")
+    if not detect:
+        rows = rows.withColumn("spans", S.resolve(F.col("spans")))
 
     def in_lines(s: Column) -> Column:
         under = F.filter(ls, lambda l: (s["start"] < l["start"] + F.length(l["text"])) & (l["start"] < s["end"]))

@@ -86,7 +86,7 @@ def _without(rows: DataFrame, tokens: DataFrame | None, column: str) -> DataFram
     return rows.join(tokens.select("doc_id", F.col("token").alias(column)).withColumn("__in", F.lit(True)), ["doc_id", column], "left").withColumn("good", F.col("good") & F.col("__in").isNull()).drop("__in")
 
 
-def candidate_runs(paras: DataFrame, vocabulary: DataFrame, places: DataFrame | None = None, allow_caps: bool = False) -> DataFrame:
+def candidate_runs(paras: DataFrame, vocabulary: DataFrame | None, places: DataFrame | None = None, allow_caps: bool = False) -> DataFrame:
     """doc_id, para_idx, start, end and phrase of runs of two to four name-like words, one of them known or an initial.
 
     Words of a run are separated by white space alone; an initial may stand within it. An initial at the end

@@ -94,6 +94,17 @@ def test_card_rules(spark):
     assert {(2, "PERSON"), (3, "DOB"), (4, "ID_NUMBER"), (5, "ADDRESS"), (6, "ADDRESS"), (7, "ADDRESS")} <= got and (8, "ADDRESS") not in got and (0, "PERSON") not in {x for x in got if x[0] == 1}
 
 
+def test_unlabelled_names_on_pictures(spark):
+    cards_ = {"a": ["Letter no. 7", "Rahul Sharma", "sent on time"], "b": ["to be paid 12", "RAHUL SHARMA", "100.00"], None: ["no. 3", "Rahul Sharma"], "c": ["no. 4", "Blue Table"]}
+    rows = [(i, t, 0.9, 30, 30 + 40 * k, 330, 56 + 40 * k) for i, lines in cards_.items() for k, t in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "image string, text string, score double, x0 int, y0 int, x1 int, y1 int")
+    seen = lambda got: {(r.image, r.line, r.start, r.end, r.label) for r in got.collect()}
+    assert seen(cards.covers(cards.ordered_lines(frame))) == {(i, 1, 0, 12, "PERSON") for i in ("a", "b", None)}
+    assert seen(cards.covers(cards.ordered_lines(frame), policy=Policy(mode="regex"))) == set()
+    doc = lexicon.learn(spark.createDataFrame([("c", 0, "Ms. Blue Table came. I met Ms. Blue Table there.")], "doc_id string, para_idx int, text string"))
+    assert ("c", 1, 0, 10, "PERSON") in seen(cards.covers(cards.ordered_lines(frame), lexicon=doc))
+
+
 def test_matching(spark):
     mark = evaluate.MARK
     rows = spark.createDataFrame([([(0, 4, "A"), (5, 9, "A"), (20, 22, "B")], [(0, 4, "A"), (6, 9, "A"), (30, 33, "B")])], f"pred {mark}, gold {mark}")
