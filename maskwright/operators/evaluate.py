@@ -112,11 +112,11 @@ def recall_by_pool(rows: DataFrame, label: str = "PERSON") -> DataFrame:
     return each.groupBy(F.col("g.pool").alias("pool")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit.cast("double")), 4).alias("recall"))
 
 
-def leaks(gold: DataFrame, redacted: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: gold strings (keys, substring), those still in the redacted text, and their share."""
+def leaks(gold: DataFrame, redacted: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of by): gold strings (keys, substring), those still in the redacted text, and their share."""
     joined = gold.join(redacted.select(*keys, "redacted"), keys)
     n, leaked = F.count(F.lit(1)), F.count_if(F.col("redacted").contains(F.col("substring")))
-    return joined.agg(n.alias("gold_spans"), leaked.alias("leaked"), F.round(F.when(n > 0, leaked / n).otherwise(0.0), 4).alias("leak_rate"))
+    return joined.groupBy(*by).agg(n.alias("gold_spans"), leaked.alias("leaked"), F.round(F.when(n > 0, leaked / n).otherwise(0.0), 4).alias("leak_rate"))
 
 
 def inconsistent(audited: DataFrame, keys: list[str]) -> DataFrame:

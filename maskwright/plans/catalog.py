@@ -349,6 +349,26 @@ def leak_rate(spark, sf_dir):
     return evaluate.leaks(gold, lines, ["doc_id"])
 
 
+#: What stands in a ticket by its template, whichever rule finds it.
+_TICKET_GOLD = (
+    ("EMAIL", r"write to (\S+) today"), ("PHONE", r"at (\+91 [0-9 ]+) before"), ("DOB", "DOB: ([0-9-]+)"), ("SSN", "SSN is ([0-9-]+)"), ("PAN", r"PAN (\S+) is"), ("CARD", r"Card ([0-9]+) was"),
+    ("IP_ADDRESS", "Server ([0-9.]+) "), ("ADDRESS", "Ship to (Flat [0-9]+, Lake Road)"), ("AADHAAR", "Aadhaar ([0-9 ]+) attached"), ("ORG", r"from (Waterloo[0-9] Widgets)"),
+)
+
+
+@query()
+def leaks_by_label(spark, sf_dir):
+    """Strings of every kind of ticket that are still in it, in both modes without a provider."""
+    paras = cut(_redactable(spark, sf_dir))
+    items = F.array(*(F.struct(F.regexp_extract("text", p, 1).alias("substring"), F.lit(label).alias("label")) for label, p in _TICKET_GOLD))
+    gold = paras.select("doc_id", F.explode(items).alias("g")).select("doc_id", "g.*").where("substring != ''")
+    rows = []
+    for mode in ("regex", "hybrid"):
+        lines = redact.apply(paras, redact.audit(paras, Policy(mode=mode), lexicon.learn(paras) if mode == "hybrid" else None))
+        rows.append(evaluate.leaks(gold, lines, ["doc_id"], ("label",)).select(F.lit(mode).alias("mode"), "*"))
+    return rows[0].unionByName(rows[1])
+
+
 @query()
 def format_report(spark, sf_dir):
     return evaluate.format_report(_audited(spark, sf_dir))

@@ -1,0 +1,23 @@
+"""Leaks are counted against the tickets' templates, not against what the rules find."""
+
+from maskwright.plans import catalog, tickets
+
+SF = "/root/testdata/sf0.001"
+
+
+def _luhn(digits):
+    twice = [2 * int(d) for d in digits[-2::-2]]
+    return (sum(int(d) for d in digits[-1::-2]) + sum(d - 9 if d > 9 else d for d in twice)) % 10 == 0
+
+
+def test_leaks_of_every_label_in_both_modes(spark):
+    rows = {(r.mode, r.label): (r.gold_spans, r.leaked) for r in catalog.QUERIES["leaks_by_label"](spark, SF).collect()}
+    assert len(rows) == 20
+    texts = [r.text for r in tickets.tickets(spark, SF).collect()]
+    ssn = [t.split()[3].split("-") for t in texts if t.startswith("My SSN is")]
+    cards = [t.split()[1] for t in texts if t.startswith("Card 4")]
+    for mode in ("regex", "hybrid"):
+        assert rows[mode, "SSN"] == (len(ssn), sum(a in ("000", "666") or a[0] == "9" or g == "00" or s == "0000" for a, g, s in ssn))
+        assert rows[mode, "CARD"] == (len(cards), sum(not _luhn(c) for c in cards))
+        for label in ("EMAIL", "PHONE", "DOB", "PAN", "IP_ADDRESS", "ADDRESS", "ORG"):
+            assert rows[mode, label][0] > 0 and rows[mode, label][1] == 0
