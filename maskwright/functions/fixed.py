@@ -122,6 +122,7 @@ STATE_CODES = ("MH", "GJ", "KA", "TN", "DL", "UP", "WB", "RJ", "MP", "AP", "TS",
 COUNTRY_CODES_3 = ("971", "966", "880", "977", "974", "965", "973", "968", "353", "852", "886")
 DOCUMENTATION_BLOCKS = ("192.0.2", "198.51.100", "203.0.113")  # RFC 5737
 LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ"
+INITIALS = "ABCDEFGHJKLMNPRSTV"
 LABELS = ("PERSON", "ORG", "LOCALITY", "EMAIL", "URL", "PHONE", "ADDRESS", "SSN", "CREDIT_CARD", "DOB", "IP_ADDRESS", "ID_NUMBER", "AADHAAR")
 
 # ---- identity cards

@@ -34,7 +34,22 @@ class Policy:
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, para_idx and text: one row for each line, cleaned; null texts give no rows."""
     lines = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("para_idx", "text"))
-    return lines.withColumn("text", hygiene.clean(S.fenceable(F.col("text"))))
+    return lines.withColumn("text", cleaned(F.col("text")))
+
+
+def cleaned(line: Column) -> Column:
+    """A line as all operators expect it: without invisible characters and repeated blanks, and ready for span search."""
+    return hygiene.clean(S.fenceable(line))
+
+
+def numbered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """row (unique for each row of docs, whatever its key), key, para_idx and text of every line; a null text gives one null line.
+
+    Rows keep their number only where the result is written before it is used twice.
+    """
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.split(F.col(text), "\n", -1).alias("lines"))
+    lines = lines.select("row", "key", F.posexplode_outer("lines").alias("para_idx", "text"))
+    return lines.select("row", "key", F.coalesce("para_idx", F.lit(0)).alias("para_idx"), cleaned(F.col("text")).alias("text"))
 
 
 def static_spans(text: Column, policy: Policy = Policy()) -> Column:
@@ -49,18 +64,35 @@ def static_spans(text: Column, policy: Policy = Policy()) -> Column:
 
 
 def detect(paras: DataFrame, policy: Policy = Policy(), learned: DataFrame | None = None) -> DataFrame:
-    """paras with spans. learned: doc_id, para_idx and more spans (of a lexicon or an entity provider)."""
+    """paras with spans; a null or blank text has none. learned: doc_id, para_idx and more spans (of a lexicon or an entity provider).
+
+    A column ``static`` of paras (static_spans() of all labels, found before) is used instead of searching again.
+    """
     if policy.mode == "ner" and learned is None:
         raise ValueError("mode 'ner' needs the spans of an entity provider")
-    out = paras.withColumn("spans", F.when(F.trim("text") == "", F.array().cast(S.SPAN)).otherwise(static_spans(F.col("text"), policy)))
+    none = F.array().cast(S.SPAN)
+
+    def allowed(spans: Column) -> Column:
+        return F.filter(spans, lambda s: ~s["label"].isin(*policy.skip_labels)) if policy.skip_labels else spans
+
+    if "static" in paras.columns:
+        out = paras.withColumn("spans", allowed(F.col("static") if policy.mode != "ner" else F.filter("static", lambda s: s["label"] != "ORG"))).drop("static")
+    else:
+        blank = F.col("text").isNull() | (F.trim("text") == "")
+        out = paras.withColumn("spans", F.when(blank, none).otherwise(static_spans(F.col("text"), policy)))
     if learned is not None:
-        more = learned.select("doc_id", "para_idx", F.col("spans").alias("__more"))
-        out = out.join(more, ["doc_id", "para_idx"], "left")
-        kept = F.filter(F.coalesce("__more", F.array().cast(S.SPAN)), lambda s: ~s["label"].isin(*policy.skip_labels) if policy.skip_labels else F.lit(True))
-        out = out.withColumn("spans", F.concat("spans", kept)).drop("__more")
+        more = learned.select(F.col("doc_id").alias("__doc"), F.col("para_idx").alias("__para"), F.col("spans").alias("__more"))
+        here = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("para_idx") == F.col("__para"))
+        out = out.join(more, here, "left").withColumn("spans", F.concat("spans", allowed(F.coalesce("__more", none)))).drop("__doc", "__para", "__more")
     return out.withColumn("spans", S.resolve(F.col("spans")))
 
 
+def with_static(paras: DataFrame) -> DataFrame:
+    """paras with ``static``: the unresolved spans of all labels that need no learning, for learning and detection alike."""
+    blank = F.col("text").isNull() | (F.trim("text") == "")
+    return paras.withColumn("static", F.when(blank, F.array().cast(S.SPAN)).otherwise(static_spans(F.col("text"))))
+
+
 def entities(detected: DataFrame) -> DataFrame:
     """One row for each span: doc_id, para_idx, start, end, label, priority and original."""
     # an inner explode() has a filter on its array inferred below it, which would compute all spans twice

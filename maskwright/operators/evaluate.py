@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..deploy import cut
+from ..deploy import Stages
 from ..functions import spans as S
 from .pseudonyms import key_of
 
@@ -75,7 +75,7 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 
 def scores(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """label (null: all), tp, fp, fn, precision, recall and f1 of rows(pred, gold): arrays of (start, end, label)."""
-    m = cut(rows.select(match(F.col("pred"), F.col("gold"), threshold).alias("m")))
+    m = Stages(rows.sparkSession, "scores").write(rows.select(match(F.col("pred"), F.col("gold"), threshold).alias("m")))
     kinds = [m.select(F.explode(f"m.{k}").alias("label"), F.lit(k).alias("kind")) for k in ("tp", "fp", "fn")]
     each = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
     sums = each.rollup("label").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")))

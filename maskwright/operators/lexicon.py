@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..deploy import cut
+from ..deploy import Stages
 from ..functions import fixed as X
 from ..functions import hygiene as H
 from ..functions import names as N
@@ -70,8 +70,8 @@ def words(text: Column, pattern: str = X.WORD) -> Column:
     return S.let(text, within)
 
 
-def _known(name: Column) -> Column:
-    return name.isin(*N.GAZETTEER)
+def _known(name: Column, gazetteer: frozenset[str]) -> Column:
+    return name.isin(*gazetteer) if gazetteer else F.lit(False)
 
 
 def _may_be_name(token: Column, norm: Column, caps: Column) -> Column:
@@ -86,7 +86,7 @@ def _without(rows: DataFrame, tokens: DataFrame | None, column: str) -> DataFram
     return rows.join(tokens.select("doc_id", F.col("token").alias(column)).withColumn("__in", F.lit(True)), ["doc_id", column], "left").withColumn("good", F.col("good") & F.col("__in").isNull()).drop("__in")
 
 
-def candidate_runs(paras: DataFrame, vocabulary: DataFrame | None, places: DataFrame | None = None, allow_caps: bool = False) -> DataFrame:
+def candidate_runs(paras: DataFrame, vocabulary: DataFrame | None, places: DataFrame | None = None, allow_caps: bool = False, gazetteer: frozenset[str] = N.GAZETTEER) -> DataFrame:
     """doc_id, para_idx, start, end and phrase of runs of two to four name-like words, one of them known or an initial.
 
     Words of a run are separated by white space alone; an initial may stand within it. An initial at the end
@@ -97,7 +97,7 @@ def candidate_runs(paras: DataFrame, vocabulary: DataFrame | None, places: DataF
     rows = rows.select(*_PARA, "caps", "pos", "w.*", F.substring("text", F.lit(1), F.col("w.start")).alias("left"))
     rows = rows.where(F.col("token").rlike(r"^\p{Lu}"))
     opening = F.rtrim(F.regexp_replace("left", r"(?U)\s+$", ""))
-    rows = rows.withColumn("opens", ((opening == "") | opening.rlike(r"[.!?]$")) & ~_known(F.col("norm"))).drop("left")
+    rows = rows.withColumn("opens", ((opening == "") | opening.rlike(r"[.!?]$")) & ~_known(F.col("norm"), gazetteer)).drop("left")
     rows = rows.withColumn("initial", F.col("token").rlike(_INITIAL))
     rows = rows.withColumn("good", _may_be_name(F.col("token"), F.col("norm"), F.col("caps")) & ~F.col("opens"))
     rows = _without(_without(rows, vocabulary, "norm"), places, "norm")
@@ -111,7 +111,7 @@ def candidate_runs(paras: DataFrame, vocabulary: DataFrame | None, places: DataF
     runs = runs.where(first > 0).withColumn("ws", F.slice("ws", F.greatest(first, F.lit(1)), F.size("ws") - F.greatest(first, F.lit(1)) + 1))
     back = F.array_position(F.transform(F.reverse("ws"), lambda w: w["initial"]), F.lit(False)).cast("int")
     runs = runs.withColumn("core", F.slice("ws", F.lit(1), F.size("ws") - back + 1))
-    known = F.exists("core", lambda w: _known(w["norm"]) | w["initial"])
+    known = F.exists("core", lambda w: _known(w["norm"], gazetteer) | w["initial"])
     long = F.size(F.filter("core", lambda w: F.length(w["norm"]) >= 3)) >= 2
     runs = runs.where(F.size("core").between(2, 4) & known & long)
     return runs.select(*_PARA, F.element_at("ws", 1)["start"].alias("start"), F.element_at("ws", -1)["end"].alias("end"), F.transform("core", lambda w: w["norm"]).alias("phrase"))
@@ -119,15 +119,15 @@ def candidate_runs(paras: DataFrame, vocabulary: DataFrame | None, places: DataF
 
 def _usable(rows: DataFrame, paras: DataFrame) -> DataFrame:
     """Ranges that overlap no organisation and are not followed by a street or place word."""
-    seen = rows.join(paras.select(*_PARA, "text", organisation_spans(F.col("text")).alias("orgs")), _PARA)
+    seen = rows.join(paras.select(*_PARA, "text", _static(paras, "ORG").alias("orgs")), _PARA)
     clear = ~F.exists("orgs", lambda o: (o["start"] < F.col("end")) & (F.col("start") < o["end"]))
     follows = F.expr("substring(text, end + 1)").rlike(_J + X.PLACE_SUFFIX)
     return seen.where(clear & ~follows).drop("text", "orgs")
 
 
-def person_phrases(paras: DataFrame, vocabulary: DataFrame, places: DataFrame | None = None, proposals: DataFrame | None = None) -> DataFrame:
+def person_phrases(paras: DataFrame, vocabulary: DataFrame, places: DataFrame | None = None, proposals: DataFrame | None = None, gazetteer: frozenset[str] = N.GAZETTEER) -> DataFrame:
     """doc_id, phrase and n, the number of paragraphs in which the name stands."""
-    runs = candidate_runs(paras, vocabulary, places)
+    runs = candidate_runs(paras, vocabulary, places, gazetteer=gazetteer)
     if proposals is not None:
         where = proposals.where("label in ('PERSON', 'ORG')").select(*_PARA, F.col("start").alias("s"), F.col("end").alias("e"), "label")
         people = where.where("label = 'PERSON'").select(*_PARA).distinct()
@@ -152,10 +152,17 @@ def token_support(phrases: DataFrame) -> DataFrame:
     return phrases.select("doc_id", F.explode(F.array_distinct("phrase")).alias("token")).where(F.length("token") >= 3).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("support"))
 
 
+def _static(paras: DataFrame, label: str) -> Column:
+    """Spans of organisations with a suffix, or of addresses: those found before, if paras has them."""
+    if "static" in paras.columns:
+        return F.filter("static", lambda s: s["label"] == label)
+    return {"ORG": organisation_spans, "ADDRESS": address_spans}[label](F.col("text"))
+
+
 def org_names(paras: DataFrame) -> DataFrame:
     """doc_id, name and n of the organisations with a suffix."""
     text = F.col("text")
-    named = paras.select("doc_id", F.explode(F.transform(organisation_spans(text), lambda s: S.part(text, s))).alias("name"))
+    named = paras.select("doc_id", F.explode(F.transform(_static(paras, "ORG"), lambda s: S.part(text, s))).alias("name"))
     return named.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -166,13 +173,13 @@ def org_core(named: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return each.join(vocabulary, ["doc_id", "token"], "left_anti")
 
 
-def localities(paras: DataFrame, vocabulary: DataFrame, core: DataFrame) -> DataFrame:
+def localities(paras: DataFrame, vocabulary: DataFrame, core: DataFrame, gazetteer: frozenset[str] = N.GAZETTEER) -> DataFrame:
     """doc_id and token: capitalised words of addresses that are nothing else known."""
     text = F.col("text")
-    found = paras.select("doc_id", F.explode(F.transform(address_spans(text), lambda s: S.part(text, s))).alias("address"))
+    found = paras.select("doc_id", F.explode(F.transform(_static(paras, "ADDRESS"), lambda s: S.part(text, s))).alias("address"))
     each = found.select("doc_id", F.explode(F.regexp_extract_all("address", F.lit("([A-Z][A-Za-z]{4,})"), F.lit(1))).alias("token"))
     each = each.select("doc_id", F.lower("token").alias("token")).distinct()
-    skip = X.PERSON_STOP | X.TRIM | X.DESCRIPTORS | X.CITIES | {s.lower() for s in X.STATES.split("|")} | N.GAZETTEER
+    skip = X.PERSON_STOP | X.TRIM | X.DESCRIPTORS | X.CITIES | {s.lower() for s in X.STATES.split("|")} | gazetteer
     each = each.where(~F.col("token").isin(*skip))
     return each.join(vocabulary, ["doc_id", "token"], "left_anti").join(core, ["doc_id", "token"], "left_anti")
 
@@ -185,17 +192,27 @@ def place_tokens(paras: DataFrame, proposals: DataFrame) -> DataFrame:
     return votes.where("p > o").select("doc_id", "token")
 
 
-def learn(paras: DataFrame, proposals: DataFrame | None = None) -> Lexicon:
-    """The lexicon of every document."""
+def read_names(spark: SparkSession, path: str, most: int = 200_000) -> frozenset[str]:
+    """A name list for learn(): words apart by white space, what follows a # on a line is a remark. Longer lists are an error, as it goes into every task."""
+    lines = spark.read.text(path).select(F.explode(F.split(F.lower(F.regexp_replace("value", "#.*", "")), r"(?U)\s+")).alias("name"))
+    found = [r[0] for r in lines.where("name <> ''").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"a name list holds at most {most} names")
+    return frozenset(found)
+
+
+def learn(paras: DataFrame, proposals: DataFrame | None = None, stages: Stages | None = None, gazetteer: frozenset[str] = N.GAZETTEER) -> Lexicon:
+    """The lexicon of every document. paras may hold ``static`` spans; stages: where its tables, which hold names, are written."""
+    stages = stages or Stages(paras.sparkSession, "lexicon")
     # written once each: everything later joins with them
-    vocabulary = cut(lower_vocab(paras))
-    named = cut(org_names(paras))
-    core = cut(org_core(named, vocabulary))
+    vocabulary = stages.write(lower_vocab(paras))
+    named = stages.write(org_names(paras))
+    core = stages.write(org_core(named, vocabulary))
     places = place_tokens(paras, proposals) if proposals is not None else None
-    phrases = cut(person_phrases(paras, vocabulary, places, proposals))
+    phrases = stages.write(person_phrases(paras, vocabulary, places, proposals, gazetteer))
     support = token_support(phrases)
-    tokens = support.where((F.col("support") >= 2) | (_known(F.col("token")) & (F.length("token") >= 4))).select("doc_id", "token")
-    return Lexicon(vocabulary, phrases, tokens, core, localities(paras, vocabulary, core), named, places)
+    tokens = support.where((F.col("support") >= 2) | (_known(F.col("token"), gazetteer) & (F.length("token") >= 4))).select("doc_id", "token")
+    return Lexicon(vocabulary, phrases, tokens, core, localities(paras, vocabulary, core, gazetteer), named, places)
 
 
 # ---------------------------------------------------------------- application

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..deploy import cut
+from ..deploy import Stages
 from ..functions import fixed as X
 from ..functions import hygiene as H
 from ..functions import names as N
+from ..functions import spans as S
 from ..functions.spans import let
 from ..functions.validators import digits, luhn_sum
 
@@ -240,28 +241,23 @@ def token_map(tokens: DataFrame, forbidden: DataFrame | None = None, seed: str =
     draws = [
         F.when(F.col("kind") == "first", pick(seed, "first", k, N.FIRST, t)).otherwise(pick(seed, "last", k, N.LAST, t)) if t < 3 else _coined(k, seed, F.lit(t)) for t in range(DRAWS)
     ]
-    # all draws of all tokens at once: (scope, word) goes to the token that wants it first
+    # all draws of all tokens at once: (scope, word) goes to the token that wants it first, by a minimum, as a pool's name has any number of takers
     wants = todo.select(scope, "token", F.posexplode(F.array(*draws)).alias("turn", "fake")).withColumn("word", F.lower("fake"))
     free = wants.join(real, [scope, "word"], "left_anti")
-    owner = Window.partitionBy(scope, "word").orderBy("turn", F.xxhash64("token"), "token")
-    won = free.withColumn("r", F.row_number().over(owner)).where("r = 1").groupBy(scope, "token").agg(F.min_by("fake", "turn").alias("fake"))
+    owner = free.groupBy(scope, "word").agg(F.min(F.struct("turn", F.xxhash64("token").alias("h"), "token", "fake")).alias("o"))
+    won = owner.select(scope, "o.token", "o.turn", "o.fake").groupBy(scope, "token").agg(F.min_by("fake", "turn").alias("fake"))
     unique = F.initcap(F.concat(F.lit("X"), F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), k), 256), 1, 9), "0123456789", "ghijklmnop")))
     return todo.join(won, [scope, "token"], "left").select(scope, "token", F.coalesce("fake", unique).alias("fake"))
 
 
-def _look(fakes: Column, token: Column) -> Column:
-    """The fake of a token in a map column, or of the token's own hash."""
-    return F.coalesce(F.try_element_at(fakes, token), _coined(token, SEED, F.lit(0)))
-
-
-def _swap(text: Column, parts: Column, change) -> Column:
-    """Words of an array (start, end, token, norm) changed, the rest as it is."""
-    step = lambda a, w: F.struct(w["end"].alias("at"), F.concat(a["s"], F.substring(text, a["at"] + 1, w["start"] - a["at"]), change(w)).alias("s"))
+def _swap(text: Column, parts: Column) -> Column:
+    """Parts of an array (start, end, fake) put into their places, the rest as it is."""
+    step = lambda a, w: F.struct(w["end"].alias("at"), F.concat(a["s"], F.substring(text, a["at"] + 1, w["start"] - a["at"]), w["fake"]).alias("s"))
     return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit("").alias("s")), step, lambda a: F.concat(a["s"], F.substring(text, a["at"] + 1, F.length(text))))
 
 
 def name_tokens(entities: DataFrame, scope: str = "doc_id") -> DataFrame:
-    """The words of people's, brands' and places' names, of mailboxes and of domains, that need a fake."""
+    """scope, token, kind and core: the words of people's, brands' and places' names (core), of mailboxes and of domains, that need a fake."""
     from .lexicon import words
 
     each = entities.where(F.col("label").isin("PERSON", "ORG", "LOCALITY")).select(scope, "label", words(F.col("original")).alias("ws"))
@@ -269,10 +265,10 @@ def name_tokens(entities: DataFrame, scope: str = "doc_id") -> DataFrame:
     person = F.col("label") == "PERSON"
     own = (~F.col("w.norm").isin(*(X.DESCRIPTORS | X.TRIM)) & (F.length("w.norm") >= 2) & ~H.is_roman(F.col("w.norm"))) | (F.col("i") == 0)
     kind = F.when(person & ((F.col("i") < F.col("n") - 1) | (F.col("n") == 1)), "first").otherwise("surname")
-    named = each.where(person | own).select(scope, F.col("w.norm").alias("token"), kind.alias("kind"))
+    named = each.where(person | own).select(scope, F.col("w.norm").alias("token"), kind.alias("kind"), F.lit(True).alias("core"))
     mail = entities.where("label = 'EMAIL'").select(scope, F.explode(F.regexp_extract_all(F.substring_index("original", "@", 1), F.lit("([A-Za-z]+)"), F.lit(1))).alias("token"))
-    mail = mail.where(~F.lower("token").isin(*X.ROLE_MAILBOXES)).select(scope, F.lower("token").alias("token"), F.lit("first").alias("kind"))
-    hosts = entities.where("label in ('EMAIL', 'URL')").select(scope, brand_of(host_of(F.col("label"), F.col("original"))).alias("token"), F.lit("surname").alias("kind"))
+    mail = mail.where(~F.lower("token").isin(*X.ROLE_MAILBOXES)).select(scope, F.lower("token").alias("token"), F.lit("first").alias("kind"), F.lit(False).alias("core"))
+    hosts = entities.where("label in ('EMAIL', 'URL')").select(scope, brand_of(host_of(F.col("label"), F.col("original"))).alias("token"), F.lit("surname").alias("kind"), F.lit(False).alias("core"))
     return named.unionByName(mail).unionByName(hosts).where("token <> ''")
 
 
@@ -291,51 +287,95 @@ def brand_of(host: Column) -> Column:
     return let(F.split(host, r"\."), pick_label)
 
 
-def fake_names(label: Column, value: Column, fakes: Column, known: Column) -> Column:
-    """Fakes of names, mailboxes and addresses in the web. fakes: map token -> fake; known: name words, longest first."""
-    from .lexicon import words
+PART = "array<struct<start:int,end:int,token:string,norm:string,role:string>>"
 
-    return let(words(value), lambda ws: _fake_names(label, value, fakes, known, ws))
 
+def parts_of(label: Column, value: Column) -> Column:
+    """What is renamed in a name, mail address or web address: start, end, token, norm and role.
 
-def _fake_names(label: Column, value: Column, fakes: Column, known: Column, ws: Column) -> Column:
+    Roles: 'initial' and 'name' (words of people, brands and places), 'mailbox' (words left of the @; start and
+    end count there) and 'host' (the label that a domain is registered under).
+    """
     from .lexicon import words
 
-    initial = lambda w: F.concat(H.keep_case(w["token"], pick(SEED, "initial", w["token"], "ABCDEFGHJKLMNPRSTV")), F.lit("."))
-    swapped = lambda w: H.keep_case(F.trim(w["token"], F.lit(".")), _look(fakes, w["norm"]))
-    person = _swap(value, ws, lambda w: F.when(w["token"].rlike(r"^[A-Z]\.$"), initial(w)).otherwise(swapped(w)))
-    kept = lambda w: w["norm"].isin(*(X.DESCRIPTORS | X.TRIM)) | (F.length(w["norm"]) < 2) | H.is_roman(w["norm"])
-    own = F.filter(ws, lambda w: ~kept(w))
-    org = _swap(value, F.when(F.size(own) > 0, own).otherwise(F.slice(ws, 1, 1)), swapped)
-
-    def branded(word: Column) -> Column:
-        """By the longest known name word that it begins with, else as a word of its own."""
-        begin = F.coalesce(F.try_element_at(F.filter(known, lambda t: (F.length(t) >= 3) & word.startswith(t)), F.lit(1)), word)
-        return F.lower(let(begin, lambda b: F.concat(_look(fakes, b), F.substring(word, F.length(b) + 1, F.length(word)))))
-
-    domain = F.concat(let(brand_of(host_of(label, value)), branded), F.lit(".example.com"))
-    local = F.substring_index(value, "@", 1)
-    parts = words(local, "[A-Za-z]+")
-    mailbox = _swap(local, parts, lambda w: F.when(w["norm"].isin(*X.ROLE_MAILBOXES), w["token"]).otherwise(branded(w["norm"])))
-    mail = F.concat(mailbox, F.lit("@"), domain)
+    def part(w: Column, role: Column) -> Column:
+        return F.struct(w["start"].alias("start"), w["end"].alias("end"), w["token"].alias("token"), w["norm"].alias("norm"), role.alias("role"))
+
+    def person(ws: Column) -> Column:
+        return F.transform(ws, lambda w: part(w, F.when(w["token"].rlike(r"^[A-Z]\.$"), "initial").otherwise("name")))
+
+    def brand(ws: Column) -> Column:
+        kept = lambda w: w["norm"].isin(*(X.DESCRIPTORS | X.TRIM)) | (F.length(w["norm"]) < 2) | H.is_roman(w["norm"])
+        own = F.filter(ws, lambda w: ~kept(w))
+        return F.transform(F.when(F.size(own) > 0, own).otherwise(F.slice(ws, 1, 1)), lambda w: part(w, F.lit("name")))
+
+    host = brand_of(host_of(label, value))
+    hosts = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), host.alias("token"), host.alias("norm"), F.lit("host").alias("role")))
+    local = words(F.substring_index(value, "@", 1), "[A-Za-z]+")
+    mailbox = F.transform(F.filter(local, lambda w: ~w["norm"].isin(*X.ROLE_MAILBOXES)), lambda w: part(w, F.lit("mailbox")))
+    return (
+        F.when(label == "PERSON", S.let(words(value), person).cast(PART))
+        .when(label.isin("ORG", "LOCALITY"), S.let(words(value), brand).cast(PART))
+        .when(label == "EMAIL", F.concat(mailbox.cast(PART), hosts.cast(PART)))
+        .when(label == "URL", hosts.cast(PART))
+    )
+
+
+def renamed(part: Column, begin: Column, fake: Column, seed: str = SEED) -> Column:
+    """The new text of a part. begin: the known word that a mailbox or host begins with, or itself; fake: that of begin, or of the name (null: by hash)."""
+    name = F.coalesce(fake, _coined(part["norm"], SEED, F.lit(0)))
+    branded = F.lower(F.concat(F.coalesce(fake, _coined(begin, SEED, F.lit(0))), F.substring(part["norm"], F.length(begin) + 1, F.length(part["norm"]))))
+    initial = F.concat(H.keep_case(part["token"], pick(SEED, "initial", part["token"], X.INITIALS)), F.lit("."))
+    return F.when(part["role"] == "initial", initial).when(part["role"] == "name", H.keep_case(F.trim(part["token"], F.lit(".")), name)).otherwise(branded)
+
+
+def rebuilt(label: Column, value: Column, parts: Column) -> Column:
+    """The value with its parts (start, end, role, fake) replaced."""
+    inner = F.filter(parts, lambda p: p["role"] != "host")
+    host = F.concat(F.try_element_at(F.filter(parts, lambda p: p["role"] == "host"), F.lit(1))["fake"], F.lit(".example.com"))
+    mail = F.concat(_swap(F.substring_index(value, "@", 1), inner), F.lit("@"), host)
     pieces = [F.regexp_extract(value, r"(?is)^(https?://)?(www\.)?([^/\s?#]+)(.*)$", i) for i in (1, 2, 4)]
-    web = F.concat(pieces[0], pieces[1], domain, F.regexp_replace(pieces[2], r"(?s)\?.*", ""))
-    return F.when(label == "PERSON", person).when(label.isin("ORG", "LOCALITY"), org).when(label == "EMAIL", mail).when(label == "URL", web)
-
-
-def pseudonymise(entities: DataFrame, forbidden: DataFrame | None = None, seed: str = SEED, scope: str = "doc_id") -> DataFrame:
-    """entities with a replacement. scope: within which equal words have equal fakes and fakes are no real words."""
-    tokens = cut(name_tokens(entities, scope))
-    mapped = cut(token_map(tokens, forbidden, seed, scope))
-    names = entities.where(F.col("label").isin("PERSON", "ORG", "LOCALITY")).select(scope).distinct()
-    core = tokens.join(names, scope, "left_semi").select(scope, "token").distinct()
-    maps = mapped.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("token", "fake"))).alias("fakes"))
-    longest = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
-    known = core.groupBy(scope).agg(F.array_sort(F.collect_set("token"), longest).alias("known"))
-    # each distinct value once, as the map of words is needed beside it
-    values = entities.select(scope, "label", "original").distinct().join(maps, scope, "left").join(known, scope, "left")
-    none = F.create_map().cast("map<string,string>")
-    label, value = F.col("label"), F.col("original")
-    values = values.withColumn("fakes", F.coalesce("fakes", none)).withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
-    fake = F.when(label.isin(*FAKERS), direct(label, value, seed)).otherwise(fake_names(label, value, F.col("fakes"), F.col("known")))
-    return entities.join(values.select(scope, "label", "original", fake.alias("replacement")), [scope, "label", "original"])
+    web = F.concat(pieces[0], pieces[1], host, F.regexp_replace(pieces[2], r"(?s)\?.*", ""))
+    return F.when(label == "EMAIL", mail).when(label == "URL", web).otherwise(_swap(value, inner))
+
+
+def by_hash(label: Column, value: Column) -> Column:
+    """The fake of a name, mailbox or web address of which no words are known, by the words' own hashes."""
+    named = lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["role"].alias("role"), renamed(p, p["norm"], F.lit(None).cast("string")).alias("fake"))
+    return rebuilt(label, value, F.transform(parts_of(label, value), named))
+
+
+NAMED = ("PERSON", "ORG", "LOCALITY", "EMAIL", "URL")
+
+
+def pseudonymise(entities: DataFrame, forbidden: DataFrame | None = None, seed: str = SEED, scope: str = "doc_id", stages: Stages | None = None) -> DataFrame:
+    """entities with a replacement; every row once. scope: within which equal words have equal fakes and fakes are no real words (null is one like any other).
+
+    Labels with a faker of their own are replaced by projection. Names are cut into words, each joined with
+    the token map by itself, so that no row holds a document's words.
+    """
+    stages = stages or Stages(entities.sparkSession, "pseudonyms")
+    label, value, by = F.col("label"), F.col("original"), "__scope"
+    # a struct is equal to another where both hold null
+    known = entities.withColumn(by, F.struct(F.col(scope).alias("s")))
+    real = None if forbidden is None else forbidden.select(F.struct(F.col(scope).alias("s")).alias(by), "token")
+    tokens = stages.write(name_tokens(known, by))
+    mapped = stages.write(token_map(tokens, real, seed, by))
+    values = known.where(label.isin(*[x for x in NAMED if x not in FAKERS])).select(by, "label", "original").distinct()
+    parts = values.select(by, "label", "original", F.posexplode(parts_of(label, value)).alias("i", "p"))
+    parts = stages.write(parts)
+    whole = [by, "label", "original", "i"]
+    # a mailbox or host is named after the longest name word that it begins with
+    words = F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("p.norm"))), lambda n: F.substring(F.col("p.norm"), F.lit(1), n))
+    begins = parts.where("p.role in ('mailbox', 'host') and length(p.norm) >= 3").select(*whole, F.explode(words).alias("token"))
+    core = tokens.where("core").select(by, "token").distinct()
+    begins = begins.join(core, [by, "token"], "left_semi").groupBy(*whole).agg(F.max_by("token", F.length("token")).alias("begin"))
+    parts = parts.join(begins, whole, "left").withColumn("begin", F.coalesce("begin", "p.norm"))
+    parts = parts.join(mapped.select(by, F.col("token").alias("begin"), "fake"), [by, "begin"], "left")
+    one = F.struct("i", "p.start", "p.end", "p.role", renamed(F.col("p"), F.col("begin"), F.col("fake"), seed).alias("fake"))
+    fakes = parts.groupBy(by, "label", "original").agg(F.array_sort(F.collect_list(one)).alias("parts"))
+    fakes = fakes.select(by, "label", "original", rebuilt(label, value, F.col("parts")).alias("__fake"))
+    out = known.join(fakes, [by, "label", "original"], "left")
+    # what has no faker and no words is replaced character by character, never kept
+    made = F.when(label.isin(*FAKERS), direct(label, value, seed)).otherwise(F.coalesce("__fake", id_number(value, seed)))
+    return out.select(*(F.col(f"`{c}`") for c in entities.columns), made.alias("replacement"))

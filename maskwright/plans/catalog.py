@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import cut, ship
+from ..deploy import Stages, ship, spread
 from ..functions import fixed as X
 from ..functions import hygiene as H
 from ..functions import spans as S
@@ -359,7 +359,7 @@ _TICKET_GOLD = (
 @query()
 def leaks_by_label(spark, sf_dir):
     """Strings of every kind of ticket that are still in it, in both modes without a provider."""
-    paras = cut(_redactable(spark, sf_dir))
+    paras = Stages(spark, "tickets").write(_redactable(spark, sf_dir))
     items = F.array(*(F.struct(F.regexp_extract("text", p, 1).alias("substring"), F.lit(label).alias("label")) for label, p in _TICKET_GOLD))
     gold = paras.select("doc_id", F.explode(items).alias("g")).select("doc_id", "g.*").where("substring != ''")
     rows = []
@@ -433,7 +433,7 @@ def _marked(spark, sf_dir):
     found = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), evaluate.folded(s["label"]).alias("label")))
     item = lambda pattern, label: F.struct(F.regexp_extract("text", pattern, 1).alias("substring"), F.lit(label).alias("label"))
     items = F.array(item(r"write to (\S+) ", "EMAIL"), item(r"at (\+91 [0-9 ]+) before", "PHONE"), item("SSN is ([0-9-]+)", "SSN"), item("DOB: ([0-9-]+)", "DOB"), item(r"Server ([0-9.]+) ", "IP_ADDRESS"))
-    return cut(rows.select("ticket_id", "text", found.cast(evaluate.MARK).alias("pred"), evaluate.gold_spans(F.col("text"), items).cast(evaluate.MARK).alias("gold")))
+    return Stages(spark, "marked").write(rows.select("ticket_id", "text", found.cast(evaluate.MARK).alias("pred"), evaluate.gold_spans(F.col("text"), items).cast(evaluate.MARK).alias("gold")))
 
 
 @query()

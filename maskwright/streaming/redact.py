@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hygiene
+from ..deploy import Stages
 from ..functions import spans as S
-from ..operators.detect import Policy, static_spans
-from ..operators.pseudonyms import SEED, direct, fake_names
+from ..operators.detect import Policy, cleaned, static_spans
+from ..operators.pseudonyms import SEED, by_hash, direct
 from ..operators.redact import redact, rewrite
 
 
@@ -19,20 +19,22 @@ def spans_of(text: Column, policy: Policy = Policy(mode="regex")) -> Column:
 
 def with_replacements(text: Column, spans: Column, seed: str = SEED) -> Column:
     """Spans as edits, each fake a function of its original alone."""
-    none, empty = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
 
     def one(s: Column) -> Column:
         value = S.part(text, s)
-        fake = F.coalesce(direct(s["label"], value, seed), fake_names(s["label"], value, none, empty))
+        fake = F.coalesce(direct(s["label"], value, seed), by_hash(s["label"], value))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), fake.alias("replacement"), s["label"].alias("label"))
 
     return F.transform(spans, one)
 
 
-def redact_lines(rows: DataFrame, text: str = "text", policy: Policy = Policy(mode="regex")) -> DataFrame:
-    """rows with redacted and labels, by projection alone: for streams, and for tables that need no learning."""
-    clean = hygiene.clean(S.fenceable(F.col(text)))
-    out = rows.withColumn("__t", clean).withColumn("__s", spans_of(F.col("__t"), policy))
+def redact_lines(rows: DataFrame, text: str = "text", policy: Policy = Policy(mode="regex"), clean: bool = True) -> DataFrame:
+    """rows with redacted and labels, by projection alone: for streams, and for tables that need no learning.
+
+    A null text stays null and has no labels. clean=False: the lines come from paragraphs() and are clean.
+    """
+    line = cleaned(F.col(text)) if clean else F.col(text)
+    out = rows.withColumn("__t", line).withColumn("__s", spans_of(F.col("__t"), policy))
     out = out.withColumn("__e", F.when(F.size("__s") > 0, with_replacements(F.col("__t"), F.col("__s"), policy.seed)))
     out = out.withColumn("redacted", F.when(F.col("__e").isNull(), F.col("__t")).otherwise(rewrite(F.col("__t"), F.col("__e"))))
     return out.withColumn("labels", F.transform("__s", lambda s: s["label"])).drop("__t", "__s", "__e")
@@ -45,9 +47,13 @@ def label_counts(redacted: DataFrame, ts: str = "ts", late: str = "10 minutes",
 
 
 def learn_and_redact(sink, policy: Policy = Policy()):
-    """A foreachBatch function: each micro-batch of documents is learned from, redacted and given to sink(rows, batch id)."""
+    """A foreachBatch function: each micro-batch of documents is learned from, redacted and given to sink(rows, batch id).
+
+    The sink writes the rows before it returns; then every step of the batch is deleted.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        sink(redact(batch, policy), batch_id)
+        with Stages(batch.sparkSession, "batch") as stages:
+            sink(redact(batch, policy, stages=stages), batch_id)
 
     return run

@@ -116,7 +116,69 @@ def test_matching(spark):
 def test_whole_redaction(spark):
     docs = spark.createDataFrame([(1, DOC + "\nmail priya.sharma@wagle.in"), (2, ""), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in redact.redact(docs).collect()}
-    assert set(got) == {1, 2} and got[2] == ""
+    assert set(got) == {1, 2, 3} and got[2] == "" and got[3] is None
     for word in ("Arjun", "ARJUN", "Mehta", "Sharma", "sharma", "Waterloo", "Birdewadi", "411 045", "wagle.in"):
         assert word not in got[1], word
     assert "signed the offer" in got[1] and "Industrial Park VI Private Limited" in got[1]
+
+
+def _files(spark):
+    """Files in the shared folder, which hold steps."""
+    from pathlib import Path
+
+    from maskwright.deploy import shared_dir
+
+    return {p for p in Path(shared_dir(spark)).rglob("*") if p.is_file()}
+
+
+def test_no_row_leaks_or_goes(spark):
+    """Null and repeated keys, null and empty texts, and columns named like those of the steps."""
+    rows = [
+        (None, "write to jane@real.org now", "a"), (1, "DOB: 1990-04-12 of Tara Mohan\nand Tara Mohan Saxena", "b"), (1, "x\ntara.mohan@saxena.in and anil@smith.in", "c"), (2, None, "d"),
+        (3, "", "e"), (3, "\n\n", "f"), (None, None, "g"), (1, "DOB: 1990-04-12 of Tara Mohan\nand Tara Mohan Saxena", "b"),
+    ]
+    docs = spark.createDataFrame([(*r, 1, "z", [1]) for r in rows], "doc_id long, text string, row string, para_idx int, key string, spans array<int>")
+    for mode in ("regex", "hybrid"):
+        before = _files(spark)
+        got = redact.redact(docs, Policy(mode=mode))
+        seen = sorted((str(r.doc_id), r.text) for r in got.collect() if r.text is not None)
+        assert got.count() == len(rows) and sorted(str(r.doc_id) for r in got.where("text is null").collect()) == ["2", "None"]
+        assert [t for i, t in seen if i == "3"] == ["", "\n\n"]
+        whole = "\n".join(t for _, t in seen)
+        for word in ("jane", "real.org", "1990-04-12", "anil", "saxena.in") + (("Tara", "Mohan") if mode == "hybrid" else ()):
+            assert word not in whole, word
+        ones = [t for i, t in seen if i == "1"]
+        assert len(ones) == 3 and len(set(ones)) == 2 and sum(t.startswith("x\n") for t in ones) == 1
+        # of the steps nothing is left but the redacted rows
+        import pyarrow.parquet as pq
+
+        left = [pq.read_table(p).to_pylist() for p in _files(spark) - before if p.suffix == ".parquet"]
+        assert left and all(set(r) == {"doc_id", "text"} and "real.org" not in str(r) for t in left for r in t)
+
+
+def test_stages_end_with_their_owner(spark):
+    from maskwright.deploy import Stages
+
+    before = _files(spark)
+    with Stages(spark, "job") as stages:
+        out = redact.redact(spark.createDataFrame([(1, DOC)], "doc_id long, text string"), stages=stages)
+        assert "Mehta" not in out.first().text
+    assert _files(spark) == before
+
+
+def test_null_scopes_and_unknown_labels(spark):
+    rows = [(None, "PERSON", "Tara Mohan"), (None, "EMAIL", "tara@mohan.in"), (7, "PERSON", "Tara Mohan"), (None, "BADGE", "AB-12"), (None, "PERSON", "Tara Mohan"), (7, "PERSON", "12")]
+    got = [(r.doc_id, r.label, r.replacement) for r in pseudonyms.pseudonymise(spark.createDataFrame(rows, "doc_id long, label string, original string")).collect()]
+    assert len(got) == len(rows) and all(new and new not in {o for _, _, o in rows} for _, _, new in got)
+    assert len({new for i, l, new in got if i is None and l == "PERSON"}) == 1
+
+
+def test_name_list(spark, tmp_path):
+    (tmp_path / "names.txt").write_text("# list\nZorblat  Quux # two\n\nxyzzy")
+    names = lexicon.read_names(spark, str(tmp_path))
+    assert names == {"zorblat", "quux", "xyzzy"}
+    docs = spark.createDataFrame([(1, "Signed by Zorblat Wakhele today")], "doc_id long, text string")
+    paras = paragraphs(docs)
+    assert [list(r.phrase) for r in lexicon.learn(paras, gazetteer=names).phrases.collect()] == [["zorblat", "wakhele"]] and lexicon.learn(paras).phrases.count() == 0
+    with pytest.raises(ValueError):
+        lexicon.read_names(spark, str(tmp_path), most=2)
