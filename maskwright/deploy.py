@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Has Spark remove the shuffle files of an action when it ends; the session's own setting comes back afterwards."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
@@ -70,7 +70,7 @@ class Stages:
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        with _tidy_shuffles(self.spark):
+        with tidy_shuffles(self.spark):
             df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
