@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the
 next stage's documents. All but the last return the columns of documents.
+
+Null and empty texts fail the base rules and go in the first stage; very long texts go through whole; of
+repeated rows one stays; null doc_ids and other columns, whatever they are called, are passed on; without
+labels the model keeps what passes the base rules; an empty benchmark removes nothing; empty documents give
+no pieces.
 """
 
 from __future__ import annotations
@@ -51,9 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; what one has read is deleted."""
+    docs, last = table(spark, sf_dir, "documents"), []
     stages = Stages(spark, "pipeline")
     for _name, stage in STAGES[:-1]:
         docs = stages.write(stage(spark, docs, sf_dir))
+        stages.drop(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..deploy import ship
+from ..deploy import Stages, input_bytes, ship
 
-#: Rows and bytes in one Arrow batch: very long texts must not meet by thousands in a worker.
+__all__ = ["Stages", "input_bytes"]
+
+#: Rows and bytes of text of one batch that are taken apart at once: very long texts must not meet by thousands in a worker.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches small enough for very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """The session, with this package on its workers."""
     return ship(spark)
 
 
@@ -25,47 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-class Stages:
-    """Tables written to the shared folder, so that lost executors cost no recomputation upstream."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._stage_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a stage that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def tidy(self) -> None:
-        """Lets Spark remove the shuffle files of finished steps."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(batches: Iterable[pa.RecordBatch], column: int, rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices (no copies) of batches: at most so many rows, and so many bytes in a string or binary column, one row at least."""
+    for batch in batches:
+        offs = flat(batch.column(column))[1]
+        i, n = 0, batch.num_rows
+        while i < n:
+            j = min(n, i + rows, max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 # ---------------------------------------------------------------- text as bytes
 
 #: The six ASCII white space characters that end a word.
@@ -138,12 +112,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def pieces(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
-    """Parts of a batch of at most so many text bytes, one row at least; row ranges and their bytes."""
-    column = batch.column(batch.schema.get_field_index(text))
+def text_pieces(column: pa.Array, most: int):
+    """Parts of a string column of at most so many bytes, one row at least: row range, bytes and offsets."""
     data, offs = flat(column)
-    i = 0
-    while i < len(column):
+    i, n = 0, len(offs) - 1
+    while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j

@@ -6,10 +6,13 @@ of all items; a hit is verified with Myers' bit-parallel edit distance over the
 take up - after a shorter look at what lies beside the piece, which most chance hits don't survive.
 
 Items and texts are compared lower-cased, with each run of white space as one space. Null and empty texts
-hold nothing; items without text are never found; an item too short for an edit must occur as it is. Equal
-items are found alike; rows with equal or null doc_ids are searched like any other. Items come to the
-driver and go to the executors in blocks of a fixed size, whatever their number; documents are searched
-where they are read, without a shuffle.
+hold nothing and are kept. An item too short for an edit must occur as it is, between word borders, and one
+of fewer than LEAST characters, null or empty is never found: it would be found everywhere. Equal items are
+found alike; rows with equal or null doc_ids are searched like any other. Other columns of documents are
+passed on by clean() as they are and not read by find_leaks(), whatever they are called; an empty table of
+either kind gives no leaks. Items come to the driver and go to the executors in blocks of a fixed size,
+whatever their number, and each block reads all documents again; documents are searched where they are
+read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import session
+from .common import session, small
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
+#: Characters of the shortest item that is looked for.
+LEAST = 8
 #: Items, and characters of items, that one automaton holds.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4_000_000
 #: Characters beside a piece that are looked at first.
@@ -38,6 +44,11 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _border(text: str, at: int) -> bool:
+    """No word goes on from one side of a place to the other."""
+    return at in (0, len(text)) or not (text[at - 1].isalnum() and text[at].isalnum())
+
+
 class Pattern:
     """Bit-parallel edit distance of a pattern to the substrings of a text (Myers 1999)."""
 
@@ -84,6 +95,8 @@ class Finder:
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for i, (_, text) in enumerate(self.items):
             k = self.budget[i]
+            if len(text) < LEAST:
+                continue
             cuts = np.linspace(0, len(text), k + 2).astype(int).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if b > a:
@@ -106,7 +119,7 @@ class Finder:
         """Distance, start and end of item i about a piece of it that lies at a place of the text."""
         item, k = self.items[i][1], self.budget[i]
         n, origin = len(item), at - a
-        if origin >= 0 and text.startswith(item, origin):
+        if origin >= 0 and text.startswith(item, origin) and (k or (_border(text, origin) and _border(text, origin + n))):
             return 0, origin, origin + n
         if not k:
             return None
@@ -163,14 +176,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFra
     spark = session(docs.sparkSession)
     doc_type, item_type = (f.schema[c].dataType.simpleString() for f, c in ((docs, "doc_id"), (items, "item_id")))
     schema = f"doc_id {doc_type}, item_id {item_type}, distance bigint, start bigint, end bigint"
-    item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
+    item_arrow = to_arrow_type(items.schema["item_id"].dataType)
 
     def search(block):
         shared = spark.sparkContext.broadcast(block)  # of a fixed size
 
         def run(batches):
             finder = Finder(shared.value, rate)
-            for batch in batches:
+            for batch in small(batches, 1):
                 rows, hits = [], []
                 for r, text in enumerate(batch.column(1).to_pylist()):
                     for i, hit in sorted(finder.find(text).items()):
@@ -198,7 +211,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
 
         def run(batches):
             finder = Finder(shared.value, rate)
-            for batch in batches:
+            for batch in small(batches, at):
                 yield batch.filter(pa.array([not finder.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)

@@ -6,9 +6,11 @@ and after -, where it stands (within the main element, within an element that is
 in neither) and what the names of the elements around it hint at: a layout word (comments, site-footer), a word
 that may as well be a topic (discussion, related-work), or nothing. A decision tree, grown on the small labelled table below, says which blocks are the article.
 
-Text of scripts, styles, templates, heads and form controls never becomes a block. Null and empty pages
-give an empty text; broken markup is read as far as it goes (an unended tag at the end is dropped). Equal
-rows are extracted alike; null ids and urls are passed through; other columns are not read.
+Text of scripts, styles, templates, heads and form controls never becomes a block. A form is furniture but
+for one that wraps the page: its article stays. A head ends with its end tag or with what can't be in one.
+Null and empty pages give an empty text; broken markup is read as far as it goes (an unended tag at the end
+is dropped); very long pages are read whole, a few at a time. Equal rows are extracted alike; null ids and
+urls are passed through; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import session, small
 
 # Names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "select", "button", "object", "canvas", "noframes", "xmp")
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "select", "button", "object", "canvas", "noframes", "annotation", "annotation-xml")
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big cite code data dfn del em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose semantics""".split()
 )
+#: What may stand in a head; anything else begins the body.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Within a form that wraps a page: what belongs to its controls.
+CONTROLS = frozenset("label legend fieldset".split())
 MAIN = frozenset(("article", "main"))
-FURNITURE = frozenset("nav header footer aside form menu dialog figcaption fieldset".split())
+FURNITURE = frozenset("nav header footer aside menu dialog fieldset".split())
 #: Words in class, id or role that name page furniture, and those that name the main element.
 FURNITURE_WORDS = frozenset(
     """ad ads advert advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu breadcrumb breadcrumbs header footer
@@ -50,8 +57,13 @@ STATE_WORDS = frozenset("has have with without no is".split())
 BOX_WORDS = frozenset("area list section wrapper wrap container box block inner item items links link buttons bar top bottom left right primary secondary".split())
 MAIN_WORDS = frozenset("article content main post entry story maincontent articlebody postcontent entrycontent".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>]+)))?")
+# A quote begins a value only after an equals sign; elsewhere it is a character like any other.
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*)?)*+)(>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 _NONE = re.compile(r"display\s*:\s*none", re.I)
 _HEADING = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _WORD = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)?")
@@ -65,6 +77,7 @@ class Block:
     linked: int
     zone: int  # 1 within the main element, -1 within page furniture, 0 in neither
     hint: int = 0  # of the names around it: -2 a layout word, -1 a furniture word that may be a topic, 0 none
+    form: int = 0  # the outermost form around it, 0 for none
 
     @property
     def links(self) -> float:
@@ -124,7 +137,7 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, int, int]] = []  # open elements that are not inline, with their zone and hint
     parts: list[str] = []
     linked: list[str] = []
-    anchor = False
+    anchor, form, forms = False, 0, 0
 
     def close() -> None:
         nonlocal parts, linked
@@ -132,14 +145,16 @@ def blocks_of(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 words = len(text.split(" "))
-                out.append(Block(text, words, min(words, len(html.unescape(" ".join(linked)).split())), *(stack[-1][1:] if stack else (0, 0))))
+                out.append(Block(text, words, min(words, len(html.unescape(" ".join(linked)).split())), *(stack[-1][1:] if stack else (0, 0)), form))
         parts, linked = [], []
 
     at = 0
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not any(t == "head" for t, *_ in stack[:2]):
+        if text and (not _in_head(stack) or not text.isspace()):
+            if _in_head(stack):
+                stack.pop()
             parts.append(text)
             if anchor:
                 linked.append(text)
@@ -151,6 +166,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if not m[4]:  # the page ends within a tag
             break
         tag, ending = m[2].lower(), bool(m[1])
+        if not ending and tag not in IN_HEAD and _in_head(stack):
+            stack.pop()
         if tag == "a":
             anchor = not ending
             continue
@@ -165,7 +182,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in INLINE:
             zone, hint = _place(tag, m[3]) if not ending and len(m[3]) > 3 else (0, 0)
-            if zone == -1 or (hint == -2 and not any(t == "pre" for t, *_ in stack)):  # a listing's comments are its text
+            if zone == -1 or (form and not ending and tag in CONTROLS):  # hidden; the names of inline elements are about their words
                 close()
                 stack.append((tag, -1, -2))
             elif ending and stack and stack[-1][0] == tag:
@@ -173,6 +190,12 @@ def blocks_of(page: str | None) -> list[Block]:
                 stack.pop()
             continue
         close()
+        if tag == "form":  # the outermost counts, and ends with it
+            if not ending and not form:
+                forms += 1
+                form = forms
+            elif ending and not any(t == "form" for t, *_ in stack[: _last(stack, "form")]):
+                form = 0
         anchor = False if tag in ("p", "div", "li", "td", "body") and ending else anchor
         if tag in VOID or (m[3].endswith("/") and tag not in MAIN | FURNITURE | {"div", "p", "section"}):
             continue
@@ -189,7 +212,27 @@ def blocks_of(page: str | None) -> list[Block]:
         above = stack[-1][1:] if stack else (0, 0)
         stack.append((tag, *(above if tag in ("html", "body") else _place(tag, m[3], *above))))
     close()
-    return out
+    return _without_forms(out)
+
+
+def _in_head(stack: list[tuple]) -> bool:
+    return bool(stack) and len(stack) <= 2 and stack[-1][0] == "head"
+
+
+def _last(stack: list[tuple], tag: str) -> int:
+    return max((i for i, x in enumerate(stack) if x[0] == tag), default=0)
+
+
+def _without_forms(blocks: list[Block]) -> list[Block]:
+    """A form's text is furniture, unless the form wraps the page: then it holds the main element, or prose that is most of the page's text."""
+    every = sum(b.words for b in blocks)
+    for form in {b.form for b in blocks} - {0}:
+        own = [b for b in blocks if b.form == form]
+        prose = [b for b in own if b.zone >= 0 and b.words >= 20 and b.links < 0.5]
+        if not any(b.zone == 1 for b in own) and not (prose and 2 * sum(b.words for b in own) > every):
+            for b in own:
+                b.zone = -1
+    return blocks
 
 
 # ---------------------------------------------------------------- the tree
@@ -216,6 +259,14 @@ LABELLED = (
     (0, 0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 0, 6, 0.8, 5, 0.9, 7, 0.6, 0), (0, 0, 20, 0.7, 4, 1.0, 5, 1.0, 0),
     (0, 0, 40, 0.6, 30, 0.7, 20, 0.9, 0), (0, 0, 4, 0.0, 2, 1.0, 3, 0.7, 0), (0, 0, 2, 0.0, 3, 0.0, 1, 0.0, 0), (0, 0, 5, 0.0, 0, 0.0, 4, 1.0, 0),
     (0, 0, 6, 0.2, 3, 0.0, 0, 0.0, 0), (0, 0, 12, 0.9, 60, 0.0, 55, 0.0, 0), (0, 0, 3, 0.4, 1, 1.0, 2, 0.6, 0), (0, 0, 7, 0.0, 2, 1.0, 0, 0.0, 0),
+    # prose that ends a text, before nothing or before links, and one-line furniture after it
+    (0, 0, 25, 0.0, 24, 0.0, 0, 0.0, 1), (0, 0, 26, 0.0, 5, 0.0, 3, 1.0, 1), (0, 0, 30, 0.0, 40, 0.0, 2, 1.0, 1), (0, 0, 22, 0.0, 60, 0.0, 1, 1.0, 1),
+    (0, 0, 40, 0.1, 30, 0.0, 0, 0.0, 1), (0, 0, 18, 0.0, 25, 0.0, 4, 0.9, 1), (0, 0, 70, 0.0, 2, 0.0, 0, 0.0, 1), (0, 0, 24, 0.1, 9, 0.0, 2, 0.0, 1),
+    (0, 0, 3, 0.0, 26, 0.0, 0, 0.0, 0), (0, 0, 4, 0.0, 3, 1.0, 0, 0.0, 0), (0, 0, 6, 0.0, 4, 1.0, 0, 0.0, 0), (0, 0, 8, 0.3, 30, 0.0, 0, 0.0, 0),
+    (0, 0, 5, 0.0, 24, 0.0, 23, 0.0, 1), (0, 0, 6, 0.0, 28, 0.0, 20, 0.0, 1), (0, 0, 3, 0.3, 24, 0.0, 2, 1.0, 0), (0, 0, 2, 0.0, 25, 0.0, 3, 1.0, 0),
+    # short blocks with nothing beside them are the page
+    (0, 0, 5, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 2, 0.0, 0, 0.0, 0, 0.0, 1), (0, 0, 9, 0.1, 0, 0.0, 0, 0.0, 1), (0, 0, 1, 0.0, 0, 0.0, 0, 0.0, 1),
+    (0, 0, 3, 1.0, 0, 0.0, 0, 0.0, 0), (0, 0, 6, 0.9, 0, 0.0, 0, 0.0, 0), (0, 0, 7, 0.0, 0, 0.0, 25, 0.0, 1), (0, 0, 4, 0.0, 0, 0.0, 12, 0.0, 1),
     # names that hint at furniture: layout words, then words that may be topics, with their counter-examples
     (0, -2, 60, 0.0, 50, 0.0, 70, 0.0, 0), (0, -2, 3, 0.0, 1, 1.0, 20, 0.0, 0), (0, -2, 25, 0.1, 40, 0.0, 2, 0.0, 0), (0, -2, 4, 1.0, 4, 1.0, 4, 1.0, 0),
     (1, -2, 60, 0.0, 50, 0.0, 70, 0.0, 0), (1, -2, 3, 0.0, 80, 0.0, 20, 0.0, 0), (1, -2, 1, 0.0, 90, 0.0, 2, 0.0, 0), (1, -2, 30, 0.0, 2, 0.0, 0, 0.0, 0),
@@ -275,10 +326,20 @@ def features(blocks: list[Block]) -> list[tuple]:
     return [(b.zone, b.hint, b.words, b.links, a.words, a.links, c.words, c.links) for a, b, c in zip(around, around[1:], around[2:], strict=False)]
 
 
+#: Words below which a page without a main element says too little about its blocks.
+FEW = 10
+
+
 def main_text(page: str | None) -> str:
-    """The article's text: its blocks in page order, joined by one space."""
+    """The article's text: its blocks in page order, joined by one space.
+
+    Of a page without a main element, of which the tree keeps next to nothing, all that is neither furniture nor links.
+    """
     blocks = blocks_of(page)
-    return " ".join(b.text for b, row in zip(blocks, features(blocks), strict=True) if _judge(tree(), row))
+    kept = [b for b, row in zip(blocks, features(blocks), strict=True) if _judge(tree(), row)]
+    if sum(b.words for b in kept) < FEW and not any(b.zone == 1 for b in blocks):
+        kept = [b for b in blocks if b in kept or (b.zone == 0 and b.hint == 0 and b.links < 0.5)]
+    return " ".join(b.text for b in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -287,7 +348,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 2):
             texts = [main_text(x) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -2,55 +2,70 @@
 
 Two documents link when 100 * |A & B| >= 75 * |A | B|. Method: prefixes of token combinations.
 
-1. Shingles become 48-bit tokens. Their document frequencies are counted exactly: tokens travel in packed
-   blocks to the partition of their range, and only those of two or more documents travel back. A document
-   with more than a quarter of its tokens to itself can have no partner and ends here.
-2. Tokens have one order: rare before frequent. A document's prefix is extended until its signatures cover
-   floor(n / 4) + 1 tokens: a rare token (FREQUENT documents at most) is a signature of its own and covers
-   one; frequent tokens are dealt to sub-classes, and each pair of prefix tokens of a sub-class is a
-   signature, so that p tokens of a sub-class cover p - 1. If two prefixes had no signature in common, the
+1. Shingles become 64-bit tokens. Their document frequencies are counted exactly: tokens travel in packed
+   blocks to the task of their range, and only those of two or more documents travel back. A token that a
+   block holds often travels once, with its count, so that one shingle of every document is no hot key. A
+   document with more than a quarter of its tokens to itself can have no partner and ends here.
+2. Tokens have one order: by frequency (exact up to FREQUENT, then by powers of two). A document's prefix is
+   extended until its signatures cover floor(n / 4) + 1 tokens. A rare token (FREQUENT documents at most) is
+   a signature of its own and covers one; tokens of the frequent classes are dealt to sub-classes, and each
+   combination of k prefix tokens of a sub-class is a signature, so that p tokens of a sub-class cover
+   p - k + 1: pairs up to VERY documents, triples beyond. If two prefixes had no signature in common, the
    shorter would hold more tokens that the other lacks than a link allows. Sub-classes depend on the size
    band, and a document near the end of its band is indexed in the next one too.
 3. Documents with a signature in common, of sizes that allow a link, are verified on their whole sets.
    Short signature lists give all their pairs. A long list gives the pairs with one pivot, its set with the
-   fewest tokens of its own (what copies were made from links with all of them). Where the members of a
-   pivot's lists are then not one component, those outside the largest are compared with all others, in
+   fewest tokens of its own (what copies were made from links with all of them); a list that is long within
+   one block travels as rows to a salted join with its pivot, never to one task.
+4. Where the members of a pivot's lists are then not one component, these members alone are signed again by
+   combinations of more tokens, level by level. What lists are torn after the last level is compared in
    pairs of blocks, by exact overlap matrices.
 
-Equal sets are one node throughout, so copies cost nothing beyond their own row. Components come from
-large-star / small-star rounds on the links; nothing but counts reaches the driver. Steps are written to
-the shared folder.
+Equal sets are one node throughout: within a block copies send their tokens once, and those of other blocks
+are dropped by name after the count. Components come from large-star / small-star rounds on the links;
+nothing but counts reaches the driver. Steps are written to the shared folder and deleted once they are read.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. With fewer
 than five words, the whole sequence is the one shingle. Rows with equal or null doc_ids are rows of their
-own; a component's id is its least doc_id (null if all are). Only doc_id and text are read.
+own; a component's id is its least doc_id (null if all are). doc_id is of an integer type. Only doc_id and
+text are read, whatever the other columns are called; an empty table gives no rows.
 
-Sets are compared by 48-bit token hashes and known by 64-bit sums of them.
+Sets are known by 64-bit sums of their tokens: among 10**10 different sets some three pairs share one by
+chance, and would count as equal.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import LOWER, Stages, mix, partitions, pieces, session, span_hashes, word_spans
+from .common import LOWER, Stages, input_bytes, mix, partitions, session, small, span_hashes, text_pieces, word_spans
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 75
-#: Tokens of more documents than this are frequent.
-FREQUENT = 64
+#: Tokens of more documents than this are frequent, and of more than that very frequent.
+FREQUENT, VERY = 64, 4096
 #: Signature lists up to this size give all their pairs at once.
 SHORT = 12
+#: Occurrences of a token, and members of a signature, in one block beyond which they travel apart.
+OFTEN, MANY = 16, 32
+#: Rounds of longer combinations for members of torn lists.
+LEVELS = 2
 #: Sets in a block of members that are compared with another block.
 BLOCK = 512
-#: Tokens that a task gathers before it sends them on.
-FLUSH = 3 << 20
-LOW48 = U((1 << 48) - 1)
+#: Tokens that a task gathers before it sends them on; input bytes whose tokens a task holds at once.
+FLUSH, RANGE_BYTES = 2 << 20, 64 << 20
+#: Ranges that one partition is divided into, at most.
+MOST_RANGES = 256
+#: Parts of a key in salted joins.
+SALTS = 16
 
 
 # ---------------------------------------------------------------- sets
@@ -76,23 +91,11 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> t
 
 
 def _sets(data: np.ndarray, offs: np.ndarray):
-    """For each text its sorted distinct 48-bit tokens, and the sum that names the set."""
+    """For each text its sorted distinct tokens, and the sum that names the set."""
     hashes, at = shingle_hashes(data, offs)
     for i in range(len(offs) - 1):
         own = np.unique(hashes[at[i] : at[i + 1]])
-        name = int(mix(own * U(0xD1342543DE82EF95) + U(len(own))).sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0
-        yield np.unique(own & LOW48), name
-
-
-def _pack6(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack6(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view("<u8").reshape(-1)
+        yield own, int(mix(own * U(0xD1342543DE82EF95) + U(len(own))).sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0
 
 
 def _squeeze(a: np.ndarray) -> bytes:
@@ -105,8 +108,17 @@ def _loosen(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.Codec("zstd").decompress(raw[8:], size, asbytes=True), kind) if size else np.zeros(0, kind)
 
 
-_PARCEL = "slot int, flush bigint, kind int, a binary, b binary, c binary"
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+def _pack(ranked: np.ndarray) -> bytes:
+    """Sorted tokens of one range: their upper bytes hardly change, so byte by byte they take some five bytes each."""
+    return _squeeze(np.ascontiguousarray(ranked.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_loosen(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+_PARCEL = "slot bigint, flush bigint, kind int, a binary, b binary, c binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _parcels(rows: list[tuple]) -> pa.RecordBatch:
@@ -114,120 +126,151 @@ def _parcels(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], ["slot", "flush", "kind", "a", "b", "c"])
 
 
-def _slots(tokens: np.ndarray, n: int) -> np.ndarray:
-    return ((tokens >> U(16)) * U(n) >> U(32)).astype(np.uint16 if n < 1 << 16 else np.uint32)
+def _groups(batches: Iterator[pa.RecordBatch], key: int):
+    """Key and rows of sorted parcels, one key's at a time."""
+    rows = (row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+    yield from groupby(rows, lambda row: row[key])
+
+
+def _runs(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of a sorted array begins, and how often it occurs."""
+    begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(ranked)))
+
+
+def _cuts(ranked: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slots (ranges of the upper 32 bits, n in all) that occur in a sorted array, and the bounds of each."""
+    slot = (ranked >> U(32)) * U(n) >> U(32)
+    begin, size = _runs(slot)
+    return slot[begin].astype(np.int64), np.append(begin, len(ranked)) if len(begin) else np.zeros(1, np.int64)
 
 
 def _send(n: int):
-    """docs(doc_id, text, h) -> parcels of tokens by range, and of owners; h is a hash of the row's text."""
+    """docs(doc_id, text, h) -> parcels of tokens by range, and of owners; h is a hash of the row's text.
+
+    Kind 0: the block's documents. 1: tokens and their owners, by range. 2: tokens that the block holds often,
+    and how often, by range. 3: the owners of these, for the block itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
         flush = TaskContext.get().partitionId() << 24
-        ids, marks, names, sizes, tokens = [], [], [], [], []
+        ids, marks, names, sizes, tokens, seen = [], [], [], [], [], set()
         held = 0
 
         def out():
-            every = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            owner = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-            slot = _slots(every, n)
-            order = np.argsort(slot, kind="stable")
+            every = np.concatenate(tokens)
+            owner = np.repeat(np.arange(len(tokens), dtype=np.uint16), [len(t) for t in tokens])
+            order = np.argsort(every)
             every, owner = every[order], owner[order]
-            cut = np.searchsorted(slot[order], np.arange(n + 1))
+            del order
+            begin, size = _runs(every)
             known = np.array([i is not None for i in ids])
             rows = [(flush % n, flush, 0, np.array([i or 0 for i in ids], np.int64).tobytes() + known.tobytes(), np.array([sizes, marks], np.int64).tobytes(), np.array(names, np.int64).tobytes())]
-            for s in range(n):
-                if cut[s + 1] > cut[s]:
-                    part = slice(cut[s], cut[s + 1])
-                    rows.append((s, flush, 1, _pack6(every[part]), _squeeze(owner[part]), None))
+            often = size > OFTEN
+            if often.any():
+                inside = np.repeat(often, size)
+                hot, count = every[begin[often]], size[often]
+                rows.append((flush % n, flush, 3, hot.tobytes(), _squeeze(owner[inside]), count.astype(np.int64).tobytes()))
+                slots, cut = _cuts(hot, n)
+                rows += [(s, flush, 2, hot[a:b].tobytes(), None, count[a:b].astype(np.int64).tobytes()) for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False)]
+                every, owner = every[~inside], owner[~inside]
+            slots, cut = _cuts(every, n)
+            rows += [(s, flush, 1, _pack(every[a:b]), _squeeze(owner[a:b]), None) for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False)]
             return _parcels(rows)
 
-        for batch in batches:
+        for batch in small(batches, 1):
             doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, _j, data, offs in pieces(batch, "text", 4 << 20):
+            for i, _j, data, offs in text_pieces(batch.column(1), 4 << 20):
                 for k, (own, name) in enumerate(_sets(data, offs)):
                     ids.append(doc_ids[i + k])
                     marks.append(hashes[i + k])
                     names.append(name)
                     sizes.append(len(own))
-                    tokens.append(own)
-                    held += len(own)
+                    tokens.append(own if name not in seen else own[:0])
+                    seen.add(name)
+                    held += len(tokens[-1])
                     if held >= FLUSH or len(ids) >= 60_000:
                         yield out()
                         flush, held = flush + 1, 0
-                        ids, marks, names, sizes, tokens = [], [], [], [], []
+                        ids, marks, names, sizes, tokens, seen = [], [], [], [], [], set()
         if ids:
             yield out()
 
     return run
 
 
+def frequency_class(n: np.ndarray) -> np.ndarray:
+    """n itself up to FREQUENT, then one more for each power of two."""
+    beyond = FREQUENT + np.ceil(np.log2(np.maximum(n, FREQUENT + 1) / FREQUENT))
+    return np.where(n <= FREQUENT, n, beyond).astype(np.uint8)
+
+
+#: The last class whose tokens are not very frequent.
+_PAIRS = int(frequency_class(np.array([VERY]))[0])
+
+
 def _count(batches: Iterator[pa.RecordBatch]):
-    """Parcels of one range -> the tokens of two documents or more, by sender, with their frequency (FREQUENT + 1 at most)."""
-    held: dict[int, list] = defaultdict(list)
-    for batch in batches:
-        for slot, flush, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if kind == 0:
-                yield _parcels([(0, flush, 0, a, b, c)])
+    """Parcels, sorted by range -> the tokens of two documents or more, by sender, with the class of their frequency."""
+    for _, rows in _groups(batches, 0):
+        parts = []
+        for _, flush, kind, a, b, c in rows:
+            if kind in (0, 3):
+                yield _parcels([(0, flush, kind, a, b, c)])
             else:
-                held[slot].append((flush, a, b))
-    for slot in list(held):
-        parts = held.pop(slot)
-        each = [_unpack6(a) for _, a, _ in parts]
-        tokens = np.concatenate(each)
+                parts.append((flush, kind, b, _unpack(a) if kind == 1 else np.frombuffer(a, np.uint64), c))
+        if not parts:
+            continue
+        tokens = np.concatenate([p[3] for p in parts])
+        weight = np.concatenate([np.ones(len(p[3]), np.int64) if p[1] == 1 else np.frombuffer(p[4], np.int64) for p in parts])
         order = np.argsort(tokens)
-        ranked = tokens[order]
-        begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        n = np.diff(np.append(begin, len(ranked)))
+        begin, size = _runs(tokens[order])
+        total = np.add.reduceat(weight[order], begin)
         often = np.empty(len(tokens), np.uint8)
-        often[order] = np.repeat(np.minimum(n, FREQUENT + 1).astype(np.uint8), n)
-        del order, ranked
-        at = 0
-        rows = []
-        for (flush, _, owners), own in zip(parts, each, strict=True):
-            own_often = often[at : at + len(own)]
+        often[order] = np.repeat(frequency_class(total), size)
+        del order, weight
+        at, back = 0, []
+        for flush, kind, owners, own, _ in parts:
+            mine = often[at : at + len(own)]
             at += len(own)
-            keep = own_often >= 2
+            keep = mine >= 2
             if keep.any():
-                rows.append((0, flush, 1, _pack6(own[keep]), _squeeze(_loosen(owners, np.uint16)[keep]), _squeeze(own_often[keep])))
-        if rows:
-            yield _parcels(rows)
+                back.append((0, flush, kind, _pack(own[keep]), _squeeze(_loosen(owners, np.uint16)[keep]) if kind == 1 else None, _squeeze(mine[keep])))
+        if back:
+            yield _parcels(back)
 
 
-_SETS = "kind int, doc_id bigint, h bigint, n bigint, name bigint, rare bigint, tokens binary"
+_SETS = "kind int, doc_id bigint, h bigint, n bigint, name bigint, rare bigint, tokens binary, classes binary"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]):
-    """Parcels of whole senders -> a row for each document (kind 0), and one for each set that can have a partner (kind 1)."""
-    held: dict[int, list] = defaultdict(list)
-    for batch in batches:
-        for flush, kind, a, b, c in zip(*(x.to_pylist() for x in batch.columns[1:]), strict=True):
-            held[flush].append((kind, a, b, c))
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    fields = ["kind", "doc_id", "h", "n", "name", "rare", "tokens"]
-    for flush in list(held):
-        parts = held.pop(flush)
-        a, b, c = next(p[1:] for p in parts if p[0] == 0)
+    """Parcels, sorted by sender -> a row for each document (kind 0), and one for each set that can have a partner (kind 1)."""
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+    fields = ["kind", "doc_id", "h", "n", "name", "rare", "tokens", "classes"]
+    for _, rows in _groups(batches, 1):
+        parts: dict[int, list] = {0: [], 1: [], 2: [], 3: []}
+        for _, _, kind, a, b, c in rows:
+            parts[kind].append((a, b, c))
+        a, b, c = parts[0][0]
         (sizes, marks), names = np.frombuffer(b, np.int64).reshape(2, -1), np.frombuffer(c, np.int64)
         m = len(sizes)
         ids, known = np.frombuffer(a[: 8 * m], np.int64), np.frombuffer(a[8 * m :], bool)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(m, np.int32)), pa.array(ids, mask=~known), pa.array(marks), pa.array(sizes), pa.array(names), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], fields
-        )
-        parts = [p for p in parts if p[0] == 1]
-        if not parts:
+        none = pa.nulls(m, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids, mask=~known), pa.array(marks), pa.array(sizes), pa.array(names), pa.nulls(m, pa.int64()), none, none], fields)
+        tokens, owner, often = [_unpack(p[0]) for p in parts[1]], [_loosen(p[1], np.uint16) for p in parts[1]], [_loosen(p[2], np.uint8) for p in parts[1]]
+        if parts[3]:
+            hot, owners, count = np.frombuffer(parts[3][0][0], np.uint64), _loosen(parts[3][0][1], np.uint16), np.frombuffer(parts[3][0][2], np.int64)
+            answered, said = np.concatenate([_unpack(p[0]) for p in parts[2]]), np.concatenate([_loosen(p[2], np.uint8) for p in parts[2]])
+            tokens.append(np.repeat(hot, count))
+            owner.append(owners)
+            often.append(np.repeat(said[np.argsort(answered)], count))  # both are the same tokens
+        if not tokens:
             continue
-        tokens = np.concatenate([_unpack6(p[1]) for p in parts])
-        owner = np.concatenate([_loosen(p[2], np.uint16) for p in parts])
-        often = np.concatenate([_loosen(p[3], np.uint8) for p in parts])
+        tokens, owner, often = np.concatenate(tokens), np.concatenate(owner), np.concatenate(often)
         shared = np.bincount(owner, minlength=m)
+        # a copy within the block sent no tokens and ends here as well
         alive = (sizes > 0) & (shared >= sizes - sizes // 4)
-        _, one = np.unique(names, return_index=True)
-        first = np.zeros(m, bool)
-        # of equal sets here the first; equal sets share all tokens, so they live or end together
-        first[one] = True
-        alive &= first
         keep = alive[owner]
         tokens, owner, often = tokens[keep], owner[keep], often[keep]
         order = np.lexsort((tokens, often, owner))
@@ -237,11 +280,16 @@ def _gather(batches: Iterator[pa.RecordBatch]):
         live = np.flatnonzero(alive)
         for i in range(0, len(live), 2000):
             some = live[i : i + 2000]
-            blobs = [_pack6(tokens[cut[k] : cut[k + 1]]) for k in some]
-            values = [np.ones(len(some), np.int32), [None] * len(some), [None] * len(some), sizes[some], names[some], rare[some].astype(np.int64), blobs]
+            blobs = [tokens[cut[k] : cut[k + 1]].tobytes() for k in some]
+            classes = [often[cut[k] + rare[k] : cut[k + 1]].tobytes() for k in some]
+            values = [np.ones(len(some), np.int32), [None] * len(some), [None] * len(some), sizes[some], names[some], rare[some].astype(np.int64), blobs, classes]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], fields)
 
 
+def _tokens(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
 # ---------------------------------------------------------------- signatures
 
 
@@ -255,8 +303,27 @@ def bands(n: int) -> list[int]:
     return [own, own + 1] if band(100 * n // PERCENT) > own else [own]
 
 
-def signatures(n: int, tokens: np.ndarray, rare: int) -> np.ndarray:
-    """The signatures of a set: n tokens, of which those shared with others are given, rare ones first, frequent ones from ``rare`` on."""
+def scheme(b: int, level: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """How many tokens a combination has and how many sub-classes there are, for frequent and for very frequent tokens of a band.
+
+    With k tokens a sub-class, p of them cover p - k + 1. The numbers are such that the tokens of any set that
+    can have a partner, three quarters of it at least, cover what its prefix has to: (k - 1) * sub-classes of
+    both together is half the band's least size or less, and less than that in small bands.
+    """
+    if level == 0:
+        return ((2, 1 << b - 3), (3, 1 << b - 4)) if b >= 5 else ((2, 1), (2, 1))
+    k = level + 2 if b >= 3 else 2
+    one = (k, 1 << max(0, b - 4) if b >= 5 else 1)
+    return one, one
+
+
+@lru_cache(None)
+def _choices(p: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(p), k)), np.int64).reshape(-1, k)
+
+
+def signatures(n: int, tokens: np.ndarray, rare: int, classes: np.ndarray, level: int = 0) -> np.ndarray:
+    """The signatures of a set of n tokens: those shared with others are given by frequency, and from ``rare`` on also the class of each."""
     need = n // 4 + 1 - (n - len(tokens))
     alone = tokens[: min(rare, need)]
     need -= len(alone)
@@ -264,32 +331,46 @@ def signatures(n: int, tokens: np.ndarray, rare: int) -> np.ndarray:
     frequent = tokens[rare:]
     if need > 0 and len(frequent):
         for b in bands(n):
-            classes = max(1, 1 << max(0, b - 2)) if b >= 5 else 1
+            pair, triple = scheme(b, level)
+            very = classes > _PAIRS
             scattered = mix(frequent * U(0xA0761D6478BD642F) + U(b))
-            sub = (scattered % U(classes)).astype(np.int64)
-            order = np.argsort(scattered)  # an order of its own for each band, the same for all sets
-            sub, ranked = sub[order], frequent[order]
-            # each token but the first of its sub-class covers one more
-            _, head = np.unique(sub, return_index=True)
-            covers = np.ones(len(sub), np.int64)
-            covers[head] = 0
-            end = int(np.searchsorted(np.cumsum(covers), need)) + 1
-            sub, ranked = sub[:end], ranked[:end]
-            order = np.lexsort((ranked, sub))
-            sub, ranked = sub[order], ranked[order]
-            step = 1
-            while step < len(sub):
-                same = sub[step:] == sub[:-step]
-                if not same.any():
-                    break
-                x, y = ranked[:-step][same], ranked[step:][same]
-                out.append(mix(mix(x + U(b + 1)) * U(3) + y))
-                step += 1
+            if pair == triple:
+                k, sub = np.full(len(frequent), pair[0]), (scattered % U(pair[1])).astype(np.int64)
+            else:
+                k = np.where(very, triple[0], pair[0])
+                sub = np.where(very, pair[1] + (scattered % U(triple[1])).astype(np.int64), (scattered % U(pair[1])).astype(np.int64))
+            order = np.lexsort((scattered, classes))  # one order for all sets of a band: by frequency, then by hash
+            k, sub, ranked = k[order], sub[order], frequent[order]
+            # the first k - 1 tokens of a sub-class cover nothing, each further one covers one
+            by = np.argsort(sub, kind="stable")
+            begin, size = _runs(sub[by])
+            place = np.empty(len(sub), np.int64)
+            place[by] = np.arange(len(sub)) - np.repeat(begin, size)
+            end = int(np.searchsorted(np.cumsum(place >= k - 1), need)) + 1
+            k, sub, ranked = k[:end], sub[:end], ranked[:end]
+            by = np.lexsort((ranked, sub))
+            k, sub, ranked = k[by], sub[by], ranked[by]
+            begin, size = _runs(sub)
+            for p in np.unique(size).tolist():
+                for width in (pair[0], triple[0]) if pair != triple else (pair[0],):
+                    at = begin[(size == p) & (k[begin] == width)]
+                    if p < width or not len(at):
+                        continue
+                    rows = ranked[at[:, None] + np.arange(p)][:, _choices(p, width)]
+                    made = mix(rows[..., 0] + U(b + 1 + 64 * level))
+                    for j in range(1, width):
+                        made = mix(made * U(3) + rows[..., j])
+                    out.append(made.reshape(-1))
     return np.concatenate(out)
 
 
-def _sign(n_slots: int):
-    """Sets -> parcels of signatures by slot: signatures, which of the sets each is of, and the sets' names, sizes, shared tokens and tokens that are not frequent."""
+def _sign(n: int, level: int = 0):
+    """Sets -> parcels of signatures by slot.
+
+    Kind 1: signatures, which of the sets each is of, and the sets' names, sizes, shared tokens and tokens that
+    are not frequent. 2: signatures of many sets of the block, with the facts of the best pivot. 3: the
+    members of these, for a join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
@@ -301,24 +382,33 @@ def _sign(n_slots: int):
         def out():
             every = np.concatenate(each)
             owner = np.repeat(np.arange(len(each), dtype=np.uint32), [len(x) for x in each])
-            slot = (every % U(n_slots)).astype(np.uint32)
-            order = np.argsort(slot, kind="stable")
-            every, owner = every[order], owner[order]
-            cut = np.searchsorted(slot[order], np.arange(n_slots + 1))
             known = np.array(facts, np.int64)
+            # of each signature the set with the fewest odd tokens first
+            best = np.empty(len(known), np.int64)
+            best[np.lexsort((known[:, 0], known[:, 3]))] = np.arange(len(known))
+            order = np.lexsort((best[owner], every))
+            every, owner = every[order], owner[order]
+            begin, size = _runs(every)
             rows = []
-            for s in range(n_slots):
-                if cut[s + 1] > cut[s]:
-                    part = slice(cut[s], cut[s + 1])
-                    used, back = np.unique(owner[part], return_inverse=True)
-                    rows.append((s, flush, 1, every[part].tobytes(), _squeeze(back.astype(np.uint32)), known[used].tobytes()))
+            many = size > MANY
+            if many.any():
+                inside = np.repeat(many, size)
+                hot, first = every[begin[many]], known[owner[begin[many]]]
+                rows.append((flush % n, flush, 3, every[inside].tobytes(), None, known[owner[inside]].tobytes()))
+                slots, cut = _cuts(hot, n)
+                rows += [(s, flush, 2, hot[a:b].tobytes(), None, first[a:b].tobytes()) for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False)]
+                every, owner = every[~inside], owner[~inside]
+            slots, cut = _cuts(every, n)
+            for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False):
+                used, back = np.unique(owner[a:b], return_inverse=True)
+                rows.append((s, flush, 1, every[a:b].tobytes(), _squeeze(back.astype(np.uint32)), known[used].tobytes()))
             return _parcels(rows)
 
-        for batch in batches:
-            for n, name, rare, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                tokens = _unpack6(raw)
-                each.append(signatures(n, tokens, rare))
-                facts.append((name, n, len(tokens), n - len(tokens) + rare))
+        for batch in small(batches, 3):
+            for size, name, rare, raw, classes in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                tokens = _tokens(raw)
+                each.append(signatures(size, tokens, rare, np.frombuffer(classes, np.uint8), level))
+                facts.append((name, size, len(tokens), size - len(tokens) + rare))
                 held += len(each[-1])
                 if held >= FLUSH // 2:
                     yield out()
@@ -330,62 +420,75 @@ def _sign(n_slots: int):
     return run
 
 
-_FOUND = "kind int, a bigint, b bigint"
+_FOUND = "kind int, a bigint, b bigint, size bigint, shared bigint"
+
+
+def _fits(size_a, size_b, shared_a, shared_b, least=np.minimum, most=np.maximum):
+    """Two sets can link by their sizes, and by what either shares with any set."""
+    return (100 * least(size_a, size_b) >= PERCENT * most(size_a, size_b)) & ((100 + PERCENT) * least(shared_a, shared_b) >= PERCENT * (size_a + size_b))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]):
-    """Parcels of signatures -> candidate pairs (kind 0: a < b), and the long lists' pivots with their members (kind 1: pivot a, member b)."""
-    held: dict[int, list] = defaultdict(list)
-    for batch in batches:
-        for slot, _, _, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            held[slot].append((a, b, c))
-
-    def found(kind, ab):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ab), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in ab.T)], ["kind", "a", "b"])
-
-    for slot in list(held):
-        parts = held.pop(slot)
-        signature, facts = [], []
-        for a, b, c in parts:
-            signature.append(np.frombuffer(a, np.uint64).view(np.int64))
-            facts.append(np.frombuffer(c, np.int64).reshape(-1, 4)[_loosen(b, np.uint32)])
-        signature, facts = np.concatenate(signature), np.concatenate(facts)
+    """Parcels of signatures, sorted by slot -> found rows.
+
+    Kind 0: candidate pairs a < b. 1: long lists' pivots a with their members b. 2: of signatures a that are long
+    within a block, the members b. 3: their pivots b.
+    """
+
+    def found(kind, a, b, facts=None):
+        facts = np.zeros((len(a), 2), np.int64) if facts is None else facts
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (a, b, facts[:, 0], facts[:, 1]))], _FOUND.replace(" int", "").replace(" bigint", "").split(", "))
+
+    for _, rows in _groups(batches, 0):
+        signature, facts, many = [], [], []
+        for _, _, kind, a, b, c in rows:
+            own, known = np.frombuffer(a, np.uint64), np.frombuffer(c, np.int64).reshape(-1, 4)
+            if kind == 3:
+                yield found(2, own.view(np.int64), known[:, 0], known[:, 1:3])
+                continue
+            signature.append(own)
+            facts.append(known[_loosen(b, np.uint32)] if kind == 1 else known)
+            many.append(np.full(len(own), kind == 2))
+        if not signature:
+            continue
+        signature, facts, many = np.concatenate(signature), np.concatenate(facts), np.concatenate(many)
         # the set with the fewest odd tokens first: what many copies were made from is the pivot of their list
-        order = np.lexsort((facts[:, 0], facts[:, 3], signature))
-        signature, facts = signature[order], facts[order]
+        order = np.lexsort((~many, facts[:, 0], facts[:, 3], signature))
+        signature, facts, many = signature[order], facts[order], many[order]
         new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (facts[1:, 0] != facts[:-1, 0])])
-        signature, (name, size, shared, odd) = signature[new], facts[new].T
-        begin = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
-        length = np.diff(np.append(begin, len(signature)))
+        hot = np.isin(signature, signature[many]) if many.any() else many
+        signature, (name, size, shared, _), hot = signature[new], facts[new].T, hot[new]
+        begin, length = _runs(signature)
         member = np.repeat(length, length)
         place = np.arange(len(signature)) - np.repeat(begin, length)
+        if hot.any():
+            first = hot & (place == 0)
+            yield found(3, signature[first].view(np.int64), name[first], np.stack([size[first], shared[first]], 1))
         pairs = []
         for step in range(1, SHORT):  # a short list's members that many places apart
             if step >= len(signature):
                 break
-            i = np.flatnonzero((member <= SHORT) & (place + step < member))
+            i = np.flatnonzero((member <= SHORT) & ~hot & (place + step < member))
             pairs.append((i, i + step))
-        long = member > SHORT
-        i = np.flatnonzero(long & (place > 0))
+        i = np.flatnonzero(((member > SHORT) | hot) & (place > 0))
         pairs.append((i - place[i], i))
         left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        fits = 100 * np.minimum(size[left], size[right]) >= PERCENT * np.maximum(size[left], size[right])
-        # what two sets have in common is among the tokens that either shares with any
-        fits &= (100 + PERCENT) * np.minimum(shared[left], shared[right]) >= PERCENT * (size[left] + size[right])
+        fits = _fits(size[left], size[right], shared[left], shared[right])
         x, y = name[left[fits]], name[right[fits]]
-        ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
-        if len(ab):
-            yield found(0, ab)
+        if len(x):
+            ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            yield found(0, ab[:, 0], ab[:, 1])
         if len(i):
-            yield found(1, np.unique(np.stack([name[i - place[i]], name[i]], 1), axis=0))
+            ab = np.unique(np.stack([name[i - place[i]], name[i]], 1), axis=0)
+            yield found(1, ab[:, 0], ab[:, 1])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]):
     """Pairs with both sets -> those that link."""
-    for batch in batches:
+    for batch in small(batches, 4):
         keep = []
         for na, nb, ta, tb in zip(*(x.to_pylist() for x in batch.columns[2:]), strict=True):
-            both = np.concatenate([_unpack6(ta), _unpack6(tb)])
+            both = np.concatenate([_tokens(ta), _tokens(tb)])
             both.sort()
             common = int(np.count_nonzero(both[1:] == both[:-1]))
             keep.append(100 * common >= PERCENT * (na + nb - common))
@@ -401,22 +504,53 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(_verify, "a bigint, b bigint")
 
 
-def _torn(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _found(sets: DataFrame, n: int, level: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), and the long lists' members (pivot, name), of sets."""
+    signed = sets.select("n", "name", "rare", "tokens", "classes").mapInArrow(_sign(n, level), _PARCEL)
+    found = stages.write(_dealt(signed, "slot", n).mapInArrow(_meet, _FOUND))
+    # the lists that were long within a block: a pivot for each signature, copied for each part of its members
+    ends = found.where("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("pivot"), F.col("size").alias("pn"), F.col("shared").alias("ps"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hot = found.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("name"), "size", "shared", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    hot = stages.write(hot.join(ends, ["sig", "salt"]).where("name <> pivot").select("pivot", "name", "size", "shared", "pn", "ps").distinct())
+    likely = hot.where(_fits(F.col("size"), F.col("pn"), F.col("shared"), F.col("ps"), F.least, F.greatest))
+    pairs = found.where("kind = 0").select("a", "b").unionByName(likely.select(F.least("pivot", "name").alias("a"), F.greatest("pivot", "name").alias("b"))).distinct()
+    members = found.where("kind = 1").select(F.col("a").alias("pivot"), F.col("b").alias("name")).unionByName(hot.select("pivot", "name")).distinct()
+    return pairs, members
+
+
+def _dealt(parcels: DataFrame, key: str, n: int) -> DataFrame:
+    """Parcels by key, sorted, so that a task holds one key's at a time."""
+    parts = partitions(parcels.sparkSession)
+    place = F.expr(f"cast({key} * {parts} div {n} as int)") if key == "slot" else F.expr(f"cast(pmod(xxhash64({key}), {parts}) as int)")
+    return parcels.repartitionById(parts, place).sortWithinPartitions(key)
+
+
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """pivot, name and root of members and pivots; a set without links is its own root."""
+    every = members.unionByName(members.select("pivot", F.col("pivot").alias("name")).distinct())
+    return every.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("pivot", "name", F.coalesce("root", "name").alias("root"))
+
+
+def _torn(placed: DataFrame) -> DataFrame:
+    """The rows of _with_roots() of those pivots whose lists are more than one component."""
+    torn = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
+    return placed.join(torn, "pivot", "left_semi")
+
+
+def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of one pivot's lists that are in different components.
 
     Members outside a list's largest component are compared with all others, block by block: a group is two
     blocks of about BLOCK sets, whatever the list's size.
     """
-    known = sets.select("name", "n", "tokens").join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    placed = members.unionByName(members.select("pivot", F.col("pivot").alias("name")).distinct()).join(known.select("name", "root"), "name")
     sizes = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("c"))
-    lists = sizes.groupBy("pivot").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    lists = lists.where("parts > 1").select("pivot", F.col("top.root").alias("main"), F.ceil(F.col("m") / BLOCK).alias("whole"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("strays"))
+    lists = sizes.groupBy("pivot").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"))
+    lists = lists.select("pivot", F.col("top.root").alias("main"), F.ceil(F.col("m") / BLOCK).alias("whole"), F.ceil((F.col("m") - F.col("top.c")) / BLOCK).alias("strays"))
     rows = placed.join(lists, "pivot")
     every = F.sequence(F.lit(0).cast("bigint"), F.col("strays") - 1)
     left = rows.where("root <> main").select("name", "root", "pivot", F.pmod(F.xxhash64("name"), F.col("strays")).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("whole") - 1)).alias("j"), F.lit(True).alias("stray"))
     right = rows.select("name", "root", "pivot", F.explode(every).alias("i"), F.pmod(F.xxhash64("name", F.lit(1)), F.col("whole")).alias("j"), F.lit(False).alias("stray"))
-    groups = left.unionByName(right).join(known.select("name", "n", "tokens"), "name").select("pivot", "i", "j", "name", "root", "stray", "n", "tokens")
+    groups = left.unionByName(right).join(sets.select("name", "n", "tokens"), "name").select("pivot", "i", "j", "name", "root", "stray", "n", "tokens")
     return groups.groupBy("pivot", "i", "j").applyInArrow(_compare, "a bigint, b bigint").distinct()
 
 
@@ -424,7 +558,7 @@ def _compare(key, table):
     """Links between the strays of one block and the members of another that are in other components."""
     stray = table.column("stray").to_numpy(zero_copy_only=False)
     name, root, n = (table.column(c).to_numpy() for c in ("name", "root", "n"))
-    tokens = [_unpack6(x) for x in table.column("tokens").to_pylist()]
+    tokens = [_tokens(x) for x in table.column("tokens").to_pylist()]
     row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
     _, token, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
     place = np.cumsum(stray) - 1  # a stray's line in the matrix
@@ -478,33 +612,50 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
         edges = after
         if was == now:
             break
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))  # the last stage stays until the job's end: it is read from here on
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text), n and root (null: an empty set) for every row."""
+def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
+    """doc_id, h (a hash of the text), n and root (null: an empty set) for every row, written."""
     spark = session(docs.sparkSession)
-    stages, n = Stages(spark, "ngram-join"), partitions(spark)
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id is of an integer type")
+    parts = partitions(spark)
+    # ranges: so many that one fits a worker, by the optimizer's estimate, which may be far too high
+    n = parts * min(MOST_RANGES, max(1, -(-input_bytes(docs.select("text")) // (parts * RANGE_BYTES))))
     parcels = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_hash(F.col("text")).alias("h")).mapInArrow(_send(n), _PARCEL)
-    counted = parcels.repartitionById(n, "slot").mapInArrow(_count, _PARCEL)
-    known = stages.write(counted.repartition(n, "flush").mapInArrow(_gather, _SETS), codec="none")
-    del parcels, counted
-    stages.tidy()
+    counted = _dealt(parcels, "slot", n).mapInArrow(_count, _PARCEL)
+    known = stages.write(_dealt(counted, "flush", n).mapInArrow(_gather, _SETS), codec="none")
     rows = known.where("kind = 0").select("doc_id", "h", "n", "name")
-    sets = stages.write(known.where("kind = 1").select("n", "name", "rare", "tokens").dropDuplicates(["name"]), codec="none")
-    found = sets.mapInArrow(_sign(n), _PARCEL).repartitionById(n, "slot").mapInArrow(_meet, _FOUND)
-    found = stages.write(found)
-    stages.tidy()
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-    links = stages.write(_links(pairs, sets))
-    stages.tidy()
-    roots = stages.write(components(links, stages))
-    more = stages.write(_torn(found.where("kind = 1").select(F.col("a").alias("pivot"), F.col("b").alias("name")).distinct(), sets, roots))
-    if not more.isEmpty():
-        roots = stages.write(components(links.unionByName(more), stages))
-    rows = rows.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
-    return rows.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "name")).alias("root"))
+    sets = stages.write(known.where("kind = 1").select("n", "name", "rare", "tokens", "classes").dropDuplicates(["name"]), codec="none")
+    pairs, members = _found(sets, n, 0, stages)
+    links = [stages.write(_links(pairs, sets))]
+    roots = stages.write(components(links[0], stages))
+    for level in range(1, LEVELS + 2):
+        placed = stages.write(_torn(_with_roots(members, roots)))
+        if placed.isEmpty():
+            break
+        if level <= LEVELS:
+            some = stages.write(sets.join(placed.select("name").distinct(), "name", "left_semi"), codec="none")
+            pairs, members = _found(some, n, level, stages)
+            apart = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+            pairs = pairs.join(apart[0], "a", "left").join(apart[1], "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+            links.append(stages.write(_links(pairs, some)))
+            stages.drop(some)
+        else:
+            links.append(stages.write(_across(placed, sets)))
+        stages.drop(placed)
+        if links[-1].isEmpty():
+            continue
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        roots = stages.write(components(every, stages))
+    out = rows.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
+    out = stages.write(out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "name")).alias("root")))
+    stages.drop(known, sets)
+    return out
 
 
 def _text_hash(text: Column) -> Column:
@@ -514,17 +665,19 @@ def _text_hash(text: Column) -> Column:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs(doc_id, text)."""
     id_type = docs.schema["doc_id"].dataType
-    rows = _placed(docs)
+    rows = _placed(docs, Stages(docs.sparkSession, "ngram-join"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    least = least.where("copies > 1").select("root", "least")
+    # a component may hold any share of the rows: its id goes to each of many parts of them
+    least = least.where("copies > 1").select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int"))
     own = F.coalesce("least", "doc_id")
-    return rows.join(least, "root", "left").select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("n").alias("n_shingles"), own.cast(id_type).alias("component_id"))
+    return rows.join(least, ["root", "salt"], "left").select(F.col("doc_id").cast(id_type).alias("doc_id"), F.col("n").alias("n_shingles"), own.cast(id_type).alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component, with all columns of docs: that of least doc_id (then text hash; null ids last). Rows with an empty set all stay."""
     stages = Stages(docs.sparkSession, "representatives")
-    placed = stages.write(_placed(docs))
+    placed = _placed(docs, stages)
     best = placed.where("root is not null").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "h")).alias("best"))
     empty = placed.where("root is null").select("doc_id", "h").distinct()
     kept = best.select("best.doc_id", "best.h").unionByName(empty).select(F.col("doc_id").alias("k0"), F.col("h").alias("k1"))

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import session
+from .common import session, small
 from .tokens import encoder
 
 WINDOW, END_ID = 2048, 1
@@ -81,7 +82,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     session(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else None
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     item = max(1, window // 4)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -110,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
             return rows(*columns)
 
         open_items, held = [], 0
-        for batch in batches:
+        for batch in small(batches, 1):
             whole = [[], [], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer).texts(batch.column(1), end_id), strict=True):
                 n, raw = len(ids), ids.astype("<u4").tobytes()

@@ -2,8 +2,8 @@
 
 Features of a text are the shares of its words, word pairs and byte 4-grams (ASCII letters folded, white
 space runs as they are) that fall in each of 2**16 hash buckets a kind, so that long and short texts weigh
-alike. Weights are learned on labelled rows - at most ``FIT_ROWS`` of them, those of least hashed doc_id -
-and the scores turned into probabilities by Platt's method on the fifth of these rows that was held out. A
+alike. Weights are learned on labelled rows - at most ``FIT_ROWS`` of them, those of least hashed doc_id, and
+of these as many as hold ``FIT_BYTES`` of text together (bounds of what reaches the driver) - and the scores turned into probabilities by Platt's method on the fifth of these rows that was held out. A
 text is kept if its probability of good quality is THRESHOLD or more and no base rule failed.
 
 Counting is vectorised over Arrow batches. Null and empty texts have no words, fail the base rule and are
@@ -18,13 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, mix, session, span_hashes, word_spans
+from .common import LOWER, mix, session, small, span_hashes, text_pieces, word_spans
 
-#: Labelled rows used for fitting, at most; least probability of a kept text; hash bits of each kind of feature.
-FIT_ROWS, THRESHOLD, BITS = 3000, 0.3, 16
+#: Labelled rows used for fitting and bytes of their texts, at most; least probability of a kept text; hash bits of each kind of feature.
+FIT_ROWS, FIT_BYTES, THRESHOLD, BITS = 3000, 64 << 20, 0.3, 16
 KINDS, U = 3, np.uint64
 #: Text bytes that are counted at once.
 CHUNK = 2 << 20
@@ -33,12 +33,7 @@ SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def _chunks(column: pa.Array):
-    data, offs = flat(column)
-    i, n = 0, len(offs) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK, "right")) - 1)
-        yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        i = j
+    yield from text_pieces(column, CHUNK)
 
 
 def _per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -208,12 +203,15 @@ def fit(texts: list[str], good: list[int], rounds: int = 60, penalty: float = 1e
     return Model(weights[:-1], float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """A model from labels(doc_id, quality); at most so many rows reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_BYTES) -> Model:
+    """A model from labels(doc_id, quality); at most so many rows, and so many bytes of their texts, reach the driver."""
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id"), F.col("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
-    got = known.select(F.col("text"), F.col("quality"), F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(2 * rows).toPandas()
+    # documents with equal ids are rows of their own: once more no more than so many
+    known = known.select("text", "quality", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("bigint").alias("size")).orderBy("h", "size", "text").limit(rows)
+    held = F.sum("size").over(Window.orderBy("h", "size", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded rows
+    got = known.withColumn("held", held).where(F.col("held") <= most).select("text", "quality").toPandas()
     return fit(got["text"].tolist(), (got["quality"] > 0).astype(int).tolist())
 
 
@@ -224,7 +222,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 * 2**BITS weights
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, 1):
             for i, j, counts, failed, kept, p in _judged(batch.column(1), shared.value, threshold):
                 columns = [batch.column(0).slice(i, j - i), *(pa.array(c) for c in counts.values()), pa.array(failed), pa.array(kept), pa.array(p)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *counts, "base_failed", "kept", "probability"])
@@ -249,7 +247,7 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches, at):
             kept = [k for _, _, _, _, k, _ in _judged(batch.column(at), shared.value, threshold)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 

@@ -11,7 +11,6 @@ Offsets count code points, ends are exclusive. Only the key and text columns are
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,8 +19,9 @@ from re import _parser as _re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import LOWER, flat, session
+from .common import LOWER, flat, session, small
 
 
 @dataclass(frozen=True)
@@ -225,7 +225,7 @@ def scan_secrets(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str =
 
     def scan(batches):
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in small(batches, 1):
             found = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in scanner.spans(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], [key, "spans"])
 
@@ -255,7 +255,7 @@ def mask_secrets(docs: DataFrame, rules=RULES, text: str = "text", length: str |
 
     def clean(batches):
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in small(batches, at):
             columns, spans = list(batch.columns), scanner.spans(batch.column(at))
             hit = [i for i, x in enumerate(spans) if x]
             if hit:
@@ -275,18 +275,8 @@ def mask_secrets(docs: DataFrame, rules=RULES, text: str = "text", length: str |
 
 def digest(spans: DataFrame, rules=RULES, key: str = "doc_id") -> DataFrame:
     """The counts, the hash of the base spans and the joined spans of scan_secrets' rows."""
-    base = {r.kind for r in rules if r.base}
-    kind = spans.schema[key].dataType.simpleString()
-
-    def line(batches):
-        for batch in batches:
-            rows = [x or [] for x in batch.column(1).to_pylist()]
-            kinds = [[s["kind"] for s in x] for x in rows]
-            told = [[f"{s['kind']}:{s['start']}:{s['end']}" for s in x] for x in rows]
-            sums = [hashlib.sha256(",".join(t for t, k in zip(a, b, strict=True) if k in base).encode()).hexdigest() for a, b in zip(told, kinds, strict=True)]
-            counts = [pa.array([k.count(name) for k in kinds], pa.int64()) for name in ("assign", "access", "hex")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(sums, pa.string()), pa.array([",".join(x) for x in told], pa.string())], [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-            )
-
-    return spans.mapInArrow(line, f"{key} {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    base = [r.kind for r in rules if r.base]
+    told = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [F.size(of([k])).cast("bigint").alias(f"n_{k}") for k in base]
+    return spans.select(key, *counts, F.sha2(told(of(base)), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))

@@ -12,8 +12,9 @@ Files follow each other in ascending doc_id order. Every block is decoded by its
 once, with one table look-up for each id.
 
 Null and empty texts are documents of one id (the end id); null doc_ids come first; rows with equal
-doc_ids are all written, ordered by their ids. Only doc_id and text are read. An empty table gives a
-header without codes and no blocks.
+doc_ids are all written, in the order of a checksum of their ids, and may lie in several files, so that no
+doc_id is one task's. Only doc_id and text are read, whatever the other columns are called. An empty table
+gives a header without codes and no blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stages, partitions, session
+from ..deploy import tidy_shuffles
+from .common import Stages, partitions, session, small
 from .tokens import encoder
 
 END_ID = 1
@@ -137,11 +139,22 @@ def _unpacked(raw: bytes, wide: bool) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+HEADER, BLOCKS = "header", "blocks"
+
+
 class TokenFiles:
     """A written set of files: the header's code lengths and the table of blocks."""
 
-    def __init__(self, lengths: np.ndarray, blocks: DataFrame, id_type: str):
-        self.lengths, self.blocks, self.id_type = lengths, blocks, id_type
+    def __init__(self, lengths: np.ndarray, blocks: DataFrame):
+        self.lengths, self.blocks = lengths, blocks
+        self.id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TokenFiles:
+        """The files that write_token_files() wrote to a path."""
+        session(spark)
+        header, blocks = (spark.read.parquet(f"{path.rstrip('/')}/{part}") for part in (HEADER, BLOCKS))
+        return cls(np.frombuffer(bytes(header.first()[0]), np.uint8), blocks)
 
     def read(self) -> DataFrame:
         """doc_id, start (ids of all documents before it), ids (little-endian unsigned 32-bit) for every document."""
@@ -152,7 +165,7 @@ class TokenFiles:
 
         def run(batches: Iterator[pa.RecordBatch]):
             decoder = Decoder(lengths)
-            for batch in batches:
+            for batch in small(batches, payload):
                 for row in batch.to_pylist():
                     ends = np.cumsum(np.array(row["sizes"], np.int64))
                     ids = decoder.decode(row["marks"], row["payload"], int(ends[-1])).astype("<u4")
@@ -166,13 +179,16 @@ class TokenFiles:
                         ["doc_id", "start", "ids"],
                     )
 
-        return self.blocks.join(F.broadcast(totals), "file").mapInArrow(run, f"doc_id {self.id_type}, start bigint, ids binary")
+        rows = self.blocks.join(F.broadcast(totals), "file")
+        payload = rows.columns.index("payload")
+        return rows.mapInArrow(run, f"doc_id {self.id_type}, start bigint, ids binary")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> TokenFiles:
-    """Writes the ids of all documents, in ascending doc_id order."""
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str | None = None) -> TokenFiles:
+    """Writes the ids of all documents, in ascending doc_id order, to a new folder; without one, to a folder that goes when the application ends."""
     spark = session(docs.sparkSession)
     stages = Stages(spark, "token-files")
+    path = (path or f"{stages.root}/files").rstrip("/")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     from tokenizers import Tokenizer
 
@@ -180,15 +196,21 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
     wide = vocabulary > 1 << 16
 
     def tokenise(batches):
-        for batch in batches:
-            packed = [_packed(ids, wide) for ids in encoder(tokenizer).texts(batch.column(1), end_id)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
-
-    tokens = stages.write(docs.select("doc_id", "text").mapInArrow(tokenise, f"doc_id {id_type}, packed binary"), codec="none")
+        n = 0
+        for batch in small(batches, 1):
+            packed, marks = [], []
+            for ids in encoder(tokenizer).texts(batch.column(1), end_id):
+                packed.append(_packed(ids, wide))
+                # equal rows by the thousand differ in their place
+                marks.append(zlib.crc32(packed[-1]) << 12 | n & 0xFFF)
+                n += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "mark", "packed"])
+
+    tokens = stages.write(docs.select("doc_id", "text").mapInArrow(tokenise, f"doc_id {id_type}, mark bigint, packed binary"), codec="none")
 
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
+        for batch in small(batches, 0):
             ids = [_unpacked(x, wide) for x in batch.column(0).to_pylist()]
             if ids:
                 total += np.bincount(np.concatenate(ids), minlength=vocabulary)
@@ -199,7 +221,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
     for i, n in tokens.select("packed").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).collect():  # one row for an id
         counts[i] = n
     lengths = code_lengths(counts)
-    header = stages.write(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"))
+    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/{HEADER}")
 
     def encode(batches):
         from pyspark import TaskContext
@@ -215,7 +237,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["file", "block", "first", "doc_ids", "sizes", "marks", "payload"])
 
-        for batch in batches:
+        for batch in small(batches, 1):
             kind = batch.schema.field(0).type
             for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 doc_ids.append(doc)
@@ -228,13 +250,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
         if parts:
             yield out()
 
-    ordered = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "packed")
-    blocks = stages.write(
-        ordered.mapInArrow(encode, f"file int, block int, first bigint, doc_ids array<{id_type}>, sizes array<bigint>, marks binary, payload binary"), codec="none"
-    )
+    ordered = tokens.repartitionByRange(partitions(spark), "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "packed")
+    schema = f"file int, block int, first bigint, doc_ids array<{id_type}>, sizes array<bigint>, marks binary, payload binary"
+    with tidy_shuffles(spark):
+        ordered.mapInArrow(encode, schema).write.option("compression", "none").parquet(f"{path}/{BLOCKS}")
     stages.drop(tokens)
-    stages.tidy()
-    return TokenFiles(np.frombuffer(bytes(header.first()[0]), np.uint8), blocks, id_type)
+    return TokenFiles.open(spark, path)
 
 
 def digest(read: DataFrame) -> DataFrame:

@@ -16,10 +16,13 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .common import LOWER, SPACE, flat, span_hashes, word_spans
+from .common import LOWER, SPACE, span_hashes, text_pieces, word_spans
 
 #: Distinct segments that a worker remembers, and text bytes that it takes at once.
 REMEMBER, CHUNK = 600_000, 8 << 20
+#: Places in the table of remembered segments.
+_TABLE_BITS = 20
+_TABLE_SHIFT = np.uint64(64 - _TABLE_BITS)
 
 _OPEN: dict[str, "Encoder"] = {}
 _RUN = np.zeros(256, bool)
@@ -104,6 +107,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slot: dict[int, int] = {}
+        self.near_hash, self.near_slot = np.zeros(1 << _TABLE_BITS, np.uint64), np.full(1 << _TABLE_BITS, -1, np.int64)
         self.starts, self.sizes, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.store = np.zeros(1 << 18, np.uint32)
 
@@ -158,35 +162,46 @@ class Encoder:
         starts, ends, first = self.cut(data, offs)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        hashes, one, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
+        every = span_hashes(data, starts, ends)
+        # most segments are found in a table by the upper bits of their hash, without sorting
+        if len(self.slot) <= REMEMBER:
+            place = (every >> _TABLE_SHIFT).astype(np.int64)
+            slots = np.where(self.near_hash[place] == every, self.near_slot[place], -1)
+            rest = np.flatnonzero(slots < 0)
+            if not len(rest):
+                ids, sizes = self._gather(slots)
+                return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
+        else:
+            slots, rest = np.empty(len(every), np.int64), np.arange(len(every))
+        hashes, one, back = np.unique(every[rest], return_index=True, return_inverse=True)
+        one, keys = rest[one], hashes.tolist()
         if len(self.slot) > REMEMBER:  # keeps what this chunk holds too: the frequent segments
             kept = [(k, self.slot[k]) for k in keys if k in self.slot]
             ids, sizes = self._gather(np.array([s for _, s in kept], np.int64))
             self._forget()
             self._remember([k for k, _ in kept], ids, sizes)
-        slots = [self.slot.get(k, -1) for k in keys]
-        new = [i for i, s in enumerate(slots) if s < 0]
+        known = [self.slot.get(k, -1) for k in keys]
+        new = [i for i, s in enumerate(known) if s < 0]
         if new:
             raw, a, b = data.tobytes(), starts[one], ends[one]
             self._remember([keys[i] for i in new], *self._model_ids([raw[a[i] : b[i]].decode() for i in new]))
-            slots = [self.slot[k] for k in keys]
-        ids, sizes = self._gather(np.array(slots, np.int64)[back])
+            known = [self.slot[k] for k in keys]
+        known = np.array(known, np.int64)
+        place = (hashes >> _TABLE_SHIFT).astype(np.int64)
+        self.near_hash[place], self.near_slot[place] = hashes, known  # of two in one place either will do
+        slots[rest] = known[back]
+        ids, sizes = self._gather(slots)
         return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
 
     def texts(self, column: pa.Array, end_id: int | None = None):
         """For each text of a column its ids, with the end id if there is one; null is empty."""
-        data, offs = flat(column)
-        i, n = 0, len(offs) - 1
-        while i < n:
-            j = max(i + 1, int(np.searchsorted(offs, offs[i] + CHUNK, "right")) - 1)
-            ids, at = self.encode(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        for i, j, data, offs in text_pieces(column, CHUNK):
+            ids, at = self.encode(data, offs)
             if end_id is not None:
                 ids = np.insert(ids, at[1:], np.uint32(end_id))
                 at = at + np.arange(len(at))
             for k in range(j - i):
                 yield ids[at[k] : at[k + 1]]
-            i = j
 
 
 def encoder(path: str) -> Encoder:

@@ -2,8 +2,9 @@
 
 A strict term rejects alone, soft terms only when several distinct ones occur. A term counts where no
 ASCII letter or digit touches it. Null urls, and urls without ``://``, have an empty host and path, fit
-no rule, and are judged by the vocabulary over the whole url (null: allowed). Repeated rows are judged
-alike; other columns of the input are neither read nor returned.
+no rule, and are judged by the vocabulary over the whole url (null: allowed). Urls are judged whole, however
+long; repeated rows and null ids are judged like any other; an empty table gives no rows; other columns of
+the input are neither read nor returned, whatever they are called.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import session, small
+
 #: (verdict, host, path); the longest rule that fits wins.
 RULES = (
     ("allow", "com", "/"),
@@ -76,13 +79,14 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
 
     def terms(batches):
         count = _counter(strict, soft)
-        for batch in batches:
+        for batch in small(batches, 1):
             found = [count(u) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())],
                 ["page_id", "url", "n_strict", "n_soft"],
             )
 
+    session(pages.sparkSession)
     known = pages.select("page_id", "url")
     kind = known.schema["page_id"].dataType.simpleString()
     seen = known.mapInArrow(terms, f"page_id {kind}, url string, n_strict bigint, n_soft bigint")

@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from maskwright.llm import decontaminate, ngram_join, packing, quality, secret_scan, sharding, token_files
 from maskwright.llm.common import flat
@@ -26,8 +28,8 @@ def test_minimax_capacity(spark):
     rows = [(i, "x" * r.randint(1, 300) + str(i % 37)) for i in range(400)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     groups = sharding.shard(frame, 5)
-    keyed = frame.selectExpr("xxhash64(text) AS h", "octet_length(text) + 8 AS b").groupBy("h").agg({"b": "sum"}).collect()
-    sizes = [int(x[1]) for x in sorted(keyed)]
+    keyed = frame.select(sharding.order_key(F.col("text")).alias("h"), F.expr("octet_length(text) + 8").alias("b")).groupBy("h").agg(F.sum("b").alias("bytes"))
+    sizes = [int(x[1]) for x in sorted(keyed.collect())]
 
     def fits(capacity):
         shards, held = 1, 0
@@ -38,7 +40,7 @@ def test_minimax_capacity(spark):
         return shards <= 5
 
     best = next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
-    _, capacity = sharding.cut_keys(frame.selectExpr("xxhash64(text) AS h", "octet_length(text) + 8 AS b").groupBy("h").agg({"b": "sum"}).selectExpr("h", "`sum(b)` AS bytes"), 5)
+    _, capacity = sharding.cut_keys(keyed, 5)
     assert capacity == best
     sums = {}
     for x in groups.collect():
@@ -81,23 +83,70 @@ def test_join_with_long_torn_lists(spark):
 
 
 def test_signatures_cover():
-    """Sets that are alike enough have a signature in common, whichever of their tokens are frequent."""
+    """Sets that are alike enough have a signature in common on every level, whatever classes their tokens are of."""
     r = np.random.default_rng(3)
-    for _ in range(300):
-        n = int(r.integers(2, 200))
-        universe = np.unique(r.integers(1, 1 << 48, 2 * n + 50).astype(np.uint64))
+    for turn in range(600):
+        n = int(r.integers(2, 40 if turn % 2 else 300))
+        universe = np.unique(r.integers(1, 1 << 62, 2 * n + 50).astype(np.uint64))
+        r.shuffle(universe)
         a = universe[:n]
         drop = int(r.integers(0, n // 4 + 1))
         b = np.unique(np.concatenate([a[drop:], universe[n : n + int(r.integers(0, n // 4 + 1))]]))
         both = len(np.intersect1d(a, b))
         if 100 * both < 75 * (len(a) + len(b) - both) or len(a) == len(b) == both:
             continue
-        frequent = set(universe[r.random(len(universe)) < r.random()].tolist())
-        out = []
-        for s in (a, b):
-            shared = np.array(sorted(np.intersect1d(s, universe).tolist(), key=lambda t: (t in frequent, t)), np.uint64)
-            out.append(set(ngram_join.signatures(len(s), shared, sum(t not in frequent for t in shared.tolist())).tolist()))
-        assert out[0] & out[1]
+        top, frequent = r.choice([66, 71, 90]), r.random()
+        often = {t: int(r.integers(65, top)) if r.random() < frequent else int(r.integers(2, 65)) for t in universe.tolist()}
+        alone = r.random() < 0.5  # tokens of one set only have no class
+        for level in range(ngram_join.LEVELS + 1):
+            out = []
+            for s, other in ((a, b), (b, a)):
+                shared = np.intersect1d(s, other) if alone else s
+                tokens = np.array(sorted(shared.tolist(), key=lambda t: (often[t], t)), np.uint64)
+                classes = np.array([often[t] for t in tokens.tolist()], np.uint8)
+                rare = int((classes <= ngram_join.FREQUENT).sum())
+                out.append(set(ngram_join.signatures(len(s), tokens, rare, classes[rare:], level).tolist()))
+            assert out[0] & out[1], (n, level)
+
+
+def test_frequency_classes():
+    n = np.array([2, 64, 65, 128, 129, 4096, 4097, 10**12])
+    assert ngram_join.frequency_class(n).tolist() == [2, 64, 65, 65, 66, 70, 71, 98] and ngram_join._PAIRS == 70
+
+
+def _check(spark, texts):
+    got = {x.doc_id: x.component_id for x in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [got[i] for i in range(len(texts))] == _jaccard_components(texts)
+
+
+@pytest.mark.parametrize("most", [2, 0])
+def test_join_with_one_shingle_everywhere_and_hot_lists(spark, monkeypatch, most):
+    """Tokens and signatures that travel apart; torn lists signed again, or compared block by block."""
+    monkeypatch.setattr(ngram_join, "LEVELS", most)
+    monkeypatch.setattr(ngram_join, "OFTEN", 2)
+    monkeypatch.setattr(ngram_join, "MANY", 3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    levels, across = [], []
+    found, last = ngram_join._found, ngram_join._across
+    monkeypatch.setattr(ngram_join, "_found", lambda sets, n, level, stages: (levels.append(level), found(sets, n, level, stages))[1])
+    monkeypatch.setattr(ngram_join, "_across", lambda *a: (across.append(1), last(*a))[1])
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    line = "every document of this corpus holds one licence line that nobody reads"
+    passage = [word() for _ in range(60)]
+    texts = [f"{line} " + " ".join(word() for _ in range(r.randint(0, 40))) for _ in range(90)]
+    for k in range(6):  # families of more copies than a rare token has documents, that share a passage
+        base = passage + [word() for _ in range(12 + 2 * k)]
+        for _ in range(70):
+            copy = list(base)
+            if r.random() < 0.8:
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    texts += [" ".join(passage[:k]) for k in range(34, 60, 2)]
+    texts += [line, line, " ".join(passage), " ".join(passage[:50]), "", "one two", "one two", "one  TWO"]
+    r.shuffle(texts)
+    _check(spark, texts)
+    assert levels[:2] == [0, 1] if most else across
 
 
 def test_differencing():
