@@ -13,11 +13,17 @@ from ..deploy import Stages, input_bytes, ship
 __all__ = ["Stages", "input_bytes"]
 
 #: Rows and bytes of text of one batch that are taken apart at once: very long texts must not meet by thousands in a worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
+#: Limits of the batches that Spark sends, where the session names none: they lie in the executor's and the worker's memory at once.
+LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """The session, with this package on its workers."""
+    """The session, with this package on its workers, and with limits of Arrow batches unless it has its own."""
+    named = spark.conf.getAll
+    for key, value in LIMITS.items():
+        if key not in named:
+            spark.conf.set(key, value)
     return ship(spark)
 
 
@@ -40,6 +46,17 @@ def small(batches: Iterable[pa.RecordBatch], column: int, rows: int = BATCH_ROWS
             i = j
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """An array's bytes, compressed, with their number before them."""
+    raw = a.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def loosen(raw: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(raw[8:], size, asbytes=True), kind) if size else np.zeros(0, kind)
+
+
 # ---------------------------------------------------------------- text as bytes
 
 #: The six ASCII white space characters that end a word.

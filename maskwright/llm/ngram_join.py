@@ -15,11 +15,12 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|. Method: prefixes of token
    band, and a document near the end of its band is indexed in the next one too.
 3. Documents with a signature in common, of sizes that allow a link, are verified on their whole sets.
    Short signature lists give all their pairs. A long list gives the pairs with one pivot, its set with the
-   fewest tokens of its own (what copies were made from links with all of them); a list that is long within
-   one block travels as rows to a salted join with its pivot, never to one task.
-4. Where the members of a pivot's lists are then not one component, these members alone are signed again by
-   combinations of more tokens, level by level. What lists are torn after the last level is compared in
-   pairs of blocks, by exact overlap matrices.
+   fewest tokens of its own (what copies were made from links with all of them). Of a list that is long
+   within one block only a pivot of the block's own travels on, so that no signature is a hot key; the members
+   are paired with it, once for all their signatures, and go with it to the list's pivot.
+4. Where the members of a pivot's lists are then not one component, those of them that can have a partner in
+   the list by their sizes are signed again by combinations of more tokens, level by level. What lists are
+   torn after the last level is compared in pairs of blocks, by exact overlap matrices.
 
 Equal sets are one node throughout: within a block copies send their tokens once, and those of other blocks
 are dropped by name after the count. Components come from large-star / small-star rounds on the links;
@@ -46,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import LOWER, Stages, input_bytes, mix, partitions, session, small, span_hashes, text_pieces, word_spans
+from .common import LOWER, Stages, input_bytes, loosen, mix, partitions, session, small, span_hashes, squeeze, text_pieces, word_spans
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 75
@@ -57,7 +58,7 @@ SHORT = 12
 #: Occurrences of a token, and members of a signature, in one block beyond which they travel apart.
 OFTEN, MANY = 16, 32
 #: Rounds of longer combinations for members of torn lists.
-LEVELS = 2
+LEVELS = 1
 #: Sets in a block of members that are compared with another block.
 BLOCK = 512
 #: Tokens that a task gathers before it sends them on; input bytes whose tokens a task holds at once.
@@ -98,23 +99,13 @@ def _sets(data: np.ndarray, offs: np.ndarray):
         yield own, int(mix(own * U(0xD1342543DE82EF95) + U(len(own))).sum(dtype=np.uint64).astype(np.int64)) if len(own) else 0
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    raw = a.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
-
-
-def _loosen(raw: bytes, kind) -> np.ndarray:
-    size = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(pa.Codec("zstd").decompress(raw[8:], size, asbytes=True), kind) if size else np.zeros(0, kind)
-
-
 def _pack(ranked: np.ndarray) -> bytes:
     """Sorted tokens of one range: their upper bytes hardly change, so byte by byte they take some five bytes each."""
-    return _squeeze(np.ascontiguousarray(ranked.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+    return squeeze(np.ascontiguousarray(ranked.astype("<u8").view(np.uint8).reshape(-1, 8).T))
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(_loosen(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    return np.ascontiguousarray(loosen(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
 _PARCEL = "slot bigint, flush bigint, kind int, a binary, b binary, c binary"
@@ -172,17 +163,17 @@ def _send(n: int):
             if often.any():
                 inside = np.repeat(often, size)
                 hot, count = every[begin[often]], size[often]
-                rows.append((flush % n, flush, 3, hot.tobytes(), _squeeze(owner[inside]), count.astype(np.int64).tobytes()))
+                rows.append((flush % n, flush, 3, hot.tobytes(), squeeze(owner[inside]), count.astype(np.int64).tobytes()))
                 slots, cut = _cuts(hot, n)
                 rows += [(s, flush, 2, hot[a:b].tobytes(), None, count[a:b].astype(np.int64).tobytes()) for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False)]
                 every, owner = every[~inside], owner[~inside]
             slots, cut = _cuts(every, n)
-            rows += [(s, flush, 1, _pack(every[a:b]), _squeeze(owner[a:b]), None) for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False)]
+            rows += [(s, flush, 1, _pack(every[a:b]), squeeze(owner[a:b]), None) for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False)]
             return _parcels(rows)
 
         for batch in small(batches, 1):
             doc_ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for i, _j, data, offs in text_pieces(batch.column(1), 4 << 20):
+            for i, _j, data, offs in text_pieces(batch.column(1), 2 << 20):
                 for k, (own, name) in enumerate(_sets(data, offs)):
                     ids.append(doc_ids[i + k])
                     marks.append(hashes[i + k])
@@ -236,7 +227,7 @@ def _count(batches: Iterator[pa.RecordBatch]):
             at += len(own)
             keep = mine >= 2
             if keep.any():
-                back.append((0, flush, kind, _pack(own[keep]), _squeeze(_loosen(owners, np.uint16)[keep]) if kind == 1 else None, _squeeze(mine[keep])))
+                back.append((0, flush, kind, _pack(own[keep]), squeeze(loosen(owners, np.uint16)[keep]) if kind == 1 else None, squeeze(mine[keep])))
         if back:
             yield _parcels(back)
 
@@ -258,10 +249,10 @@ def _gather(batches: Iterator[pa.RecordBatch]):
         ids, known = np.frombuffer(a[: 8 * m], np.int64), np.frombuffer(a[8 * m :], bool)
         none = pa.nulls(m, pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(ids, mask=~known), pa.array(marks), pa.array(sizes), pa.array(names), pa.nulls(m, pa.int64()), none, none], fields)
-        tokens, owner, often = [_unpack(p[0]) for p in parts[1]], [_loosen(p[1], np.uint16) for p in parts[1]], [_loosen(p[2], np.uint8) for p in parts[1]]
+        tokens, owner, often = [_unpack(p[0]) for p in parts[1]], [loosen(p[1], np.uint16) for p in parts[1]], [loosen(p[2], np.uint8) for p in parts[1]]
         if parts[3]:
-            hot, owners, count = np.frombuffer(parts[3][0][0], np.uint64), _loosen(parts[3][0][1], np.uint16), np.frombuffer(parts[3][0][2], np.int64)
-            answered, said = np.concatenate([_unpack(p[0]) for p in parts[2]]), np.concatenate([_loosen(p[2], np.uint8) for p in parts[2]])
+            hot, owners, count = np.frombuffer(parts[3][0][0], np.uint64), loosen(parts[3][0][1], np.uint16), np.frombuffer(parts[3][0][2], np.int64)
+            answered, said = np.concatenate([_unpack(p[0]) for p in parts[2]]), np.concatenate([loosen(p[2], np.uint8) for p in parts[2]])
             tokens.append(np.repeat(hot, count))
             owner.append(owners)
             often.append(np.repeat(said[np.argsort(answered)], count))  # both are the same tokens
@@ -368,8 +359,8 @@ def _sign(n: int, level: int = 0):
     """Sets -> parcels of signatures by slot.
 
     Kind 1: signatures, which of the sets each is of, and the sets' names, sizes, shared tokens and tokens that
-    are not frequent. 2: signatures of many sets of the block, with the facts of the best pivot. 3: the
-    members of these, for a join.
+    are not frequent. 2: signatures of many sets of the block, with the facts of the block's pivot. 3: pairs of
+    such pivots and members, with the facts of both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -393,15 +384,18 @@ def _sign(n: int, level: int = 0):
             many = size > MANY
             if many.any():
                 inside = np.repeat(many, size)
-                hot, first = every[begin[many]], known[owner[begin[many]]]
-                rows.append((flush % n, flush, 3, every[inside].tobytes(), None, known[owner[inside]].tobytes()))
+                top = owner[begin[many]]
+                hot, first = every[begin[many]], known[top]
+                pairs = np.unique(np.repeat(top, size[many]).astype(np.int64) << 32 | owner[inside])
+                a, b = pairs >> 32, pairs & 0xFFFFFFFF
+                rows.append((flush % n, flush, 3, None, None, np.concatenate([known[a[a != b]], known[b[a != b]]], 1).tobytes()))
                 slots, cut = _cuts(hot, n)
                 rows += [(s, flush, 2, hot[a:b].tobytes(), None, first[a:b].tobytes()) for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False)]
                 every, owner = every[~inside], owner[~inside]
             slots, cut = _cuts(every, n)
             for s, a, b in zip(slots.tolist(), cut, cut[1:], strict=False):
                 used, back = np.unique(owner[a:b], return_inverse=True)
-                rows.append((s, flush, 1, every[a:b].tobytes(), _squeeze(back.astype(np.uint32)), known[used].tobytes()))
+                rows.append((s, flush, 1, every[a:b].tobytes(), squeeze(back.astype(np.uint32)), known[used].tobytes()))
             return _parcels(rows)
 
         for batch in small(batches, 3):
@@ -420,34 +414,39 @@ def _sign(n: int, level: int = 0):
     return run
 
 
-_FOUND = "kind int, a bigint, b bigint, size bigint, shared bigint"
+_FOUND = "kind int, a bigint, b bigint"
 
 
-def _fits(size_a, size_b, shared_a, shared_b, least=np.minimum, most=np.maximum):
+def _fits(size_a: np.ndarray, size_b: np.ndarray, shared_a: np.ndarray, shared_b: np.ndarray) -> np.ndarray:
     """Two sets can link by their sizes, and by what either shares with any set."""
-    return (100 * least(size_a, size_b) >= PERCENT * most(size_a, size_b)) & ((100 + PERCENT) * least(shared_a, shared_b) >= PERCENT * (size_a + size_b))
+    return (100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)) & ((100 + PERCENT) * np.minimum(shared_a, shared_b) >= PERCENT * (size_a + size_b))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]):
     """Parcels of signatures, sorted by slot -> found rows.
 
-    Kind 0: candidate pairs a < b. 1: long lists' pivots a with their members b. 2: of signatures a that are long
-    within a block, the members b. 3: their pivots b.
+    Kind 0: candidate pairs a < b. 1: long lists' pivots a with their members b. 2: pivots a of blocks with their
+    members b. 3: the lists' pivots b of such pivots a.
     """
 
-    def found(kind, a, b, facts=None):
-        facts = np.zeros((len(a), 2), np.int64) if facts is None else facts
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in (a, b, facts[:, 0], facts[:, 1]))], _FOUND.replace(" int", "").replace(" bigint", "").split(", "))
+    def found(kind, a, b):
+        x, y = (np.minimum(a, b), np.maximum(a, b)) if kind == 0 else (a, b)
+        ab = np.unique(np.stack([x, y], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ab), kind, np.int32)), *(pa.array(np.ascontiguousarray(c)) for c in ab.T)], ["kind", "a", "b"])
 
     for _, rows in _groups(batches, 0):
         signature, facts, many = [], [], []
         for _, _, kind, a, b, c in rows:
-            own, known = np.frombuffer(a, np.uint64), np.frombuffer(c, np.int64).reshape(-1, 4)
             if kind == 3:
-                yield found(2, own.view(np.int64), known[:, 0], known[:, 1:3])
+                both = np.frombuffer(c, np.int64).reshape(-1, 8)
+                x, y = both[:, :4], both[:, 4:]
+                yield found(2, x[:, 0], y[:, 0])
+                fits = _fits(x[:, 1], y[:, 1], x[:, 2], y[:, 2])
+                yield found(0, x[fits, 0], y[fits, 0])
                 continue
+            own, known = np.frombuffer(a, np.uint64), np.frombuffer(c, np.int64).reshape(-1, 4)
             signature.append(own)
-            facts.append(known[_loosen(b, np.uint32)] if kind == 1 else known)
+            facts.append(known[loosen(b, np.uint32)] if kind == 1 else known)
             many.append(np.full(len(own), kind == 2))
         if not signature:
             continue
@@ -457,13 +456,13 @@ def _meet(batches: Iterator[pa.RecordBatch]):
         signature, facts, many = signature[order], facts[order], many[order]
         new = np.concatenate([[True], (signature[1:] != signature[:-1]) | (facts[1:, 0] != facts[:-1, 0])])
         hot = np.isin(signature, signature[many]) if many.any() else many
-        signature, (name, size, shared, _), hot = signature[new], facts[new].T, hot[new]
+        signature, (name, size, shared, _), hot, many = signature[new], facts[new].T, hot[new], many[new]
         begin, length = _runs(signature)
         member = np.repeat(length, length)
         place = np.arange(len(signature)) - np.repeat(begin, length)
-        if hot.any():
-            first = hot & (place == 0)
-            yield found(3, signature[first].view(np.int64), name[first], np.stack([size[first], shared[first]], 1))
+        if many.any():
+            i = np.flatnonzero(many)
+            yield found(3, name[i], name[i - place[i]])
         pairs = []
         for step in range(1, SHORT):  # a short list's members that many places apart
             if step >= len(signature):
@@ -474,13 +473,8 @@ def _meet(batches: Iterator[pa.RecordBatch]):
         pairs.append((i - place[i], i))
         left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
         fits = _fits(size[left], size[right], shared[left], shared[right])
-        x, y = name[left[fits]], name[right[fits]]
-        if len(x):
-            ab = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            yield found(0, ab[:, 0], ab[:, 1])
-        if len(i):
-            ab = np.unique(np.stack([name[i - place[i]], name[i]], 1), axis=0)
-            yield found(1, ab[:, 0], ab[:, 1])
+        yield found(0, name[left[fits]], name[right[fits]])
+        yield found(1, name[i - place[i]], name[i])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]):
@@ -508,13 +502,11 @@ def _found(sets: DataFrame, n: int, level: int, stages: Stages) -> tuple[DataFra
     """Candidate pairs (a, b), and the long lists' members (pivot, name), of sets."""
     signed = sets.select("n", "name", "rare", "tokens", "classes").mapInArrow(_sign(n, level), _PARCEL)
     found = stages.write(_dealt(signed, "slot", n).mapInArrow(_meet, _FOUND))
-    # the lists that were long within a block: a pivot for each signature, copied for each part of its members
-    ends = found.where("kind = 3").select(F.col("a").alias("sig"), F.col("b").alias("pivot"), F.col("size").alias("pn"), F.col("shared").alias("ps"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hot = found.where("kind = 2").select(F.col("a").alias("sig"), F.col("b").alias("name"), "size", "shared", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    hot = stages.write(hot.join(ends, ["sig", "salt"]).where("name <> pivot").select("pivot", "name", "size", "shared", "pn", "ps").distinct())
-    likely = hot.where(_fits(F.col("size"), F.col("pn"), F.col("shared"), F.col("ps"), F.least, F.greatest))
-    pairs = found.where("kind = 0").select("a", "b").unionByName(likely.select(F.least("pivot", "name").alias("a"), F.greatest("pivot", "name").alias("b"))).distinct()
-    members = found.where("kind = 1").select(F.col("a").alias("pivot"), F.col("b").alias("name")).unionByName(hot.select("pivot", "name")).distinct()
+    pairs = found.where("kind = 0").select("a", "b").distinct()
+    # members of a block's pivot are members of the lists that the pivot is in
+    own = found.where("kind = 2").select(F.col("a").alias("top"), F.col("b").alias("name")).distinct()
+    upper = found.where("kind = 3").select(F.col("a").alias("top"), F.col("b").alias("pivot")).distinct()
+    members = found.where("kind = 1").select(F.col("a").alias("pivot"), F.col("b").alias("name")).unionByName(own.join(upper, "top").where("name <> pivot").select("pivot", "name")).distinct()
     return pairs, members
 
 
@@ -525,20 +517,27 @@ def _dealt(parcels: DataFrame, key: str, n: int) -> DataFrame:
     return parcels.repartitionById(parts, place).sortWithinPartitions(key)
 
 
-def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """pivot, name and root of members and pivots; a set without links is its own root."""
+def _torn(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """pivot, name and root of the members (and the pivot) of lists that are more than one component; a set without links is its own root.
+
+    Left out are sets that can link with none in their list: a partner has as many tokens as the list's smallest
+    set, and as many as the two have in common, which is what the set shares with any other at most.
+    """
     every = members.unionByName(members.select("pivot", F.col("pivot").alias("name")).distinct())
-    return every.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("pivot", "name", F.coalesce("root", "name").alias("root"))
+    every = every.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("pivot", "name", F.coalesce("root", "name").alias("root"))
 
+    def torn(rows: DataFrame) -> DataFrame:
+        lists = rows.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
+        return rows.join(lists, "pivot", "left_semi")
 
-def _torn(placed: DataFrame) -> DataFrame:
-    """The rows of _with_roots() of those pivots whose lists are more than one component."""
-    torn = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
-    return placed.join(torn, "pivot", "left_semi")
+    rows = torn(every).join(sets.select("name", "n", (F.octet_length("tokens") / 8).cast("bigint").alias("shared")), "name")
+    rows = rows.join(rows.groupBy("pivot").agg(F.min("n").alias("least")), "pivot")
+    able = (100 + PERCENT) * F.col("shared") >= PERCENT * (F.col("n") + F.greatest("least", "shared"))
+    return torn(rows.where(able).select("pivot", "name", "root"))
 
 
 def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of one pivot's lists that are in different components.
+    """Links between the rows of _torn() that are in different components.
 
     Members outside a list's largest component are compared with all others, block by block: a group is two
     blocks of about BLOCK sets, whatever the list's size.
@@ -598,7 +597,7 @@ def _compare(key, table):
 
 def components(links: DataFrame, stages: Stages) -> DataFrame:
     """node, root for every node of links(a, b): the least node of its component, by large-star / small-star rounds."""
-    edges = stages.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, was = stages.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -606,12 +605,12 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         after = stages.write(small)
-        key = F.xxhash64("u", "v").cast("decimal(38,0)")
-        was, now = (x.agg(F.count(F.lit(1)), F.sum(key)).first() for x in (edges, after))
+        now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         stages.drop(edges)
         edges = after
-        if was == now:
+        if was == now or not now[0]:
             break
+        was = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))  # the last stage stays until the job's end: it is read from here on
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
@@ -633,7 +632,7 @@ def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
     links = [stages.write(_links(pairs, sets))]
     roots = stages.write(components(links[0], stages))
     for level in range(1, LEVELS + 2):
-        placed = stages.write(_torn(_with_roots(members, roots)))
+        placed = stages.write(_torn(members, roots, sets))
         if placed.isEmpty():
             break
         if level <= LEVELS:

@@ -140,33 +140,55 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * score + self.base, -40, 40)))
 
 
-def _matrix(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse shares: row, bucket and value."""
-    rows, buckets, values = [], [], []
-    column = pa.array(texts, pa.large_string())
-    for i, _, data, offs in _chunks(column):
-        for bucket, row in Text(data, offs).grams():
-            total = np.bincount(row, minlength=len(offs))
-            key, n = np.unique(row.astype(np.int64) << 32 | bucket, return_counts=True)
-            rows.append((key >> 32).astype(np.int32) + i)
-            buckets.append((key & 0xFFFFFFFF).astype(np.int32))
-            values.append((n / total[key >> 32]).astype(np.float32))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, buckets, values))
-
-
-def _descend(x, y: np.ndarray, weight: np.ndarray, rounds: int, penalty: float) -> np.ndarray:
+class Shares:
+    """Sparse shares of buckets, row by row; taken apart in blocks of rows, so that the driver holds little beside them."""
+
+    def __init__(self, texts: list[str]):
+        buckets, values, sizes = [], [], []
+        for _, _, data, offs in _chunks(pa.array(texts, pa.large_string())):
+            keys, shares = [], []
+            for bucket, row in Text(data, offs).grams():
+                total = np.bincount(row, minlength=len(offs))
+                key, n = np.unique(row.astype(np.int64) << 32 | bucket, return_counts=True)
+                keys.append(key)
+                shares.append((n / total[key >> 32]).astype(np.float32))
+            key, share = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, shares))
+            order = np.argsort(key >> 32, kind="stable")
+            buckets.append((key[order] & 0xFFFFFFFF).astype(np.int32))
+            values.append(share[order].astype(np.float32))
+            sizes.append(np.bincount(key >> 32, minlength=len(offs) - 1))
+        self.bucket, self.value = (np.concatenate(x) if x else np.zeros(0, k) for x, k in ((buckets, np.int32), (values, np.float32)))
+        self.at = np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else [])]).astype(np.int64)
+
+    def blocks(self, rows: int = 256):
+        """First and last row of a block, and row, bucket and value of its entries."""
+        n = len(self.at) - 1
+        for lo in range(0, n, rows):
+            hi = min(n, lo + rows)
+            part = slice(self.at[lo], self.at[hi])
+            yield lo, hi, np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1])), self.bucket[part], self.value[part]
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(row, weights=value * weights[bucket], minlength=hi - lo) for lo, hi, row, bucket, value in self.blocks()] or [np.zeros(0)])
+
+
+def _descend(x: Shares, y: np.ndarray, weight: np.ndarray, rounds: int, penalty: float) -> np.ndarray:
     """Logistic regression by accelerated gradient steps scaled for each feature; the last weight is the intercept."""
-    row, bucket, value = x
-    n, width = len(y), KINDS << BITS
-    scale = 1 / np.sqrt(np.bincount(bucket, weights=(value.astype(float) ** 2) * weight[row], minlength=width) / weight.sum() + 1e-7)
-    scaled = value * scale[bucket]
-    norm = np.bincount(row, weights=scaled.astype(float) ** 2, minlength=n).max() + 1
+    width = KINDS << BITS
+    spread = np.zeros(width)
+    for lo, hi, row, bucket, value in x.blocks():
+        spread += np.bincount(bucket, weights=value.astype(float) ** 2 * weight[lo:hi][row], minlength=width)
+    scale = 1 / np.sqrt(spread / weight.sum() + 1e-7)
+    norm = 1 + max(((np.bincount(row, weights=(value * scale[bucket]) ** 2, minlength=hi - lo) * (weight[lo:hi] > 0)).max() for lo, hi, row, bucket, value in x.blocks()), default=0)
     w, v, b, vb, step = np.zeros(width), np.zeros(width), 0.0, 0.0, 4.0 / norm
     for k in range(rounds):
         look, lookb = w + k / (k + 3) * v, b + k / (k + 3) * vb
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=scaled * look[bucket], minlength=n) + lookb, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x.scores(scale * look) + lookb, -40, 40)))
         error = weight * (y - p) / weight.sum()
-        new = look + step * (np.bincount(bucket, weights=scaled * error[row], minlength=width) * norm - penalty * look)
+        slope = np.zeros(width)
+        for lo, hi, row, bucket, value in x.blocks():
+            slope += np.bincount(bucket, weights=value * error[lo:hi][row], minlength=width)
+        new = look + step * (slope * scale * norm - penalty * look)
         newb = lookb + step * error.sum() * norm
         v, vb, w, b = new - w, newb - b, new, newb
     return np.append(w * scale, b)
@@ -182,12 +204,11 @@ def fit(texts: list[str], good: list[int], rounds: int = 60, penalty: float = 1e
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    x = _matrix(texts)
-    part = ~held[x[0]]
+    x = Shares(texts)
     balance = np.where(y == 1, 0.5 / max(1, (y[~held] == 1).sum()), 0.5 / max(1, (y[~held] == 0).sum()))
     balance[held] = 0
-    weights = _descend(tuple(a[part] for a in x), y, balance * len(y), rounds, penalty)
-    score = np.bincount(x[0], weights=x[2] * weights[:-1][x[1]], minlength=len(y))
+    weights = _descend(x, y, balance * len(y), rounds, penalty)
+    score = x.scores(weights[:-1])
     use = held if held.any() else ~held
     # Platt: two parameters by Newton's method, with his smoothed targets
     s, t = score[use], y[use]
@@ -211,8 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int =
     # documents with equal ids are rows of their own: once more no more than so many
     known = known.select("text", "quality", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("bigint").alias("size")).orderBy("h", "size", "text").limit(rows)
     held = F.sum("size").over(Window.orderBy("h", "size", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded rows
-    got = known.withColumn("held", held).where(F.col("held") <= most).select("text", "quality").toPandas()
-    return fit(got["text"].tolist(), (got["quality"] > 0).astype(int).tolist())
+    got = known.withColumn("held", held).where(F.col("held") <= most).select("text", "quality").collect()
+    return fit([r["text"] for r in got], [int(r["quality"] > 0) for r in got])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,8 +26,8 @@ from .common import Stages, session
 
 #: Bits of a hash; those that the first ranges are told apart by; those of their parts.
 BITS, TOP, FAN = 60, 12, 6
-#: Cells of hashes in which rows are ranked.
-CELLS = 12
+#: Bits of the cells of hashes in which rows are ranked, and rows from which a cell is divided.
+CELLS, FULL = 12, 1000
 
 
 def order_key(text: Column) -> Column:
@@ -163,7 +163,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     # Ranks without one task for a shard or for a large group: ranges of hashes, the full ones divided by the row's place in the stage.
     cell = F.shiftright("h", BITS - CELLS).cast("int")
     cells = groups.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"))
-    mean = F.greatest(F.lit(1), F.ceil(F.sum("n").over(Window.partitionBy()) / F.lit(float(1 << CELLS))))
+    mean = F.greatest(F.lit(FULL), F.ceil(F.sum("n").over(Window.partitionBy()) / F.lit(float(1 << CELLS))))
     cells = cells.select("cell", F.ceil(F.col("n") / mean).alias("parts"))  # 4096 rows at most, 8192 parts in all
     rows = rows.select("*", place.cast("int").alias("shard"), cell.alias("cell"), F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("mark"))
     rows = rows.join(F.broadcast(cells), "cell").withColumn("part", F.pmod("mark", F.col("parts")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import tidy_shuffles
-from .common import Stages, partitions, session, small
+from .common import Stages, loosen, partitions, session, small, squeeze
 from .tokens import encoder
 
 END_ID = 1
@@ -128,15 +128,14 @@ class Decoder:
 
 
 def _packed(ids: np.ndarray, wide: bool) -> bytes:
-    """Ids for a stage: their lower and upper bytes apart, deflated."""
+    """Ids for a stage: their lower and upper bytes apart, compressed."""
     kind, n = ("<u4", 4) if wide else ("<u2", 2)
-    return zlib.compress(ids.astype(kind).view(np.uint8).reshape(-1, n).T.tobytes(), 1)
+    return squeeze(ids.astype(kind).view(np.uint8).reshape(-1, n).T)
 
 
 def _unpacked(raw: bytes, wide: bool) -> np.ndarray:
     kind, n = ("<u4", 4) if wide else ("<u2", 2)
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(n, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.ascontiguousarray(loosen(raw, np.uint8).reshape(n, -1).T).view(kind).reshape(-1)
 
 
 HEADER, BLOCKS = "header", "blocks"

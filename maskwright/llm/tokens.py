@@ -19,7 +19,7 @@ import pyarrow as pa
 from .common import LOWER, SPACE, span_hashes, text_pieces, word_spans
 
 #: Distinct segments that a worker remembers, and text bytes that it takes at once.
-REMEMBER, CHUNK = 600_000, 8 << 20
+REMEMBER, CHUNK = 600_000, 2 << 20
 #: Places in the table of remembered segments.
 _TABLE_BITS = 20
 _TABLE_SHIFT = np.uint64(64 - _TABLE_BITS)
