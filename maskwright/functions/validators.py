@@ -73,3 +73,11 @@ def aadhaar_ok(value: Column) -> Column:
 
 def phone_ok(value: Column) -> Column:
     return F.length(digits(value)).between(8, 15)
+
+
+def verhoeff_digit(number: str) -> int:
+    """The digit that makes a number valid when it is added at the end."""
+    product, moved, c = _dihedral(), _permutations(), 0
+    for i, d in enumerate(reversed(number), 1):
+        c = product[c][moved[i % 8][int(d)]]
+    return next(d for d in range(10) if product[c][d] == 0)

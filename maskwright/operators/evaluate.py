@@ -21,6 +21,11 @@ def folded(label: Column) -> Column:
     return out
 
 
+def marks(spans: str) -> Column:
+    """A column of spans as marks: start, end and label, labels folded."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), folded(s["label"]).alias("label"))).cast(MARK)
+
+
 def gold_spans(text: Column, items: Column) -> Column:
     """Every occurrence of each item (substring, label) in a text, nested ones dropped; by start, longer first."""
 

@@ -223,7 +223,7 @@ def direct(label: Column, value: Column, seed: str = SEED) -> Column:
 def _coined(key: Column, seed: str, turn: Column) -> Column:
     """A name of two parts, by hash."""
     h = draw(seed, "coin", key, turn)
-    return F.concat(F.element_at(F.lit(list(N.ONSETS)), (h % len(N.ONSETS) + 1).cast("int")), F.element_at(F.lit(list(N.ENDINGS)), ((h / len(N.ONSETS)).cast("bigint") % len(N.ENDINGS) + 1).cast("int")))
+    return F.concat(F.element_at(F.lit(list(N.ONSETS)), (h % len(N.ONSETS) + 1).cast("int")), F.element_at(F.lit(list(N.ENDINGS)), (F.call_function("div", h, F.lit(len(N.ONSETS))) % len(N.ENDINGS) + 1).cast("int")))
 
 
 def token_map(tokens: DataFrame, forbidden: DataFrame | None = None, seed: str = SEED, scope: str = "doc_id") -> DataFrame:
@@ -244,7 +244,7 @@ def token_map(tokens: DataFrame, forbidden: DataFrame | None = None, seed: str =
     # all draws of all tokens at once: (scope, word) goes to the token that wants it first, by a minimum, as a pool's name has any number of takers
     wants = todo.select(scope, "token", F.posexplode(F.array(*draws)).alias("turn", "fake")).withColumn("word", F.lower("fake"))
     free = wants.join(real, [scope, "word"], "left_anti")
-    owner = free.groupBy(scope, "word").agg(F.min(F.struct("turn", F.xxhash64("token").alias("h"), "token", "fake")).alias("o"))
+    owner = free.groupBy(scope, "word").agg(F.min(F.struct("turn", draw(seed, "owner", k).alias("h"), "token", "fake")).alias("o"))
     won = owner.select(scope, "o.token", "o.turn", "o.fake").groupBy(scope, "token").agg(F.min_by("fake", "turn").alias("fake"))
     unique = F.initcap(F.concat(F.lit("X"), F.translate(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), k), 256), 1, 9), "0123456789", "ghijklmnop")))
     return todo.join(won, [scope, "token"], "left").select(scope, "token", F.coalesce("fake", unique).alias("fake"))

@@ -12,10 +12,11 @@ from ..functions import spans as S
 from ..functions import validators as V
 from ..operators import cards, evaluate, lexicon, pseudonyms, redact
 from ..operators.addresses import address_spans
-from ..operators.detect import Policy, detect, entities, paragraphs, static_spans
+from ..operators.detect import Policy, detect, entities, paragraphs, static_spans, with_static
 from ..operators.organisations import organisation_spans
-from ..operators.patterns import rule
+from ..operators.patterns import RULES, rule
 from ..streaming.redact import redact_lines
+from . import oracle as O
 from .tickets import SQL as TICKETS
 from .tickets import tickets
 
@@ -48,27 +49,16 @@ def _values(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return each.select(key, F.col("s.start").cast("bigint").alias("start"), S.part(F.col("t"), F.col("s")).alias("value"))
 
 
-def _span_sql(source: str, key: str, text: str, before: str, body: str, after: str = "()", where: str = "true") -> str:
-    """key, start and value of matches of a body between a consumed border and one that is looked at: RE2 has no look-around.
+#: Sources of (doc, para, text) for the SQL of rules; documents as a whole, as lines, and tickets.
+_DOCS = "SELECT doc_id AS doc, 0 AS para, text FROM documents WHERE text IS NOT NULL"
+_LINES = O.lines_of("SELECT doc_id AS doc, text FROM documents")
+_TICKETS = f"SELECT ticket_id AS doc, 0 AS para, text FROM ({TICKETS})"
+_BUILT_IN = tuple(RULES)
 
-    A border character may end one match and begin the next, so matches are searched from every place where one can begin.
-    """
-    return f"""
-WITH src AS ({source}), fenced AS (
-  SELECT {key}, string_split(regexp_replace({text}, '{before}({body}){after}', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(1)) AS ps FROM src
-), pieces AS (
-  SELECT {key}, ps, unnest(range(2, len(ps) + 1)) AS i FROM fenced
-), found AS (
-  SELECT {key}, CAST(list_sum(list_transform(ps[1:i - 1], lambda p: length(p))) - (i - 2) AS BIGINT) AS start, string_split(ps[i], chr(2))[1] AS value FROM pieces
-)
-SELECT {key}, start, value FROM found WHERE {where}"""
 
+def _rule_sql(source: str, key: str, name: str, doubled: bool = False) -> str:
+    return f"SELECT doc AS {key}, start, value FROM ({O.rule_spans(source, name, doubled)})"
 
-_DOCS, _TICKETS = "SELECT doc_id, text FROM documents", TICKETS
-_LUHN = (
-    "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN (length({d}) - i) % 2 = 0 THEN CAST(substr({d}, CAST(i AS BIGINT), 1) AS INT) "
-    "WHEN CAST(substr({d}, CAST(i AS BIGINT), 1) AS INT) > 4 THEN CAST(substr({d}, CAST(i AS BIGINT), 1) AS INT) * 2 - 9 ELSE CAST(substr({d}, CAST(i AS BIGINT), 1) AS INT) * 2 END)) % 10 = 0"
-)
 
 # ---------------------------------------------------------------- hygiene
 
@@ -77,7 +67,7 @@ _CLEAN = f"regexp_replace(translate(text, '{H.NBSP}{H.INVISIBLE}', '  '), ' {{2,
 
 @query(f"SELECT doc_id, {_CLEAN} AS text FROM documents")
 def clean_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", H.clean(F.col("text")).alias("text"))
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", H.clean(F.col("text")).alias("text"))
 
 
 @query(
@@ -94,35 +84,28 @@ def cleaning_stats(spark, sf_dir):
 '(?:^|[^\pL\pN\pM_])([a-z]{3,})(?:$|[^\pL\pN\pM_])', 1)) AS token FROM (SELECT doc_id, regexp_replace(text, '\s', '  ', 'g') AS text FROM documents)"""
 )
 def lower_vocab(spark, sf_dir):
-    return lexicon.lower_vocab(_docs(spark, sf_dir).select("doc_id", "text"))
+    return lexicon.lower_vocab(spread(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
 # ---------------------------------------------------------------- single rules
 
 
-@query(_span_sql(_DOCS, "doc_id", "text", r"(^|[^\pL\pN_.+-])", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"))
+@query(_rule_sql(_DOCS, "doc_id", "email"))
 def email_spans(spark, sf_dir):
     return _values(_docs(spark, sf_dir), "doc_id", "text", "email")
 
 
-@query(_span_sql(_DOCS, "doc_id", "text", r"(^|[^0-9.])", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)", r"($|[^0-9.]|\.$|\.[^0-9])"))
+@query(_rule_sql(_DOCS, "doc_id", "ipv4"))
 def ipv4_spans(spark, sf_dir):
     return _values(_docs(spark, sf_dir), "doc_id", "text", "ipv4")
 
 
-@query(_span_sql(_DOCS, "doc_id", "text", r"(^|[^\pL\pN_.])", r"\+\s?\d{1,3}(?:[\s.-]?\(?\d{1,5}\)?){2,4}", r"($|[^0-9])", where=r"length(regexp_replace(value, '\D', '', 'g')) BETWEEN 8 AND 15"))
+@query(_rule_sql(_DOCS, "doc_id", "phone_intl"))
 def phone_intl_spans(spark, sf_dir):
     return _values(_docs(spark, sf_dir), "doc_id", "text", "phone_intl")
 
 
-_CARDS = f"""
-WITH found AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\\s', '  ', 'g'), '(?:^|[^0-9-])((?:\\d[ -]?){{12,18}}\\d)(?:$|[^0-9-])', 1)) AS value FROM documents),
-plain AS (SELECT doc_id, value, regexp_replace(value, '\\D', '', 'g') AS d FROM found)
-SELECT doc_id, value, count(*) AS n FROM plain WHERE length(d) BETWEEN 13 AND 19 AND regexp_matches(d, '^(?:[2-6]|1800)') AND d <> repeat(d[1], CAST(length(d) AS INT)) AND {_LUHN.format(d="d")}
-GROUP BY doc_id, value"""
-
-
-@query(_CARDS)
+@query(f"SELECT doc AS doc_id, value, count(*) AS n FROM ({O.rule_spans(_DOCS, 'card', True)}) GROUP BY doc, value")
 def card_luhn_valid(spark, sf_dir):
     return _values(_docs(spark, sf_dir), "doc_id", "text", "card").groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -136,45 +119,29 @@ def _ticket_rule(name: str):
     return lambda spark, sf_dir: _values(tickets(ship(spark), sf_dir), "ticket_id", "text", name)
 
 
-_SSN = _span_sql(_TICKETS, "ticket_id", "text", r"(^|[^0-9-])", r"\d{3}-\d{2}-\d{4}", r"($|[^0-9-])", where="NOT regexp_matches(value, '^(?:000|666|9)') AND value[5:6] <> '00' AND value[8:11] <> '0000'")
-_TICKET_RULES = {
-    "ssn": _SSN,
-    "dob": _span_sql(_TICKETS, "ticket_id", "text", r"(DOB: )", r"\d{4}-\d{2}-\d{2}"),
-    "pan": _span_sql(_TICKETS, "ticket_id", "text", r"(^|[^\pL\pN_])", r"[A-Z]{5}\d{4}[A-Z]", r"($|[^\pL\pN_])"),
-    "phone_in": _span_sql(_TICKETS, "ticket_id", "text", r"(reply to )", r"[6-9]\d{9}", r"($|[^0-9,])"),
-    "phone_intl": _span_sql(_TICKETS, "ticket_id", "text", r"(^|[^\pL\pN_.])", r"\+\s?\d{1,3}(?:[\s.-]?\(?\d{1,5}\)?){2,4}", r"($|[^0-9])"),
-    "ipv4": _span_sql(_TICKETS, "ticket_id", "text", r"(Server )", r"\d+\.\d+\.\d+\.\d+"),
-    "card": _span_sql(_TICKETS, "ticket_id", "text", r"(Card )", r"\d{16}", where=_LUHN.format(d="value")),
-    "aadhaar": None,
-    "email": _span_sql(_TICKETS, "ticket_id", "text", r"(^|[^\pL\pN_.+-])", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-}
-for _name, _sql in _TICKET_RULES.items():
-    QUERIES[f"ticket_{_name}_spans"] = _ticket_rule(_name)
-    if _sql:
-        SQL[f"ticket_{_name}_spans"] = _sql
+for _rule in _BUILT_IN:
+    QUERIES[f"ticket_{_rule.name}_spans"] = _ticket_rule(_rule.name)
+    SQL[f"ticket_{_rule.name}_spans"] = _rule_sql(_TICKETS, "ticket_id", _rule.name)
 
 
-_D5 = [x for row in V._dihedral() for x in row]
-_P8 = [x for row in V._permutations() for x in row]
+_SPACED = r"regexp_extract(text, '([0-9]{4} [0-9]{4} [0-9]{4})', 1)"
 
 
-@query(
-    f"""WITH n AS (SELECT ticket_id, regexp_replace(regexp_extract(text, 'Aadhaar ([0-9 ]+) attached', 1), ' ', '', 'g') AS d FROM ({_TICKETS}) WHERE text LIKE 'Aadhaar %')
-SELECT ticket_id, d AS number, list_reduce(list_transform(range(0, 12), lambda i: CAST({_P8}[CAST((i % 8) * 10 + CAST(substr(d, CAST(12 - i AS BIGINT), 1) AS INT) + 1 AS BIGINT)] AS BIGINT)),
-lambda c, p: CAST({_D5}[c * 10 + p + 1] AS BIGINT), CAST(0 AS BIGINT)) = 0 AS valid FROM n"""
-)
+@query(f"SELECT ticket_id, d AS number, {O.verhoeff('d')} AS valid FROM (SELECT ticket_id, replace({_SPACED}, ' ', '') AS d FROM ({TICKETS})) WHERE length(d) = 12")
 def aadhaar_verhoeff(spark, sf_dir):
-    rows = tickets(ship(spark), sf_dir).where(F.col("text").startswith("Aadhaar "))
-    number = V.digits(F.regexp_extract("text", "Aadhaar ([0-9 ]+) attached", 1))
-    return rows.select("ticket_id", number.alias("number"), V.verhoeff_ok(number).alias("valid"))
+    number = V.digits(F.regexp_extract("text", "([0-9]{4} [0-9]{4} [0-9]{4})", 1))
+    return tickets(ship(spark), sf_dir).select("ticket_id", number.alias("number")).where("length(number) = 12").withColumn("valid", V.verhoeff_ok(F.col("number")))
+
 
+_BARE = O.matches(_TICKETS, *O.RULES["phone_in"][:3])
 
-@query(f"""SELECT ticket_id, CAST(count(*) FILTER (WHERE NOT regexp_matches(l, '(?i)(?:order|ticket|invoice|awb|tracking|txn|transaction|ref|reference|case|\\bid|#)\\s*(?:id|no|number)?\\.?\\s*[:#-]?\\s*$')) AS BIGINT) AS kept,
-count(*) AS candidates FROM (SELECT ticket_id, unnest(regexp_extract_all(text, '(.*?)[ ]9[78]\\d{{8}}[ ]', 1)) || ' ' AS l FROM ({_TICKETS}) WHERE text LIKE 'Order ID %') GROUP BY ticket_id""")
+
+@query(f"SELECT t.doc AS ticket_id, CAST(coalesce(k.n, 0) AS BIGINT) AS kept, CAST(t.n AS BIGINT) AS candidates FROM (SELECT doc, count(*) AS n FROM ({_BARE}) GROUP BY doc) t LEFT JOIN (SELECT doc, count(*) AS n FROM ({O.rule_spans(_TICKETS, 'phone_in')}) GROUP BY doc) k ON k.doc = t.doc")
 def negative_context(spark, sf_dir):
-    rows = tickets(ship(spark), sf_dir).where(F.col("text").startswith("Order ID "))
-    bare = S.matches(F.col("text"), rule("phone_in").body)
-    return rows.select("ticket_id", F.size(rule("phone_in").spans(F.col("text"))).cast("bigint").alias("kept"), F.size(bare).cast("bigint").alias("candidates"))
+    """Numbers in a ticket that look like a telephone's, and those that nothing before them speaks against."""
+    bare = F.size(S.matches(F.col("text"), rule("phone_in").body)).cast("bigint")
+    rows = tickets(ship(spark), sf_dir).select("ticket_id", F.size(rule("phone_in").spans(F.col("text"))).cast("bigint").alias("kept"), bare.alias("candidates"))
+    return rows.where("candidates > 0")
 
 
 def _ticket_values(spark, sf_dir, spans):
@@ -182,15 +149,15 @@ def _ticket_values(spark, sf_dir, spans):
     return rows.select("ticket_id", F.col("s.start").cast("bigint").alias("start"), S.part(F.col("text"), F.col("s")).alias("value"))
 
 
-@query(f"SELECT ticket_id, CAST(0 AS BIGINT) AS start, regexp_extract(text, '^.*- \\d{{3}} \\d{{3}}, Maharashtra, India') AS value FROM ({_TICKETS}) WHERE regexp_matches(text, '- \\d{{3}} \\d{{3}}, Maharashtra, India')")
+@query(f"SELECT doc AS ticket_id, start, value FROM ({O.address_spans(_TICKETS)})")
 def address_values(spark, sf_dir):
     """Every address in a ticket."""
     return _ticket_values(spark, sf_dir, address_spans)
 
 
-@query(_span_sql(_TICKETS, "ticket_id", "text", r"(^|[^\pL\pN_])", r"[A-Z]\w+ [A-Z]\w+ Private Limited"))
+@query(f"SELECT doc AS ticket_id, start, value FROM ({O.org_spans(_TICKETS)})")
 def org_suffix_spans(spark, sf_dir):
-    """Every organisation with a legal suffix in a ticket."""
+    """Every organisation with a legal suffix or a head noun in a ticket."""
     return _ticket_values(spark, sf_dir, organisation_spans)
 
 
@@ -205,20 +172,27 @@ def _by_label(found: DataFrame) -> DataFrame:
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_DOC_ENTITIES = O.resolved(_LINES, _BUILT_IN, doubled=frozenset({"card"}))
+_TICKET_ENTITIES = O.resolved(_TICKETS, _BUILT_IN)
+
+
+def _doc_entities(spark, sf_dir):
+    return entities(detect(spread(paragraphs(_docs(spark, sf_dir))), Policy(mode="regex")))
+
+
+@query(f"SELECT label, count(*) AS n FROM ({_DOC_ENTITIES}) GROUP BY label")
 def entity_counts(spark, sf_dir):
-    return _by_label(entities(detect(paragraphs(_docs(spark, sf_dir)), Policy(mode="regex"))))
+    return _by_label(_doc_entities(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT lang, label, count(*) AS n FROM ({_DOC_ENTITIES}) e JOIN documents d ON d.doc_id = e.doc GROUP BY lang, label")
 def entities_per_lang(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    found = entities(detect(paragraphs(docs), Policy(mode="regex")))
-    return found.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"))
+    return _doc_entities(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""SELECT doc AS doc_id, CAST(para AS INT) AS para_idx, start, "end", label, priority, original FROM ({O.resolved(_TICKETS, _BUILT_IN, frozenset({"URL"}))})""")
 def ticket_entities(spark, sf_dir):
+    """All spans of tickets but for web addresses, which then hide nothing else."""
     return entities(detect(_redactable(spark, sf_dir), Policy(mode="regex", skip_labels=frozenset({"URL"}))))
 
 
@@ -243,55 +217,43 @@ def overlap_resolve(spark, sf_dir):
 # ---------------------------------------------------------------- replacements
 
 
-def _draw_sql(kind: str, key: str, turn: int = 0) -> str:
-    return f"CAST('0x' || substr(sha256('{pseudonyms.SEED}|{kind}|' || {key} || '|{turn}'), 1, 15) AS BIGINT)"
+def _fakes_sql(source: str, name: str, key: str, label: str, doubled: bool = False) -> str:
+    return f"SELECT doc AS {key}, value, fake FROM (SELECT doc, value, {O.direct('value')} AS fake FROM (SELECT *, '{label}' AS label FROM ({O.rule_spans(source, name, doubled)})))"
 
 
-@query(
-    f"""WITH ips AS (SELECT DISTINCT value FROM ({_span_sql(_DOCS, "doc_id", "text", r"(^|[^0-9.])", r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)", r"($|[^0-9.]|\.$|\.[^0-9])")}))
-SELECT value, {list(X.DOCUMENTATION_BLOCKS)}[{_draw_sql("ip", "value")} % 3 + 1] || '.' || CAST(1 + {_draw_sql("ip", "value", 1)} % 254 AS VARCHAR) AS fake FROM ips"""
-)
+@query(f"SELECT DISTINCT value, fake FROM ({_fakes_sql(_DOCS, 'ipv4', 'doc_id', 'IP_ADDRESS')})")
 def hash_fake_ip(spark, sf_dir):
     values = _values(_docs(spark, sf_dir), "doc_id", "text", "ipv4").select("value").distinct()
     return values.select("value", pseudonyms.ip(F.col("value")).alias("fake"))
 
 
-@query(
-    f"""WITH v AS (SELECT ticket_id, value FROM ({_SSN}))
-SELECT ticket_id, value, CAST(900 + {_draw_sql("ssn", "value")} % 100 AS VARCHAR) || '-' || CAST(10 + {_draw_sql("ssn", "value", 1)} % 90 AS VARCHAR) || '-' || CAST(1000 + {_draw_sql("ssn", "value", 2)} % 9000 AS VARCHAR) AS fake FROM v"""
-)
-def hash_fake_ssn(spark, sf_dir):
-    values = _ticket_rule("ssn")(spark, sf_dir)
-    return values.select("ticket_id", "value", pseudonyms.ssn(F.col("value")).alias("fake"))
+def _ticket_fakes(name: str, make):
+    def run(spark, sf_dir):
+        return _ticket_rule(name)(spark, sf_dir).select("ticket_id", "value", make(F.col("value")).alias("fake"))
 
+    return run
 
-_STREAM = lambda kind, key: " || ".join(f"lpad(CAST({_draw_sql(kind, key, 100 + i)} % 1000000000000000 AS VARCHAR), 15, '0')" for i in range(2))
 
-
-@query(
-    f"""WITH v AS (SELECT ticket_id, value, regexp_replace(value, '\\D', '', 'g') AS n FROM ({_TICKET_RULES["phone_intl"]})),
-f AS (SELECT ticket_id, value, '91' || CASE WHEN length(n) = 12 THEN CAST(6 + {_draw_sql("phone", "n")} % 4 AS VARCHAR) ELSE CAST(1 + {_draw_sql("phone", "n", 1)} % 9 AS VARCHAR) END || {_STREAM("phone", "n")} AS d FROM v)
-SELECT ticket_id, value, '+' || d[1:2] || ' ' || d[3:4] || ' ' || d[5:8] || ' ' || d[9:12] AS fake FROM f"""
-)
-def hash_fake_phone(spark, sf_dir):
-    values = _ticket_rule("phone_intl")(spark, sf_dir)
-    return values.select("ticket_id", "value", pseudonyms.phone(F.col("value")).alias("fake"))
+for _name, _label, _make in (
+    ("ssn", "SSN", pseudonyms.ssn), ("phone_intl", "PHONE", pseudonyms.phone), ("card", "CREDIT_CARD", pseudonyms.card), ("aadhaar", "AADHAAR", pseudonyms.aadhaar), ("dob", "DOB", pseudonyms.dob),
+    ("pan", "ID_NUMBER", pseudonyms.id_number), ("cin", "ID_NUMBER", pseudonyms.id_number), ("gstin", "ID_NUMBER", pseudonyms.id_number), ("registration", "ID_NUMBER", pseudonyms.id_number),
+):
+    QUERIES[f"hash_fake_{_name}"] = _ticket_fakes(_name, _make)
+    SQL[f"hash_fake_{_name}"] = _fakes_sql(_TICKETS, _name, "ticket_id", _label)
 
 
-_FAKE_CARD = f"""WITH v AS (SELECT ticket_id, value, value[1:1] || substr({_STREAM("card", "value")}, 1, 14) AS b FROM ({_TICKET_RULES["card"]})),
-c AS (SELECT ticket_id, value, b, unnest(['0','1','2','3','4','5','6','7','8','9']) AS k FROM v), w AS (SELECT ticket_id, value, b || k AS fake FROM c)
-SELECT ticket_id, value, fake FROM w WHERE {_LUHN.format(d="fake")}"""
+_PAGE_URLS = """SELECT page_id AS doc, 0 AS para, 0 AS start, length(url) AS "end", 'URL' AS label, url AS original FROM pages WHERE url IS NOT NULL"""
 
 
-@query(_FAKE_CARD)
-def hash_fake_card(spark, sf_dir):
-    values = _ticket_rule("card")(spark, sf_dir)
-    return values.select("ticket_id", "value", pseudonyms.card(F.col("value")).alias("fake"))
+def _page_fakes(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.lit("URL").alias("label"), F.col("url").alias("original")).where("original is not null")
+    return pseudonyms.pseudonymise(pages, scope="page_id")
 
 
-@query("SELECT page_id, regexp_replace(url, '\\?.*', '') AS url FROM pages")
+@query("SELECT page_id, regexp_extract(regexp_replace(url, '(?s)\\?.*', ''), '^(?:https?://)?(?:www\\.)?[^/\\s?#]+(.*)$', 1) AS path FROM pages WHERE url IS NOT NULL")
 def url_query_dropped(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", r"(?s)\?.*", "").alias("url"))
+    """What a web address keeps of itself after its host when it is replaced."""
+    return _page_fakes(spark, sf_dir).select("page_id", F.regexp_extract("replacement", r"(?s)^(?:https?://)?(?:www\.)?[^/\s?#]+(.*)$", 1).alias("path"))
 
 
 @query(
@@ -303,73 +265,102 @@ def page_brands(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", pseudonyms.brand_of(host).alias("brand"))
 
 
-@query()
+@query(f"SELECT doc AS page_id, original, replacement FROM ({O.audited(_PAGE_URLS)})")
 def page_domain_fakes(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select(F.lit(0).alias("doc_id"), "page_id", F.lit("URL").alias("label"), F.col("url").alias("original"))
-    return pseudonyms.pseudonymise(pages).select("page_id", "original", "replacement")
+    return _page_fakes(spark, sf_dir).select("page_id", "original", "replacement")
 
 
 @query()
 def redacted_documents(spark, sf_dir):
+    """Every document with its own learned names, redacted."""
     return redact.redact(_docs(spark, sf_dir))
 
 
-@query()
+_DOC_AUDIT = O.audited(f'SELECT doc, para, start, "end", label, original FROM ({_DOC_ENTITIES})')
+
+
+@query(f"SELECT d.doc_id, r.text FROM documents d LEFT JOIN (SELECT doc, string_agg(redacted, chr(10) ORDER BY para) AS text FROM ({O.redacted(_LINES, _DOC_AUDIT)}) GROUP BY doc) r ON r.doc = d.doc_id")
+def redacted_documents_regex(spark, sf_dir):
+    """Every document, redacted without a lexicon."""
+    return redact.redact(_docs(spark, sf_dir), Policy(mode="regex"))
+
+
+_BY_HASH = O.audited(f'SELECT doc, para, start, "end", label, original FROM ({_DOC_ENTITIES})', mapped=False)
+
+
+@query(f"""WITH spans AS MATERIALIZED ({_BY_HASH}) SELECT r.doc AS doc_id, r.para AS para_idx, r.redacted, CAST(coalesce(n.n, 0) AS INT) AS n_spans FROM ({O.redacted(_LINES, "SELECT * FROM spans")}) r
+LEFT JOIN (SELECT doc, para, count(*) AS n FROM spans GROUP BY doc, para) n ON n.doc = r.doc AND n.para = r.para""")
 def redacted_lines(spark, sf_dir):
     """Every document's lines, redacted by projection alone."""
-    return redact_lines(paragraphs(_docs(spark, sf_dir))).select("doc_id", "para_idx", "redacted", F.size("labels").alias("n_spans"))
+    lines = spread(paragraphs(_docs(spark, sf_dir)))
+    return redact_lines(lines, clean=False).select("doc_id", "para_idx", "redacted", F.size("labels").alias("n_spans"))
+
+
+_AUDIT = O.audited(f'SELECT doc, para, start, "end", label, original FROM ({_TICKET_ENTITIES})')
 
 
 def _audited(spark, sf_dir):
     return redact.audit(_redactable(spark, sf_dir), Policy(mode="regex"))
 
 
-@query()
+@query(f"""SELECT doc AS doc_id, CAST(para AS INT) AS para_idx, start, "end", label, original, replacement FROM ({_AUDIT})""")
 def ticket_audit(spark, sf_dir):
     return _audited(spark, sf_dir).select("doc_id", "para_idx", "start", "end", "label", "original", "replacement")
 
 
-@query()
+@query(f"SELECT label, original, min(replacement) AS replacement FROM ({_AUDIT}) GROUP BY label, original")
 def distinct_changes(spark, sf_dir):
     return redact.distinct_changes(_audited(spark, sf_dir))
 
 
-@query()
+_NORMAL = "regexp_replace(lower(trim({})), '\\s+', ' ', 'g')"
+
+
+@query(f"""SELECT label, sum(n) AS originals, CAST(count(*) FILTER (WHERE fakes > 1) AS BIGINT) AS inconsistent FROM (
+SELECT doc, label, {_NORMAL.format("original")} AS k, count(*) AS n, count(DISTINCT {_NORMAL.format("replacement")}) AS fakes FROM ({_AUDIT}) GROUP BY ALL) GROUP BY label""".replace("sum(n)", "CAST(sum(n) AS BIGINT)"))
 def consistency_check(spark, sf_dir):
-    """Originals of one document with more than one fake: there are none."""
-    return evaluate.inconsistent(_audited(spark, sf_dir), ["doc_id"])
+    """label, originals and inconsistent: values of one document with more than one fake, of which there are none."""
+    audited = Stages(spark, "consistency").write(_audited(spark, sf_dir))
+    bad = evaluate.inconsistent(audited, ["doc_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("inconsistent"))
+    return _by_label(audited).withColumnRenamed("n", "originals").join(bad, "label", "left").select("label", "originals", F.coalesce("inconsistent", F.lit(0)).cast("bigint").alias("inconsistent"))
 
 
-@query()
+def _gold(spark, sf_dir):
+    """doc_id, pool, label and substring of what the generator put into tickets."""
+    rows = tickets(ship(spark), sf_dir).select(F.col("ticket_id").alias("doc_id"), "text", F.explode("gold").alias("g"))
+    return rows.select("doc_id", "g.pool", "g.label", S.part(F.col("text"), F.col("g")).alias("substring"))
+
+
+_GOLD = f"""SELECT ticket_id AS doc, text, g.start AS start, g."end" AS "end", g.label AS label, g.pool AS pool, text[g.start + 1:g."end"] AS value FROM (SELECT ticket_id, text, unnest(gold) AS g FROM ({TICKETS}))"""
+_LEAKS = f"""SELECT {{by}}count(*) AS gold_spans, CAST(count(*) FILTER (WHERE contains(r.redacted, g.value)) AS BIGINT) AS leaked, round(avg(CASE WHEN contains(r.redacted, g.value) THEN 1.0::DOUBLE ELSE 0 END), 4) AS leak_rate
+FROM ({_GOLD}) g JOIN ({O.redacted(_TICKETS, _AUDIT)}) r ON r.doc = g.doc"""
+
+
+@query(_LEAKS.replace("{by}", "") + " WHERE g.label <> 'PERSON'")
 def leak_rate(spark, sf_dir):
-    """Social security numbers that are still in their redacted ticket: none."""
+    """What the generator put into tickets, but for people's names, and is still in them after redaction without a lexicon."""
     paras = _redactable(spark, sf_dir)
-    lines = redact.apply(paras, redact.audit(paras, Policy(mode="regex")))
-    gold = _ticket_rule("ssn")(spark, sf_dir).select(F.col("ticket_id").alias("doc_id"), F.col("value").alias("substring"))
-    return evaluate.leaks(gold, lines, ["doc_id"])
+    return evaluate.leaks(_gold(spark, sf_dir).where("label <> 'PERSON'"), redact.apply(paras, redact.audit(paras, Policy(mode="regex"))), ["doc_id"])
 
 
-#: What stands in a ticket by its template, whichever rule finds it.
-_TICKET_GOLD = (
-    ("EMAIL", r"write to (\S+) today"), ("PHONE", r"at (\+91 [0-9 ]+) before"), ("DOB", "DOB: ([0-9-]+)"), ("SSN", "SSN is ([0-9-]+)"), ("PAN", r"PAN (\S+) is"), ("CARD", r"Card ([0-9]+) was"),
-    ("IP_ADDRESS", "Server ([0-9.]+) "), ("ADDRESS", "Ship to (Flat [0-9]+, Lake Road)"), ("AADHAAR", "Aadhaar ([0-9 ]+) attached"), ("ORG", r"from (Waterloo[0-9] Widgets)"),
-)
+@query(_LEAKS.replace("{by}", "g.label, g.pool, ") + " GROUP BY g.label, g.pool")
+def leaks_by_label(spark, sf_dir):
+    paras = _redactable(spark, sf_dir)
+    return evaluate.leaks(_gold(spark, sf_dir), redact.apply(paras, redact.audit(paras, Policy(mode="regex"))), ["doc_id"], ("label", "pool"))
 
 
 @query()
-def leaks_by_label(spark, sf_dir):
-    """Strings of every kind of ticket that are still in it, in both modes without a provider."""
-    paras = Stages(spark, "tickets").write(_redactable(spark, sf_dir))
-    items = F.array(*(F.struct(F.regexp_extract("text", p, 1).alias("substring"), F.lit(label).alias("label")) for label, p in _TICKET_GOLD))
-    gold = paras.select("doc_id", F.explode(items).alias("g")).select("doc_id", "g.*").where("substring != ''")
-    rows = []
-    for mode in ("regex", "hybrid"):
-        lines = redact.apply(paras, redact.audit(paras, Policy(mode=mode), lexicon.learn(paras) if mode == "hybrid" else None))
-        rows.append(evaluate.leaks(gold, lines, ["doc_id"], ("label",)).select(F.lit(mode).alias("mode"), "*"))
-    return rows[0].unionByName(rows[1])
+def leaks_by_mode(spark, sf_dir):
+    """The same with the learned lexicon."""
+    with_names = Stages(spark, "leaks")
+    paras = with_names.write(with_static(_redactable(spark, sf_dir)))
+    lines = redact.apply(paras.drop("static"), redact.audit(paras, Policy(), lexicon.learn(paras, stages=with_names), stages=with_names))
+    return evaluate.leaks(_gold(spark, sf_dir), lines, ["doc_id"], ("label", "pool"))
 
 
-@query()
+@query(f"""SELECT label, count(*) AS n, CAST(count(*) FILTER (WHERE original <> replacement AND CASE label WHEN 'PHONE' THEN length(regexp_replace(original, '\\D', '', 'g')) = length(regexp_replace(replacement, '\\D', '', 'g'))
+WHEN 'EMAIL' THEN regexp_matches(replacement, '^[{O._W}.+-]+@[{O._W}.-]+\\.[{O._W}]+$') WHEN 'ID_NUMBER' THEN length(original) = length(replacement) ELSE true END) AS BIGINT) AS kept,
+CAST(count(*) FILTER (WHERE original = replacement) AS BIGINT) AS unchanged FROM ({_AUDIT}) GROUP BY label""")
 def format_report(spark, sf_dir):
     return evaluate.format_report(_audited(spark, sf_dir))
 
@@ -377,81 +368,109 @@ def format_report(spark, sf_dir):
 # ---------------------------------------------------------------- learning
 
 
-def _named_docs(spark, sf_dir):
-    """A document of names for each customer with orders: some known names, in the shapes the lexicon learns from."""
-    from ..functions import names as N
+def _customer_lines(spark, sf_dir):
+    """The tickets of a customer are a document; each is a line of it."""
+    rows = tickets(ship(spark), sf_dir).groupBy(F.col("custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("ticket_id", "text"))).alias("ts"))
+    return paragraphs(rows.select("doc_id", F.array_join(F.transform("ts", lambda t: t["text"]), "\n").alias("text")))
 
-    c = _table(spark, sf_dir, "customer")
-    first = F.element_at(F.lit(list(N.FIRST)), (F.col("c_custkey") % len(N.FIRST) + 1).cast("int"))
-    last = F.element_at(F.lit(list(N.LAST)), ((F.col("c_custkey") * 7) % len(N.LAST) + 1).cast("int"))
-    text = F.concat_ws(
-        "\n",
-        F.concat(F.lit("The offer is led by "), first, F.lit(" Q. "), last, F.lit(" and others.")),
-        F.concat(F.upper(first), F.lit(" AGREED")),
-        F.concat(F.lit("Waterloo Widgets Private Limited pays "), last, F.lit(".")),
-        F.lit("Unit 4, Birdewadi Estate, Pune - 411 045, Maharashtra"),
-        F.lit("Plot No. 2 (Birdewadi) near Waterloo Logistics"),
-    )
-    return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
 
+_CUSTOMERS = f"SELECT custkey AS doc, CAST(row_number() OVER (PARTITION BY custkey ORDER BY ticket_id) - 1 AS INT) AS para, text FROM ({TICKETS})"
 
-@query()
+
+def _learned(lines: str) -> str:
+    return f"WITH customer_lines AS MATERIALIZED ({_CUSTOMERS}) SELECT * FROM ({lines.replace(_CUSTOMERS, 'SELECT * FROM customer_lines')})"
+
+
+@query(_learned(f"SELECT doc AS doc_id, token, count(*) AS support FROM (SELECT doc, unnest(list_distinct(phrase)) AS token FROM ({O.person_phrases(_CUSTOMERS)})) WHERE length(token) >= 3 GROUP BY doc, token"))
 def token_support(spark, sf_dir):
-    return lexicon.token_support(lexicon.learn(paragraphs(_named_docs(spark, sf_dir))).phrases)
+    return lexicon.token_support(lexicon.learn(_customer_lines(spark, sf_dir)).phrases)
 
 
-@query()
+@query(_learned(f"SELECT doc AS doc_id, array_to_string(phrase, ' ') AS phrase, n FROM ({O.person_phrases(_CUSTOMERS)})"))
+def person_phrases(spark, sf_dir):
+    phrases = lexicon.learn(_customer_lines(spark, sf_dir)).phrases
+    return phrases.select("doc_id", F.array_join("phrase", " ").alias("phrase"), "n")
+
+
+@query(_learned(f"""SELECT doc AS doc_id, para AS para_idx, start, "end", array_to_string(phrase, ' ') AS phrase FROM ({O.candidate_runs(_CUSTOMERS)})"""))
 def candidate_runs(spark, sf_dir):
-    paras = paragraphs(_named_docs(spark, sf_dir))
-    return lexicon.candidate_runs(paras, lexicon.lower_vocab(paras))
+    lines = _customer_lines(spark, sf_dir)
+    return lexicon.candidate_runs(lines, lexicon.lower_vocab(lines)).withColumn("phrase", F.array_join("phrase", " "))
 
 
-@query()
+@query(_learned(f"SELECT doc AS doc_id, token FROM ({O.org_core(_CUSTOMERS)})"))
 def org_core(spark, sf_dir):
-    paras = paragraphs(_named_docs(spark, sf_dir))
-    return lexicon.org_core(lexicon.org_names(paras), lexicon.lower_vocab(paras))
+    lines = _customer_lines(spark, sf_dir)
+    return lexicon.org_core(lexicon.org_names(lines), lexicon.lower_vocab(lines))
 
 
-@query()
+@query(_learned(f"SELECT doc AS doc_id, value AS name, count(*) AS n FROM ({O.org_spans(_CUSTOMERS)}) GROUP BY doc, value"))
+def org_names(spark, sf_dir):
+    return lexicon.org_names(_customer_lines(spark, sf_dir))
+
+
+@query(_learned(f"SELECT doc AS doc_id, token FROM ({O.localities(_CUSTOMERS)})"))
 def learned_localities(spark, sf_dir):
-    return lexicon.learn(paragraphs(_named_docs(spark, sf_dir))).localities
+    return lexicon.learn(_customer_lines(spark, sf_dir)).localities
 
 
 @query()
 def lexicon_match(spark, sf_dir):
-    paras = paragraphs(_named_docs(spark, sf_dir))
-    return entities(detect(paras, Policy(), lexicon.learned_spans(paras, lexicon.learn(paras))))
+    lines = Stages(spark, "customers").write(_customer_lines(spark, sf_dir))
+    return entities(detect(lines, Policy(), lexicon.learned_spans(lines, lexicon.learn(lines))))
 
 
 # ---------------------------------------------------------------- evaluation
 
 
 def _marked(spark, sf_dir):
-    """Tickets with detected spans, and with gold spans made from their text."""
+    """Tickets with detected spans, and with the generator's gold spans."""
     rows = tickets(ship(spark), sf_dir)
     rows = rows.withColumn("spans", static_spans(F.col("text"), Policy(mode="regex"))).withColumn("spans", S.resolve(F.col("spans")))
-    found = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), evaluate.folded(s["label"]).alias("label")))
-    item = lambda pattern, label: F.struct(F.regexp_extract("text", pattern, 1).alias("substring"), F.lit(label).alias("label"))
-    items = F.array(item(r"write to (\S+) ", "EMAIL"), item(r"at (\+91 [0-9 ]+) before", "PHONE"), item("SSN is ([0-9-]+)", "SSN"), item("DOB: ([0-9-]+)", "DOB"), item(r"Server ([0-9.]+) ", "IP_ADDRESS"))
-    return Stages(spark, "marked").write(rows.select("ticket_id", "text", found.cast(evaluate.MARK).alias("pred"), evaluate.gold_spans(F.col("text"), items).cast(evaluate.MARK).alias("gold")))
+    return Stages(spark, "marked").write(rows.select("ticket_id", "text", evaluate.marks("spans").alias("pred"), evaluate.marks("gold").alias("gold")))
 
 
-@query()
+# spans of one text don't overlap one another, so one that covers half of another has no second that does
+_FOLDED = "CASE label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in evaluate.FOLD.items()) + " ELSE label END"
+_EVAL = f"""pred AS MATERIALIZED (SELECT doc, start, "end", {_FOLDED} AS label, original FROM ({_TICKET_ENTITIES})), gold AS MATERIALIZED (SELECT doc, text, start, "end", {_FOLDED} AS label, pool FROM ({_GOLD})),
+pairs AS MATERIALIZED (SELECT p.doc, p.start AS ps, p.label AS pl, g.start AS gs, g.label AS gl, greatest(0, least(p."end", g."end") - greatest(p.start, g.start)) / (greatest(p."end", g."end") - least(p.start, g.start))::DOUBLE AS iou
+  FROM pred p JOIN gold g ON g.doc = p.doc WHERE p.start < g."end" AND g.start < p."end")"""
+_PRF = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall,
+round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 4) AS f1"""
+
+
+def _scores_sql(threshold: float) -> str:
+    return f"""WITH {_EVAL}, hits AS (SELECT * FROM pairs WHERE pl = gl AND iou >= {threshold}), kinds AS (
+SELECT label, 1 AS tp, 0 AS fp, 0 AS fn FROM pred JOIN hits ON hits.doc = pred.doc AND hits.ps = pred.start
+UNION ALL SELECT label, 0, 1, 0 FROM pred p WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc = p.doc AND h.ps = p.start)
+UNION ALL SELECT label, 0, 0, 1 FROM gold g WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc = g.doc AND h.gs = g.start)),
+sums AS (SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM kinds GROUP BY ROLLUP (label))
+SELECT label, tp, fp, fn, {_PRF} FROM sums"""
+
+
+@query(_scores_sql(0.5))
 def prf_by_label(spark, sf_dir):
     return evaluate.scores(_marked(spark, sf_dir))
 
 
-@query()
+@query(_scores_sql(1.0))
 def prf_strict(spark, sf_dir):
     return evaluate.scores(_marked(spark, sf_dir), 1.0)
 
 
-@query()
+@query(f"""WITH {_EVAL}, tokens AS (SELECT doc, CAST(length(lead) AS BIGINT) AS s, length(lead) + length(value) AS e FROM ({O.matches(_TICKETS, '()', chr(92) + 'S+', '()')})),
+told AS (SELECT EXISTS (SELECT 1 FROM pred p WHERE p.doc = t.doc AND p.start < t.e AND t.s < p."end") AS p, EXISTS (SELECT 1 FROM gold g WHERE g.doc = t.doc AND g.start < t.e AND t.s < g."end") AS g FROM tokens t),
+c AS (SELECT count(*) FILTER (WHERE p AND g) AS tp, count(*) FILTER (WHERE p AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT p) AS fn, count(*) FILTER (WHERE NOT p AND NOT g) AS tn FROM told)
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, {_PRF}, round((tp + tn) / (tp + fp + fn + tn), 4) AS accuracy FROM c""")
 def token_confusion(spark, sf_dir):
     return evaluate.token_confusion(_marked(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_EVAL}
+SELECT p.doc AS ticket_id, 'FP' AS kind, p.label, p.original AS found, coalesce((SELECT 'overlaps ' || arg_min(q.gl, q.gs) FROM pairs q WHERE q.doc = p.doc AND q.ps = p.start), 'not PII') AS note
+FROM pred p WHERE NOT EXISTS (SELECT 1 FROM pairs h WHERE h.doc = p.doc AND h.ps = p.start AND h.pl = h.gl AND h.iou >= 0.5)
+UNION ALL SELECT g.doc, 'FN', g.label, g.text[g.start + 1:g."end"], coalesce((SELECT 'overlaps ' || arg_min(q.pl, q.ps) FROM pairs q WHERE q.doc = g.doc AND q.gs = g.start), 'missed entirely')
+FROM gold g WHERE NOT EXISTS (SELECT 1 FROM pairs h WHERE h.doc = g.doc AND h.gs = g.start AND h.pl = h.gl AND h.iou >= 0.5)""")
 def error_examples(spark, sf_dir):
     return evaluate.errors(_marked(spark, sf_dir), "ticket_id")
 
