@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import Stages
 from ..functions import spans as S
+from .detect import Policy, detect, with_static
+from .lexicon import learn, learned_spans
 from .pseudonyms import key_of
 
 #: Labels that count as another in evaluations.
@@ -87,6 +91,30 @@ def scores(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     return sums.select("label", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def evaluate_set(texts: DataFrame, provider: DataFrame | None = None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scores and words of texts(doc_id, para_idx, text, gold) in every mode; gold: an array of start, end and label.
+
+    Scores: mode, matching ('relaxed', overlap of one half, or 'strict'), label (null: all), tp, fp, fn, precision,
+    recall, f1. Words: mode and token_confusion(). The lexicon is learned from the same texts. provider: doc_id,
+    para_idx and spans of an entity model; without it there is no mode 'ner'.
+    """
+    stages = stages or Stages(texts.sparkSession, "evaluation")
+    paras = stages.write(with_static(texts.select("doc_id", "para_idx", "text", "gold")))
+    learned = {"regex": None, "hybrid": learned_spans(paras, learn(paras, stages=stages))} | ({} if provider is None else {"ner": provider})
+    score, word = [], []
+    for mode, more in learned.items():
+        found = stages.write(detect(paras, Policy(mode=mode), more).select("text", marks("spans").alias("pred"), marks("gold").alias("gold")))
+        score += [scores(found, least).select(F.lit(mode).alias("mode"), F.lit(name).alias("matching"), "*") for name, least in (("relaxed", 0.5), ("strict", 1.0))]
+        word.append(token_confusion(found).select(F.lit(mode).alias("mode"), "*"))
+    return reduce(DataFrame.unionByName, score), reduce(DataFrame.unionByName, word)
+
+
+def pooled(scored: DataFrame, by: tuple[str, ...] = ("mode", "matching")) -> DataFrame:
+    """Scores of several sets (tables of scores in a row) added up for each label."""
+    sums = scored.groupBy(*by, "label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    return sums.select(*by, "label", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
 def token_confusion(rows: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, tn, accuracy and the rest over the words of rows(text, pred, gold)."""
     each = rows.select("pred", "gold", F.explode(S.matches(F.col("text"), r"\S+")).alias("t"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import Stages, ship, spread
@@ -430,6 +430,42 @@ def _marked(spark, sf_dir):
     return Stages(spark, "marked").write(rows.select("ticket_id", "text", evaluate.marks("spans").alias("pred"), evaluate.marks("gold").alias("gold")))
 
 
+def _customer_gold(spark, sf_dir):
+    """Customers' tickets as documents of lines, with the generator's gold spans."""
+    place = F.row_number().over(Window.partitionBy("custkey").orderBy("ticket_id")) - 1
+    return tickets(ship(spark), sf_dir).select(F.col("custkey").alias("doc_id"), place.alias("para_idx"), "text", "gold")
+
+
+def _stand_in(lines: DataFrame) -> DataFrame:
+    """A poor entity model: two words with capitals are a person, but for the first of a line."""
+    spans = F.transform(S.matches(F.col("text"), "[A-Z][a-z]+ [A-Z][a-z]+", r"(?<=[a-z.] )"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("PERSON").alias("label"), F.lit(lexicon.PERSON).alias("priority")))
+    return lines.select("doc_id", "para_idx", spans.cast(S.SPAN).alias("spans"))
+
+
+@query()
+def scores_by_mode(spark, sf_dir):
+    """Scores without a lexicon, with the learned one and with a stand-in for an entity model, over each customer's tickets."""
+    lines = Stages(spark, "customers").write(_customer_gold(spark, sf_dir))
+    return evaluate.evaluate_set(lines, _stand_in(lines))[0]
+
+
+@query()
+def pooled_scores(spark, sf_dir):
+    """The same over two halves of the customers, added up."""
+    lines = Stages(spark, "customers").write(_customer_gold(spark, sf_dir))
+    halves = [evaluate.evaluate_set(lines.where(F.col("doc_id") % 2 == k))[0] for k in (0, 1)]
+    return evaluate.pooled(halves[0].unionByName(halves[1]))
+
+
+@query()
+def person_recall_by_pool(spark, sf_dir):
+    """How many of the names of each pool the learned lexicon finds."""
+    lines = Stages(spark, "customers").write(_customer_gold(spark, sf_dir))
+    found = detect(lines, Policy(), lexicon.learned_spans(lines, lexicon.learn(lines)))
+    gold = F.transform("gold", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end"), g["label"].alias("label"), g["pool"].alias("pool")))
+    return evaluate.recall_by_pool(found.select(evaluate.marks("spans").alias("pred"), gold.alias("gold")))
+
+
 # spans of one text don't overlap one another, so one that covers half of another has no second that does
 _FOLDED = "CASE label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in evaluate.FOLD.items()) + " ELSE label END"
 _EVAL = f"""pred AS MATERIALIZED (SELECT doc, start, "end", {_FOLDED} AS label, original FROM ({_TICKET_ENTITIES})), gold AS MATERIALIZED (SELECT doc, text, start, "end", {_FOLDED} AS label, pool FROM ({_GOLD})),

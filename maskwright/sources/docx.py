@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..deploy import ship
+from ..deploy import Stages, ship
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SPACE = "{http://www.w3.org/XML/1998/namespace}space"
 _PART = re.compile(r"word/(?:document|header\d*|footer\d*)\.xml$")
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _IMAGE = re.compile(r"word/media/.+\.(?:png|jpe?g|bmp|tiff?)$", re.I)
 _INVISIBLE = {ord(c): None for c in "​‌‍⁠﻿­"} | {0xA0: " ", 0x202F: " "}
 SEGMENT = "array<struct<start:int,text:string,editable:boolean>>"
@@ -60,8 +61,7 @@ class Package:
     def __init__(self, content: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(content))
         self.trees: dict[str, ET.Element] = {}
-        order = sorted((n for n in self.zip.namelist() if _PART.match(n)), key=lambda n: ("document" not in n, n))
-        for name in order:
+        for name in self._parts():
             data = self.zip.read(name)
             _names(data)
             self.trees[name] = ET.fromstring(data)
@@ -83,11 +83,24 @@ class Package:
         for tree in self.trees.values():
             self.paragraphs += [(True, [[0, node.text, node]]) for node in tree.iter(W + "instrText") if node.text]
 
+    def _parts(self) -> list[str]:
+        """The document, the headers and footers that its sections name, and others by their usual names: a part that no section shows may hold personal data."""
+        names = self.zip.namelist()
+        found = {n for n in names if _PART.match(n)}
+        links, main = "word/_rels/document.xml.rels", "word/document.xml"
+        if links in names and main in names:
+            targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(self.zip.read(links))}
+            sections = ET.fromstring(self.zip.read(main)).iter(W + "sectPr")
+            named = [targets.get(e.get(_RELATION), "") for s in sections for e in s if e.tag in (W + "headerReference", W + "footerReference")]
+            found |= {n for n in (t.removeprefix("/") if t.startswith("/") else f"word/{t}" for t in named) if n in names}
+        return sorted(found, key=lambda n: (n != main, n))
+
     def images(self) -> list[tuple[str, bytes]]:
         return [(n, self.zip.read(n)) for n in self.zip.namelist() if _IMAGE.match(n)]
 
-    def edited(self, edits: dict[int, list[tuple[int, int, str]]]) -> bytes:
-        """The document with edits (start, end, new) of its paragraphs made, properties scrubbed and the preview dropped."""
+    def edited(self, edits: dict[int, list[tuple[int, int, str]]], images: dict[str, bytes] | None = None) -> bytes:
+        """The document with edits (start, end, new) of its paragraphs made, pictures replaced, properties scrubbed and the preview dropped."""
+        images = images or {}
         for i, (code, pieces) in enumerate(self.paragraphs):
             for start, end, new in sorted(edits.get(i, ()), reverse=True):
                 for piece in pieces:
@@ -110,6 +123,8 @@ class Package:
                     data = ET.tostring(self.trees[name], encoding="UTF-8", xml_declaration=True)
                 elif name == "_rels/.rels" and rels is not None:
                     data = rels
+                elif name in images:
+                    data = images[name]
                 elif name == "docProps/core.xml":
                     data = self._scrubbed(self.zip.read(name))
                 else:
@@ -162,40 +177,76 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
 
 
 def docx_images(files: DataFrame) -> DataFrame:
-    """doc_id, image and content of the pictures in documents."""
+    """doc_id, image, content and error of the pictures in documents; a broken file gives one row with its error."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    rows += [(path, name, data) for name, data in Package(content).images()]
-                except Exception:  # noqa: BLE001  # told by docx_paragraphs()
-                    continue
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary()), strict=True)], ["doc_id", "image", "content"])
+                    rows += [(path, name, data, None) for name, data in Package(content).images()]
+                except Exception as e:  # noqa: BLE001  # one broken file must not end the job
+                    rows.append((path, None, None, str(e)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)], ["doc_id", "image", "content", "error"])
 
-    return files.select("path", "content").mapInArrow(run, "doc_id string, image string, content binary")
+    return files.select("path", "content").mapInArrow(run, "doc_id string, image string, content binary, error string")
 
 
-def redacted_files(files: DataFrame, audited: DataFrame) -> DataFrame:
-    """path and content of the documents with all replacements made."""
+def redacted_files(files: DataFrame, audited: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """path and content of the documents with all replacements made, and with pictures (doc_id, image, content) put in place of theirs.
+
+    A document that can't be edited has no content: it is never passed on as it was.
+    """
     edits = audited.groupBy(F.col("doc_id").alias("path")).agg(F.collect_list(F.struct("para_idx", "start", "end", "replacement")).alias("edits"))
+    rows = files.select("path", "content").join(edits, "path", "left")
+    if images is None:
+        rows = rows.withColumn("images", F.array().cast("array<struct<image:string,content:binary>>"))
+    else:
+        rows = rows.join(images.where("image is not null").groupBy(F.col("doc_id").alias("path")).agg(F.collect_list(F.struct("image", "content")).alias("images")), "path", "left")
 
     def run(batches):
         for batch in batches:
             out = []
-            for content, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for content, edits, pictures in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 by: dict[int, list] = {}
                 for e in edits or ():
                     by.setdefault(e["para_idx"], []).append((e["start"], e["end"], e["replacement"]))
                 try:
-                    out.append(Package(content).edited(by))
-                except Exception:  # noqa: BLE001  # told by docx_paragraphs(); never pass an unredacted file on
+                    out.append(Package(content).edited(by, {p["image"]: p["content"] or b"" for p in pictures or ()}))
+                except Exception:  # noqa: BLE001  # told by docx_paragraphs()
                     out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["path", "content"])
 
-    return files.select("path", "content").join(edits, "path", "left").mapInArrow(run, "path string, content binary")
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def write_docx(files: DataFrame, folder: str) -> DataFrame:
+    """Writes each document (path, content) to a folder of any store, under its own name; path, target and error of each.
+
+    Two documents of one name get the later part of their path before it; a document without content is not written.
+    """
+    target = F.element_at(F.split("path", "/"), -1)
+    same = files.groupBy(target.alias("name")).agg(F.count(F.lit(1)).alias("same"))
+    named = files.join(same, target == F.col("name")).select("path", "content", F.when(F.col("same") > 1, F.concat_ws("-", F.substring(F.sha2("path", 256), 1, 8), "name")).otherwise(F.col("name")).alias("name"))
+
+    def run(batches):
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        where.create_dir(root, recursive=True)
+        for batch in batches:
+            targets, errors = [], []
+            for path, content, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                to, error = f"{root.rstrip('/')}/{name}", None if content is not None else "no content"
+                if content is not None:
+                    with where.open_output_stream(to) as f:
+                        f.write(content)
+                targets.append(to if error is None else None)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(targets, pa.string()), pa.array(errors, pa.string())], ["path", "target", "error"])
+
+    return named.mapInArrow(run, "path string, target string, error string")
 
 
 def changed_images(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -204,14 +255,26 @@ def changed_images(before: DataFrame, after: DataFrame) -> DataFrame:
     return pair.where(F.col("a.content") != F.col("b.content")).select("doc_id", "image")
 
 
-def redact_docx(files: DataFrame, policy=None) -> tuple[DataFrame, DataFrame]:
-    """The redacted files, and the audit table (with originals: for trusted eyes only)."""
-    from ..operators.detect import Policy
+def redact_docx(files: DataFrame, policy=None, stages: Stages | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The redacted files, the audit table (with originals: for trusted eyes only) and a report of the pictures.
+
+    Pictures are redacted where an engine is registered (sources.images), else they stay and the report says so.
+    """
+    from ..operators.detect import Policy, with_static
     from ..operators.lexicon import learn
     from ..operators.redact import audit
+    from . import images as I
 
     policy = policy or Policy()
-    paras = docx_paragraphs(files).where("error is null")
-    lexicon = learn(paras.where("not field_code")) if policy.mode == "hybrid" else None
-    audited = audit(paras.select("doc_id", "para_idx", "text"), policy, lexicon)
-    return redacted_files(files, audited), audited
+    stages = stages or Stages(files.sparkSession, "docx")
+    paras = stages.write(with_static(docx_paragraphs(files).where("error is null")))
+    lexicon = learn(paras.where("not field_code"), stages=stages) if policy.mode == "hybrid" else None
+    audited = stages.write(audit(paras.select("doc_id", "para_idx", "text", "static"), policy, lexicon, stages=stages))
+    found = docx_images(files).where("image is not null")
+    key = F.concat_ws("!", "doc_id", "image")
+    done = I.redact_images(found.select(key.alias("image"), "content"), policy, stages=stages)
+    if policy.images and I.available():
+        done = stages.write(done)
+        placed = found.select("doc_id", F.col("image").alias("name"), key.alias("image")).join(done, "image")
+        return redacted_files(files, audited, placed.select("doc_id", F.col("name").alias("image"), "content")), audited, done.drop("content")
+    return redacted_files(files, audited), audited, done.drop("content")
