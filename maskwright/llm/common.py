@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,6 +48,25 @@ def small(batches: Iterable[pa.RecordBatch], column: int, rows: int = BATCH_ROWS
             i = j
 
 
+def release() -> None:
+    """Gives the memory that a worker has freed back to the system, as workers stay and serve other steps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run):
+    """run(batches) with release() at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """An array's bytes, compressed, with their number before them."""
     raw = a.tobytes()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import session, small
+from .common import releasing, session, small
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
@@ -36,6 +36,8 @@ RATE = 0.08
 LEAST = 8
 #: Items, and characters of items, that one automaton holds.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 4_000_000
+#: Patterns that a worker keeps ready.
+PATTERNS = 4096
 #: Characters beside a piece that are looked at first.
 GLANCE = 64
 
@@ -111,6 +113,8 @@ class Finder:
     def _pattern(self, i: int, a: int, b: int, back: bool) -> Pattern:
         key = (i, a, b, back)
         if key not in self.patterns:
+            if len(self.patterns) >= PATTERNS:
+                self.patterns.clear()
             part = self.items[i][1][a:b]
             self.patterns[key] = Pattern(part[::-1] if back else part)
         return self.patterns[key]
@@ -195,7 +199,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFra
                     ["doc_id", "item_id", "distance", "start", "end"],
                 )
 
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
+        return docs.select("doc_id", "text").mapInArrow(releasing(run), schema)
 
     found = [search(b) for b in blocks(items)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
@@ -214,11 +218,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
             for batch in small(batches, at):
                 yield batch.filter(pa.array([not finder.find(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(releasing(run), docs.schema)
 
     return reduce(without, blocks(items), docs)
 
-
-def leaks_by_document(found: DataFrame) -> DataFrame:
-    """doc_id and n_items for each document that holds an item."""
-    return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"))

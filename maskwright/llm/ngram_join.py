@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import LOWER, Stages, input_bytes, loosen, mix, partitions, session, small, span_hashes, squeeze, text_pieces, word_spans
+from .common import LOWER, Stages, input_bytes, loosen, mix, partitions, releasing, session, small, span_hashes, squeeze, text_pieces, word_spans
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 75
@@ -62,9 +62,9 @@ LEVELS = 1
 #: Sets in a block of members that are compared with another block.
 BLOCK = 512
 #: Tokens that a task gathers before it sends them on; input bytes whose tokens a task holds at once.
-FLUSH, RANGE_BYTES = 2 << 20, 64 << 20
+FLUSH, RANGE_BYTES = 1 << 20, 4 << 20
 #: Ranges that one partition is divided into, at most.
-MOST_RANGES = 256
+MOST_RANGES = 1024
 #: Parts of a key in salted joins.
 SALTS = 16
 
@@ -214,10 +214,10 @@ def _count(batches: Iterator[pa.RecordBatch]):
         if not parts:
             continue
         tokens = np.concatenate([p[3] for p in parts])
-        weight = np.concatenate([np.ones(len(p[3]), np.int64) if p[1] == 1 else np.frombuffer(p[4], np.int64) for p in parts])
+        weight = np.concatenate([np.ones(len(p[3]), np.int32) if p[1] == 1 else np.frombuffer(p[4], np.int64).astype(np.int32) for p in parts])
         order = np.argsort(tokens)
         begin, size = _runs(tokens[order])
-        total = np.add.reduceat(weight[order], begin)
+        total = np.add.reduceat(weight[order], begin, dtype=np.int64)
         often = np.empty(len(tokens), np.uint8)
         often[order] = np.repeat(frequency_class(total), size)
         del order, weight
@@ -500,8 +500,8 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _found(sets: DataFrame, n: int, level: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b), and the long lists' members (pivot, name), of sets."""
-    signed = sets.select("n", "name", "rare", "tokens", "classes").mapInArrow(_sign(n, level), _PARCEL)
-    found = stages.write(_dealt(signed, "slot", n).mapInArrow(_meet, _FOUND))
+    signed = sets.select("n", "name", "rare", "tokens", "classes").mapInArrow(releasing(_sign(n, level)), _PARCEL)
+    found = stages.write(_dealt(signed, "slot", n).mapInArrow(releasing(_meet), _FOUND))
     pairs = found.where("kind = 0").select("a", "b").distinct()
     # members of a block's pivot are members of the lists that the pivot is in
     own = found.where("kind = 2").select(F.col("a").alias("top"), F.col("b").alias("name")).distinct()
@@ -623,9 +623,9 @@ def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
     parts = partitions(spark)
     # ranges: so many that one fits a worker, by the optimizer's estimate, which may be far too high
     n = parts * min(MOST_RANGES, max(1, -(-input_bytes(docs.select("text")) // (parts * RANGE_BYTES))))
-    parcels = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_hash(F.col("text")).alias("h")).mapInArrow(_send(n), _PARCEL)
-    counted = _dealt(parcels, "slot", n).mapInArrow(_count, _PARCEL)
-    known = stages.write(_dealt(counted, "flush", n).mapInArrow(_gather, _SETS), codec="none")
+    parcels = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_hash(F.col("text")).alias("h")).mapInArrow(releasing(_send(n)), _PARCEL)
+    counted = _dealt(parcels, "slot", n).mapInArrow(releasing(_count), _PARCEL)
+    known = stages.write(_dealt(counted, "flush", n).mapInArrow(releasing(_gather), _SETS), codec="none")
     rows = known.where("kind = 0").select("doc_id", "h", "n", "name")
     sets = stages.write(known.where("kind = 1").select("n", "name", "rare", "tokens", "classes").dropDuplicates(["name"]), codec="none")
     pairs, members = _found(sets, n, 0, stages)

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, session, small, span_hashes, text_pieces, word_spans
+from .common import LOWER, mix, release, releasing, session, small, span_hashes, text_pieces, word_spans
 
 #: Labelled rows used for fitting and bytes of their texts, at most; least probability of a kept text; hash bits of each kind of feature.
 FIT_ROWS, FIT_BYTES, THRESHOLD, BITS = 3000, 64 << 20, 0.3, 16
 KINDS, U = 3, np.uint64
 #: Text bytes that are counted at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -145,7 +145,7 @@ class Shares:
 
     def __init__(self, texts: list[str]):
         buckets, values, sizes = [], [], []
-        for _, _, data, offs in _chunks(pa.array(texts, pa.large_string())):
+        for _, _, data, offs in text_pieces(pa.array(texts, pa.large_string()), CHUNK // 4):
             keys, shares = [], []
             for bucket, row in Text(data, offs).grams():
                 total = np.bincount(row, minlength=len(offs))
@@ -233,7 +233,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int =
     known = known.select("text", "quality", F.xxhash64("doc_id").alias("h"), F.octet_length("text").cast("bigint").alias("size")).orderBy("h", "size", "text").limit(rows)
     held = F.sum("size").over(Window.orderBy("h", "size", "text").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded rows
     got = known.withColumn("held", held).where(F.col("held") <= most).select("text", "quality").collect()
-    return fit([r["text"] for r in got], [int(r["quality"] > 0) for r in got])
+    model = fit([r["text"] for r in got], [int(r["quality"] > 0) for r in got])
+    del got
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,7 +252,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *counts, "base_failed", "kept", "probability"])
 
     longs = ", ".join(f"{c} bigint" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {longs}, base_failed boolean, kept boolean, probability double")
+    return docs.select("doc_id", "text").mapInArrow(releasing(run), f"doc_id {kind}, {longs}, base_failed boolean, kept boolean, probability double")
 
 
 def _judged(column: pa.Array, model: Model, threshold: float):
@@ -272,4 +275,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
             kept = [k for _, _, _, _, k, _ in _judged(batch.column(at), shared.value, threshold)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, flat, session, small
+from .common import LOWER, flat, releasing, session, small
 
 
 @dataclass(frozen=True)
@@ -270,7 +270,7 @@ def mask_secrets(docs: DataFrame, rules=RULES, text: str = "text", length: str |
                     columns[n] = pa.array(sizes, columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(releasing(clean), schema)
 
 
 def digest(spans: DataFrame, rules=RULES, key: str = "doc_id") -> DataFrame:
