@@ -518,7 +518,7 @@ k AS (SELECT *, sha256('2026|' || CAST(doc_id AS VARCHAR) || '|' || CAST(para_id
 UNION ALL (SELECT doc_id, para_idx, 'B' AS stratum, text FROM k WHERE NOT regexp_matches(text, '@|\\+\\d') ORDER BY h LIMIT 25)"""
 )
 def stratified_sample(spark, sf_dir):
-    return evaluate.stratified_sample(paragraphs(_docs(spark, sf_dir)), r"@|\+\d", 45, 25)
+    return evaluate.stratified_sample(paragraphs(spread(_docs(spark, sf_dir).select("doc_id", "text"))), r"@|\+\d", 45, 25)
 
 
 @query()
