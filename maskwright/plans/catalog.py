@@ -270,7 +270,24 @@ def page_domain_fakes(spark, sf_dir):
     return _page_fakes(spark, sf_dir).select("page_id", "original", "replacement")
 
 
-@query()
+_AS_LINES = "SELECT * FROM lines"
+_COLUMNS = 'SELECT doc, para, start, "end", label, original'
+
+
+def _hybrid(lines: str, doubled=frozenset()) -> str:
+    """Resolved spans with the learned ones, of lines."""
+    return O.resolved(lines, _BUILT_IN, doubled=doubled, learned=O.learned_spans(_AS_LINES))
+
+
+_SPANS = _hybrid(_LINES, frozenset({"card"}))
+_DOC_HYBRID = f"WITH lines AS MATERIALIZED ({_LINES}) {_COLUMNS}, replacement FROM ({O.audited(f'{_COLUMNS} FROM ({_SPANS})', real=O.forbidden(_AS_LINES))})"
+
+
+def _whole_documents(audit: str) -> str:
+    return f"SELECT d.doc_id, r.text FROM documents d LEFT JOIN (SELECT doc, string_agg(redacted, chr(10) ORDER BY para) AS text FROM ({O.redacted(_LINES, audit)}) GROUP BY doc) r ON r.doc = d.doc_id"
+
+
+@query(_whole_documents(_DOC_HYBRID))
 def redacted_documents(spark, sf_dir):
     """Every document with its own learned names, redacted."""
     return redact.redact(_docs(spark, sf_dir))
@@ -279,7 +296,7 @@ def redacted_documents(spark, sf_dir):
 _DOC_AUDIT = O.audited(f'SELECT doc, para, start, "end", label, original FROM ({_DOC_ENTITIES})')
 
 
-@query(f"SELECT d.doc_id, r.text FROM documents d LEFT JOIN (SELECT doc, string_agg(redacted, chr(10) ORDER BY para) AS text FROM ({O.redacted(_LINES, _DOC_AUDIT)}) GROUP BY doc) r ON r.doc = d.doc_id")
+@query(_whole_documents(_DOC_AUDIT))
 def redacted_documents_regex(spark, sf_dir):
     """Every document, redacted without a lexicon."""
     return redact.redact(_docs(spark, sf_dir), Policy(mode="regex"))
@@ -349,7 +366,10 @@ def leaks_by_label(spark, sf_dir):
     return evaluate.leaks(_gold(spark, sf_dir), redact.apply(paras, redact.audit(paras, Policy(mode="regex"))), ["doc_id"], ("label", "pool"))
 
 
-@query()
+_TICKET_HYBRID = f"WITH lines AS MATERIALIZED ({_TICKETS}) {_COLUMNS}, replacement FROM ({O.audited(f'{_COLUMNS} FROM ({_hybrid(_TICKETS)})', real=O.forbidden(_AS_LINES))})"
+
+
+@query(_LEAKS.replace(_AUDIT, _TICKET_HYBRID).replace("{by}", "g.label, g.pool, ") + " GROUP BY g.label, g.pool")
 def leaks_by_mode(spark, sf_dir):
     """The same with the learned lexicon."""
     with_names = Stages(spark, "leaks")
@@ -414,7 +434,7 @@ def learned_localities(spark, sf_dir):
     return lexicon.learn(_customer_lines(spark, sf_dir)).localities
 
 
-@query()
+@query(f"""SELECT doc AS doc_id, para AS para_idx, start, "end", label, priority, original FROM ({_hybrid(_CUSTOMERS)})""")
 def lexicon_match(spark, sf_dir):
     lines = Stages(spark, "customers").write(_customer_lines(spark, sf_dir))
     return entities(detect(lines, Policy(), lexicon.learned_spans(lines, lexicon.learn(lines))))
@@ -453,7 +473,7 @@ def scores_by_mode(spark, sf_dir):
 def pooled_scores(spark, sf_dir):
     """The same over two halves of the customers, added up."""
     lines = Stages(spark, "customers").write(_customer_gold(spark, sf_dir))
-    halves = [evaluate.evaluate_set(lines.where(F.col("doc_id") % 2 == k))[0] for k in (0, 1)]
+    halves = [evaluate.evaluate_set(half, _stand_in(half))[0] for half in (lines.where(F.col("doc_id") % 2 == k) for k in (0, 1))]
     return evaluate.pooled(halves[0].unionByName(halves[1]))
 
 
@@ -468,15 +488,21 @@ def person_recall_by_pool(spark, sf_dir):
 
 # spans of one text don't overlap one another, so one that covers half of another has no second that does
 _FOLDED = "CASE label " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in evaluate.FOLD.items()) + " ELSE label END"
-_EVAL = f"""pred AS MATERIALIZED (SELECT doc, start, "end", {_FOLDED} AS label, original FROM ({_TICKET_ENTITIES})), gold AS MATERIALIZED (SELECT doc, text, start, "end", {_FOLDED} AS label, pool FROM ({_GOLD})),
-pairs AS MATERIALIZED (SELECT p.doc, p.start AS ps, p.label AS pl, g.start AS gs, g.label AS gl, greatest(0, least(p."end", g."end") - greatest(p.start, g.start)) / (greatest(p."end", g."end") - least(p.start, g.start))::DOUBLE AS iou
-  FROM pred p JOIN gold g ON g.doc = p.doc WHERE p.start < g."end" AND g.start < p."end")"""
 _PRF = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall,
 round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 4) AS f1"""
 
 
-def _scores_sql(threshold: float) -> str:
-    return f"""WITH {_EVAL}, hits AS (SELECT * FROM pairs WHERE pl = gl AND iou >= {threshold}), kinds AS (
+def _eval_sql(pred: str, gold: str) -> str:
+    return f"""pred AS MATERIALIZED (SELECT doc, start, "end", {_FOLDED} AS label, original FROM ({pred})), gold AS MATERIALIZED (SELECT doc, text, start, "end", {_FOLDED} AS label, pool FROM ({gold})),
+pairs AS MATERIALIZED (SELECT p.doc, p.start AS ps, p.label AS pl, g.start AS gs, g.label AS gl, greatest(0, least(p."end", g."end") - greatest(p.start, g.start)) / (greatest(p."end", g."end") - least(p.start, g.start))::DOUBLE AS iou
+  FROM pred p JOIN gold g ON g.doc = p.doc WHERE p.start < g."end" AND g.start < p."end")"""
+
+
+_EVAL = _eval_sql(_TICKET_ENTITIES, _GOLD)
+
+
+def _scores_sql(threshold: float, evaluated: str = _EVAL) -> str:
+    return f"""WITH {evaluated}, hits AS (SELECT * FROM pairs WHERE pl = gl AND iou >= {threshold}), kinds AS (
 SELECT label, 1 AS tp, 0 AS fp, 0 AS fn FROM pred JOIN hits ON hits.doc = pred.doc AND hits.ps = pred.start
 UNION ALL SELECT label, 0, 1, 0 FROM pred p WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc = p.doc AND h.ps = p.start)
 UNION ALL SELECT label, 0, 0, 1 FROM gold g WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc = g.doc AND h.gs = g.start)),
@@ -484,6 +510,22 @@ sums AS (SELECT label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS
 SELECT label, tp, fp, fn, {_PRF} FROM sums"""
 
 
+_LINE_KEY = "doc || ':' || para AS doc"
+_CUSTOMER_GOLD = f"""SELECT {_LINE_KEY}, text, g.start AS start, g."end" AS "end", g.label AS label, g.pool AS pool FROM (SELECT custkey AS doc, row_number() OVER (PARTITION BY custkey ORDER BY ticket_id) - 1 AS para, text, gold FROM ({TICKETS})), unnest(gold) AS u(g)"""
+_STAND_IN_SQL = f"SELECT doc, para, CAST(length(lead) AS BIGINT) AS start, value, 'PERSON' AS label, {lexicon.PERSON} AS priority FROM ({O.matches('SELECT * FROM lines', '([a-z.] )', '[A-Z][a-z]+ [A-Z][a-z]+', '()')})"
+_BY_MODE = {"regex": O.resolved(_CUSTOMERS, _BUILT_IN), "hybrid": _hybrid(_CUSTOMERS), "ner": O.resolved(_CUSTOMERS, _BUILT_IN, frozenset({"ORG"}), learned=_STAND_IN_SQL)}
+
+
+def _mode_eval(mode: str) -> str:
+    return _eval_sql(f'SELECT {_LINE_KEY}, start, "end", label, original FROM ({_BY_MODE[mode]})', _CUSTOMER_GOLD)
+
+
+_MODES = " UNION ALL ".join(f"SELECT '{mode}' AS mode, '{name}' AS matching, * FROM ({_scores_sql(least, _mode_eval(mode))})" for mode in _BY_MODE for name, least in (("relaxed", 0.5), ("strict", 1.0)))
+SQL["scores_by_mode"] = SQL["pooled_scores"] = _MODES  # halves of the customers add up to the whole, as each is learned from by itself
+SQL["person_recall_by_pool"] = f"""WITH {_mode_eval("hybrid")} SELECT pool, count(*) AS n, round(avg(CASE WHEN EXISTS (SELECT 1 FROM pairs h WHERE h.doc = g.doc AND h.gs = g.start AND h.pl = 'PERSON' AND h.iou >= 0.5) THEN 1.0::DOUBLE ELSE 0 END), 4) AS recall
+FROM gold g WHERE label = 'PERSON' GROUP BY pool"""
+
+
 @query(_scores_sql(0.5))
 def prf_by_label(spark, sf_dir):
     return evaluate.scores(_marked(spark, sf_dir))

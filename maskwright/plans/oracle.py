@@ -127,11 +127,12 @@ UNION ALL SELECT doc, para, length(lead) + length(one) AS start, substr(value, l
     return f"SELECT doc, para, CAST(stop - length(value) AS BIGINT) AS start, value FROM ({clipped}) WHERE len(regexp_extract_all(value, '\\S+')) >= 2 AND NOT regexp_matches(value, '(?i){X.PUBLIC_BODIES}')"
 
 
-def resolved(source: str, rules, skip=frozenset(), doubled=frozenset()) -> str:
-    """doc, para, start, end, label, priority and original of all spans without a lexicon, overlaps resolved. rules: the package's, with labels and priorities."""
+def resolved(source: str, rules, skip=frozenset(), doubled=frozenset(), learned: str = "") -> str:
+    """doc, para, start, end, label, priority and original of all spans, overlaps resolved. rules: the package's, with labels and priorities; learned: more spans."""
     parts = [(rule_spans("SELECT * FROM lines", r.name, r.name in doubled), r.label, r.priority) for r in rules if r.label not in skip]
     parts += [(q, label, n) for q, label, n in ((address_spans("SELECT * FROM lines"), "ADDRESS", 50), (org_spans("SELECT * FROM lines"), "ORG", 40)) if label not in skip]
     every = " UNION ALL ".join(f"SELECT doc, para, start, value, '{label}' AS label, {n} AS priority FROM ({q})" for q, label, n in parts)
+    every += f" UNION ALL SELECT doc, para, start, value, label, priority FROM ({learned})" if learned else ""
     return f"""WITH lines AS MATERIALIZED ({source}), every AS ({every}),
 ranked AS (SELECT doc, para, list_sort(list_distinct(list({{'p': -priority, 'l': -length(value), 's': start, 'label': label, 'value': value}}))) AS r FROM every GROUP BY doc, para),
 kept AS (SELECT doc, para, unnest(list_reduce(list_prepend([], list_transform(r, lambda x: [x])), lambda a, b: CASE WHEN len(list_filter(a, lambda k: k.s < b[1].s - b[1].l AND b[1].s < k.s - k.l)) > 0 THEN a ELSE list_concat(a, b) END)) AS k FROM ranked)
@@ -233,8 +234,16 @@ def coined(k: str, turn: int) -> str:
     return f"{list(N.ONSETS)}[{h} % {len(N.ONSETS)} + 1] || {list(N.ENDINGS)}[({h} // {len(N.ONSETS)}) % {len(N.ENDINGS)} + 1]"
 
 
-def audited(found: str, mapped: bool = True) -> str:
-    """The rows of found (doc, para, start, end, label, original) with their replacement. mapped: names by the document's token map, else by their own hash."""
+def forbidden(lines: str) -> str:
+    """doc and token: real words of a document's lexicon, which no fake may be."""
+    return f"SELECT DISTINCT doc, unnest(phrase) AS token FROM ({person_phrases(lines)}) UNION {org_core(lines)}"
+
+
+def audited(found: str, mapped: bool = True, real: str = "") -> str:
+    """The rows of found (doc, para, start, end, label, original) with their replacement.
+
+    mapped: names by the document's token map, else by their own hash; real: doc and token of words that are no fakes.
+    """
     draws = [f"CASE WHEN kind = 'first' THEN {pick('first', 'token', N.FIRST, t)} ELSE {pick('last', 'token', N.LAST, t)} END" if t < 3 else coined("token", t) for t in range(P.DRAWS)]
     wants = " UNION ALL ".join(f"SELECT doc, token, {t} AS turn, {q} AS fake FROM todo" for t, q in enumerate(draws))
     word = "\\pL(?:\\pL|[''’-])*\\.?"
@@ -252,7 +261,8 @@ hosts AS MATERIALIZED (SELECT doc, label, original, {_BRAND} AS brand FROM (SELE
 tokens AS (SELECT doc, norm AS token, CASE WHEN label = 'EMAIL' OR (label = 'PERSON' AND (i < n OR n = 2)) THEN 'first' ELSE 'surname' END AS kind, label <> 'EMAIL' AS core FROM marked WHERE own OR (label IN ('ORG', 'LOCALITY') AND i = 2)
   UNION ALL SELECT doc, brand, 'surname', false FROM hosts),
 todo AS MATERIALIZED (SELECT doc, token, max(kind) AS kind FROM tokens WHERE token <> '' GROUP BY doc, token), wants AS ({wants}),
-free AS (SELECT * FROM wants w WHERE NOT EXISTS (SELECT 1 FROM todo r WHERE r.doc IS NOT DISTINCT FROM w.doc AND r.token = lower(w.fake))),
+real AS MATERIALIZED (SELECT doc, token FROM todo{f" UNION SELECT doc, token FROM ({real})" if real else ""}),
+free AS (SELECT * FROM wants w WHERE NOT EXISTS (SELECT 1 FROM real r WHERE r.doc IS NOT DISTINCT FROM w.doc AND r.token = lower(w.fake))),
 owner AS (SELECT doc, min({{'turn': turn, 'h': {draw("owner", "token")}, 'token': token, 'fake': fake}}) AS o FROM free GROUP BY doc, lower(fake)),
 won AS (SELECT doc, o.token AS token, arg_min(o.fake, o.turn) AS fake FROM owner GROUP BY doc, o.token),
 mapped AS MATERIALIZED (SELECT t.doc, t.token, coalesce(w.fake, {unique.replace("token", "t.token")}) AS fake FROM todo t LEFT JOIN won w ON w.doc IS NOT DISTINCT FROM t.doc AND w.token = t.token),
@@ -351,3 +361,51 @@ def localities(lines: str) -> str:
     found = f"SELECT doc, lower(unnest(regexp_extract_all(value, '[A-Z][A-Za-z]{{4,}}'))) AS token FROM ({address_spans(lines)})"
     return f"""SELECT DISTINCT doc, token FROM ({found}) t WHERE token NOT IN {_in(skip)} AND NOT EXISTS (SELECT 1 FROM ({vocabulary(lines)}) v WHERE v.doc = t.doc AND v.token = t.token)
 AND NOT EXISTS (SELECT 1 FROM ({org_core(lines)}) c WHERE c.doc = t.doc AND c.token = t.token)"""
+
+
+def _token_runs(words_: str, tokens: str) -> str:
+    """For each listed word, the run of listed words that begins with it: doc, para, s, r (0) and e."""
+    return f"""SELECT doc, para, start AS s, 0 AS r, max("end") OVER (PARTITION BY doc, para, run) AS e FROM (
+  SELECT *, sum(new) OVER (PARTITION BY doc, para ORDER BY pos) AS run FROM (
+    SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY doc, para ORDER BY pos) = pos - 1 AND regexp_matches(gap, '^[ \\t]+$') THEN 0 ELSE 1 END AS new
+    FROM ({words_}) w WHERE EXISTS (SELECT 1 FROM ({tokens}) t WHERE t.doc = w.doc AND t.token = w.norm)))"""
+
+
+def _leftmost(hits: str) -> str:
+    """Of each line's hits (s, r, e) the leftmost, of least r, then those right of it: doc, para, s and e."""
+    kept = "list_reduce(list_prepend([], list_transform(hs, lambda x: [x])), lambda a, b: CASE WHEN len(a) = 0 OR a[-1].e <= b[1].s THEN list_concat(a, b) ELSE a END)"
+    return f"SELECT doc, para, k.s AS s, k.e AS e FROM (SELECT doc, para, unnest({kept}) AS k FROM (SELECT doc, para, list_sort(list({{'s': s, 'r': r, 'e': e}})) AS hs FROM ({hits}) GROUP BY doc, para))"
+
+
+def learned_spans(lines: str) -> str:
+    """doc, para, start, value, label and priority of people, brands and localities that a document's lexicon finds; lines is a table."""
+    letters = words(lines, "\\pL+")
+    ahead = lambda k: f"lead(norm, {k}) OVER g AS n{k}, lead(gap, {k}) OVER g AS g{k}, lead(\"end\", {k}) OVER g AS e{k}"
+    blank = lambda last, gap: f"CASE WHEN length({last}) = 1 THEN regexp_matches({gap}, '^\\.?[ \\t]+$') ELSE regexp_matches({gap}, '^[ \\t]+$') END"
+    linked, gram, grams, last = "true", "norm", [], "norm"
+    for k, end in enumerate(('"end"', "e1", "e2", "e3")):
+        if k:
+            linked, gram, last = f"{linked} AND {blank(last, f'g{k}')}", f"{gram} || ' ' || n{k}", f"n{k}"
+        grams.append(f"SELECT doc, para, start AS s, {end} AS e, {gram} AS gram FROM ahead WHERE {linked}")
+    good = f"after <> '' AND length(norm) >= 2 AND regexp_matches(after, '^\\p{{Lu}}') AND (NOT (upper(after) = after AND lower(after) <> after) OR (upper(after) = after AND upper(span) = span)) AND norm NOT IN {_in(_NO_NAME)} AND NOT EXISTS (SELECT 1 FROM vocab v WHERE v.doc = x.doc AND v.token = x.norm)"
+    follow = X.NEXT_WORD.replace("'", "''").replace("\\-", "-")
+    business = f"norm IN {_in(X.DESCRIPTORS - {'&', 'and', 'of', 'the'})} OR regexp_matches(token, '^(?:(?i:[IVXLC]{{1,4}})|\\d+)$')"
+    title = matches(lines, f"({X.TITLE})", X.TITLED_NAME.replace("'", "''"), "()")
+    hinted = f"SELECT * FROM ({lines}) WHERE regexp_matches(text, '{X.ADDRESS_HINT}')"
+    return f"""WITH vocab AS MATERIALIZED ({vocabulary(lines)}), phrases AS MATERIALIZED ({person_phrases(lines)}), core AS MATERIALIZED ({org_core(lines)}),
+people AS MATERIALIZED (SELECT doc, token FROM (SELECT doc, unnest(list_distinct(phrase)) AS token FROM phrases) WHERE length(token) >= 3 GROUP BY doc, token HAVING count(*) >= 2 OR (token IN {_in(N.GAZETTEER)} AND length(token) >= 4)),
+letters AS MATERIALIZED ({letters}), ahead AS (SELECT *, {", ".join(ahead(k) for k in (1, 2, 3))} FROM letters WINDOW g AS (PARTITION BY doc, para ORDER BY pos)),
+hits AS (SELECT g.doc, g.para, g.s, -length(array_to_string(p.phrase, '')) AS r, g.e FROM ({" UNION ALL ".join(grams)}) g JOIN phrases p ON p.doc = g.doc AND array_to_string(p.phrase, ' ') = g.gram
+  UNION ALL {_token_runs("SELECT * FROM letters", "SELECT * FROM people")}),
+found AS (SELECT f.doc, f.para, f.s, f.e, l.text, substr(l.text, f.s + 1, f.e - f.s) AS span, regexp_extract(substr(l.text, f.e + 1), '{follow}', 1) AS after, length(regexp_extract(substr(l.text, f.e + 1), '{follow}', 0)) AS more
+  FROM ({_leftmost("SELECT * FROM hits")}) f JOIN ({lines}) l ON l.doc = f.doc AND l.para = f.para),
+persons AS (SELECT doc, para, s, CASE WHEN {good} THEN e + more ELSE e END AS e, text FROM (SELECT *, lower(trim(after, '.')) AS norm FROM found) x
+  UNION ALL SELECT doc, para, length(lead), length(lead) + length(value), text FROM ({title})),
+brands AS (SELECT * FROM (SELECT *, EXISTS (SELECT 1 FROM core c WHERE c.doc = w.doc AND c.token = w.norm AND NOT EXISTS (SELECT 1 FROM people p WHERE p.doc = c.doc AND p.token = c.token)) AS is_core FROM (SELECT * REPLACE (lower(token) AS norm) FROM ({words(lines, "[\\pL\\pN]+")})) w) WHERE is_core OR {business}),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc, para ORDER BY pos) AS run FROM (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY doc, para ORDER BY pos) = pos - 1 AND (regexp_matches(gap, '^\\s+$') OR (regexp_matches(gap, '^\\s*&\\s*$') AND is_core)) THEN 0 ELSE 1 END AS new FROM brands)),
+firms AS (SELECT doc, para, any_value(text) AS text, min(start) AS s, max("end") AS e FROM (SELECT *, min(CASE WHEN is_core THEN start END) OVER (PARTITION BY doc, para, run) AS begin_ FROM runs) WHERE start >= begin_ GROUP BY doc, para, run),
+legal AS (SELECT doc, para, text, s, e + length(regexp_extract(substr(text, e + 1), '^\\s+(?i:{X.LEGAL})')) AS e FROM firms),
+places AS ({_leftmost(_token_runs(f"SELECT w.* FROM letters w WHERE EXISTS (SELECT 1 FROM ({hinted}) h WHERE h.doc = w.doc AND h.para = w.para)", localities(lines)))}),
+every AS (SELECT doc, para, s, e, 'PERSON' AS label, 30 AS priority FROM persons UNION ALL SELECT doc, para, s, e, 'ORG', 39 FROM legal WHERE NOT regexp_matches(substr(text, s + 1, e - s), '(?i){X.PUBLIC_BODIES}')
+  UNION ALL SELECT doc, para, s, e, 'LOCALITY', 35 FROM places)
+SELECT v.doc, v.para, CAST(v.s AS BIGINT) AS start, substr(l.text, v.s + 1, v.e - v.s) AS value, v.label, v.priority FROM every v JOIN ({lines}) l ON l.doc = v.doc AND l.para = v.para"""
