@@ -38,7 +38,7 @@ chance, and would count as equal.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations, groupby
 
 import numpy as np
@@ -526,14 +526,18 @@ def _torn(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     every = members.unionByName(members.select("pivot", F.col("pivot").alias("name")).distinct())
     every = every.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("pivot", "name", F.coalesce("root", "name").alias("root"))
 
+    # a list may be as long as the table: what is known of it goes to each of many parts of it
+    every = every.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
     def torn(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
-        return rows.join(lists, "pivot", "left_semi")
+        lists = rows.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot", parts)
+        return rows.join(lists, ["pivot", "salt"], "left_semi")
 
     rows = torn(every).join(sets.select("name", "n", (F.octet_length("tokens") / 8).cast("bigint").alias("shared")), "name")
-    rows = rows.join(rows.groupBy("pivot").agg(F.min("n").alias("least")), "pivot")
+    rows = rows.join(rows.groupBy("pivot").agg(F.min("n").alias("least")).select("pivot", "least", parts), ["pivot", "salt"])
     able = (100 + PERCENT) * F.col("shared") >= PERCENT * (F.col("n") + F.greatest("least", "shared"))
-    return torn(rows.where(able).select("pivot", "name", "root"))
+    return torn(rows.where(able).select("pivot", "name", "root", "salt")).drop("salt")
 
 
 def _across(placed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -596,7 +600,7 @@ def _compare(key, table):
 
 
 def components(links: DataFrame, stages: Stages) -> DataFrame:
-    """node, root for every node of links(a, b): the least node of its component, by large-star / small-star rounds."""
+    """node and root, the least node of its component, for every node of links(a, b) but the roots, by large-star / small-star rounds."""
     edges, was = stages.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -611,8 +615,8 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
         if was == now or not now[0]:
             break
         was = now
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))  # the last stage stays until the job's end: it is read from here on
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    # every node but the roots now has one edge, to its root; this stage stays until the job's end
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
@@ -629,8 +633,9 @@ def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
     rows = known.where("kind = 0").select("doc_id", "h", "n", "name")
     sets = stages.write(known.where("kind = 1").select("n", "name", "rare", "tokens", "classes").dropDuplicates(["name"]), codec="none")
     pairs, members = _found(sets, n, 0, stages)
-    links = [stages.write(_links(pairs, sets))]
-    roots = stages.write(components(links[0], stages))
+    roots = components(stages.write(_links(pairs, sets)), stages)
+    apart = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    more: list[DataFrame] = []  # links between components, found by what lists are torn
     for level in range(1, LEVELS + 2):
         placed = stages.write(_torn(members, roots, sets))
         if placed.isEmpty():
@@ -638,21 +643,19 @@ def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
         if level <= LEVELS:
             some = stages.write(sets.join(placed.select("name").distinct(), "name", "left_semi"), codec="none")
             pairs, members = _found(some, n, level, stages)
-            apart = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
             pairs = pairs.join(apart[0], "a", "left").join(apart[1], "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-            links.append(stages.write(_links(pairs, some)))
+            more.append(stages.write(_links(pairs, some)))
             stages.drop(some)
         else:
-            links.append(stages.write(_across(placed, sets)))
+            more.append(stages.write(_across(placed, sets)))
         stages.drop(placed)
-        if links[-1].isEmpty():
-            continue
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        roots = stages.write(components(every, stages))
-    out = rows.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
-    out = stages.write(out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.coalesce("root", "name")).alias("root")))
+    out = rows.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    if any(not links.isEmpty() for links in more):
+        # the components are the nodes now
+        between = reduce(DataFrame.unionByName, more).join(apart[0], "a", "left").join(apart[1], "b", "left")
+        joined = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), stages)
+        out = out.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("root", F.coalesce("whole", "root"))
+    out = stages.write(out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("root")).alias("root")))
     stages.drop(known, sets)
     return out
 
