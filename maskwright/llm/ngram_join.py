@@ -601,22 +601,22 @@ def _compare(key, table):
 
 def components(links: DataFrame, stages: Stages) -> DataFrame:
     """node and root, the least node of its component, for every node of links(a, b) but the roots, by large-star / small-star rounds."""
-    edges, was = stages.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = stages.write(small)
-        now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        stages.drop(edges)
-        edges = after
-        if was == now or not now[0]:
-            break
-        was = now
-    # every node but the roots now has one edge, to its root; this stage stays until the job's end
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges = stages.write(small)
+        if last is not None:
+            stages.drop(last)
+        last = edges
+        # done when these are stars: each node has one edge to a lesser one, which has none
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
