@@ -101,10 +101,11 @@ PERSON_STOP = frozenset(
 TITLE = r"\b(?:Mr|Mrs|Ms|Miss|Dr|Shri|Smt|Sri)\.?\s+"
 TITLED_NAME = r"(?:[A-Z][a-z'’\-]+)(?:\s+[A-Z][a-z'’\-]+){0,3}"
 WORD = r"[^\W\d_](?:[^\W\d_]|['’\-])*\.?"
-CONTEXT_LEAD = (
-    r"\b(?i:this is|my name is|i am|i'm|customer|client|user|dear|hi|hello|regards|thanks|thank you|sincerely|cheers|attn|attention|"
-    r"contact person|contact)[ ,:\-]+"
+CONTEXT_CUES = (
+    r"this is|my name is|i am|i'm|customer|client|user|dear|hi|hello|regards|thanks|thank you|sincerely|cheers|attn|attention|"
+    r"contact person|contact"
 )
+CONTEXT_LEAD = rf"\b(?i:{CONTEXT_CUES})[ ,:\-]+"
 CONTEXT_NAME = r"[^\W\d_a-z][^\W\d_]+(?:[ \-][^\W\d_a-z][^\W\d_]+){1,2}"
 NEXT_WORD = r"^[ \t]+([A-Za-z][A-Za-z'’\-]{2,})\b"
 NON_PROSE = r"(?i)\S+@\S+|(?:https?://|www\.)\S+|\b[a-z0-9-]+\.(?:com|co\.in|in|org|net)\b"

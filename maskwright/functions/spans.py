@@ -27,8 +27,15 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def matches(text: Column, body: str, before: str = "", guard: Column | None = None) -> Column:
-    """All matches: ranges of what ``body`` matches right after ``before``. guard: a condition that any text with a match fulfils."""
+#: Pieces that are folded at a time where there may be many: a fold copies what it has found at every step.
+_RUN = 64
+
+
+def matches(text: Column, body: str, before: str = "", guard: Column | None = None, many: bool = False) -> Column:
+    """All matches: ranges of what ``body`` matches right after ``before``.
+
+    guard: a condition that any text with a match fulfils. many: for bodies with hundreds of matches in a text.
+    """
     fenced = F.regexp_replace(text, FLAGS + f"({before})({body})", f"$1{OPEN}$2{CLOSE}")
 
     def step(past: Column, piece: Column) -> Column:
@@ -37,8 +44,19 @@ def matches(text: Column, body: str, before: str = "", guard: Column | None = No
         first = F.struct(F.length(piece).alias("at"), past["found"].alias("found"))
         return F.when(past["at"] < 0, first).otherwise(F.struct((past["at"] + F.length(piece) - 1).alias("at"), F.concat(past["found"], F.array(one)).alias("found")))
 
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast(RANGE).alias("found"))
-    found = F.aggregate(F.split(fenced, OPEN, -1), start, step, lambda past: past["found"])
+    def fold(pieces: Column, at: Column) -> Column:
+        return F.aggregate(pieces, F.struct(at.alias("at"), F.array().cast(RANGE).alias("found")), step, lambda past: past["found"])
+
+    def in_runs(pieces: Column) -> Column:
+        run = lambda k: F.slice(pieces, k * _RUN + 1, F.lit(_RUN))
+        runs = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _RUN).cast("int"))
+        # without the closing marks; the first piece of all has none
+        sizes = F.transform(runs, lambda k: F.aggregate(run(k), F.when(k == 0, 1).otherwise(0), lambda a, p: a + F.length(p) - 1))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        return let(begins, lambda b: F.flatten(F.transform(runs, lambda k: fold(run(k), F.when(k == 0, -1).otherwise(F.element_at(b, k + 1))))))
+
+    pieces = F.split(fenced, OPEN, -1)
+    found = let(pieces, in_runs) if many else fold(pieces, F.lit(-1))
     none = F.array().cast(RANGE)
     return F.when(text.isNull() | (text == ""), none).otherwise(found if guard is None else F.when(guard, found).otherwise(none))
 

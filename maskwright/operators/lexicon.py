@@ -10,6 +10,7 @@ start, end, label) can be given, and then decide where to look and which words a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ PERSON, BRAND, LOCALITY = 30, 39, 35
 _J = S.FLAGS
 _PARA = ["doc_id", "para_idx"]
 _INITIAL = r"^[A-Z]\.$"
+_BETWEEN = r"(?U)(?:[^\w'’\-]|[\d_])+"  # what no word of a name holds
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ def words(text: Column, pattern: str = X.WORD) -> Column:
 
             return F.zip_with(found, F.slice(ends, F.lit(1), F.size(found)), one)
 
-        return S.let(S.matches(t, pattern), linked)
+        return S.let(S.matches(t, pattern, many=True), linked)
 
     return S.let(text, within)
 
@@ -93,9 +95,14 @@ def candidate_runs(paras: DataFrame, vocabulary: DataFrame | None, places: DataF
     is not part of the phrase, but of the span.
     """
     caps = F.lit(True) if allow_caps else H.mostly_caps(F.col("text"))
-    rows = paras.select(*_PARA, "text", caps.alias("caps"), F.posexplode(words(F.col("text"))).alias("pos", "w"))
-    rows = rows.select(*_PARA, "caps", "pos", "w.*", F.substring("text", F.lit(1), F.col("w.start")).alias("left"))
-    rows = rows.where(F.col("token").rlike(r"^\p{Lu}"))
+    placed = lambda w, i: F.struct(i.alias("pos"), *(w[c].alias(c) for c in ("start", "end", "token", "norm", "gap")))
+    upper = F.filter(F.transform(words(F.col("text")), placed), lambda w: w["token"].rlike(r"^\p{Lu}"))
+    # a run holds a known name or an initial; most lines can be seen to have neither before their words are taken apart
+    likely = F.exists(F.split(F.lower("text"), _BETWEEN), lambda w: _known(F.ltrim(w, F.lit("'’-")), gazetteer)) | F.col("text").rlike(r"[A-Z]\.")
+    rows = paras.where(likely).select(*_PARA, "text", upper.alias("ws"))
+    rows = rows.where(F.exists("ws", lambda w: _known(w["norm"], gazetteer) | w["token"].rlike(_INITIAL)))
+    rows = rows.select(*_PARA, "text", caps.alias("caps"), F.explode("ws").alias("w"))
+    rows = rows.select(*_PARA, "caps", "w.*", F.substring("text", F.lit(1), F.col("w.start")).alias("left"))
     opening = F.rtrim(F.regexp_replace("left", r"(?U)\s+$", ""))
     rows = rows.withColumn("opens", ((opening == "") | opening.rlike(r"[.!?]$")) & ~_known(F.col("norm"), gazetteer)).drop("left")
     rows = rows.withColumn("initial", F.col("token").rlike(_INITIAL))
@@ -125,6 +132,11 @@ def _usable(rows: DataFrame, paras: DataFrame) -> DataFrame:
     return seen.where(clear & ~follows).drop("text", "orgs")
 
 
+def _titled(text: Column) -> Column:
+    """Names after a title."""
+    return S.matches(text, X.TITLED_NAME, X.TITLE, text.rlike("Mr|Ms|Miss|Dr|Shri|Smt|Sri"))
+
+
 def person_phrases(paras: DataFrame, vocabulary: DataFrame, places: DataFrame | None = None, proposals: DataFrame | None = None, gazetteer: frozenset[str] = N.GAZETTEER) -> DataFrame:
     """doc_id, phrase and n, the number of paragraphs in which the name stands."""
     runs = candidate_runs(paras, vocabulary, places, gazetteer=gazetteer)
@@ -134,9 +146,9 @@ def person_phrases(paras: DataFrame, vocabulary: DataFrame, places: DataFrame |
         inside = runs.join(where, _PARA).where("start >= s and end <= e").select(*_PARA, "start", "end", "phrase")
         runs = inside.unionByName(runs.join(people, _PARA, "left_semi")).distinct()
     found = _usable(runs, paras).select(*_PARA, "phrase")
-    titled = paras.select(*_PARA, F.explode(F.transform(S.matches(F.col("text"), X.TITLED_NAME, X.TITLE), lambda s: S.part(F.col("text"), s))).alias("name"))
+    titled = paras.select(*_PARA, F.explode(F.transform(_titled(F.col("text")), lambda s: S.part(F.col("text"), s))).alias("name"))
     titled = titled.select(*_PARA, F.transform(F.split("name", r"(?U)\s+"), H.norm).alias("phrase"))
-    cued = paras.select(*_PARA, "text", H.mostly_caps(F.col("text")).alias("caps"), F.explode(S.matches(F.col("text"), X.CONTEXT_NAME, X.CONTEXT_LEAD)).alias("s"))
+    cued = paras.select(*_PARA, "text", H.mostly_caps(F.col("text")).alias("caps"), F.explode(S.matches(F.col("text"), X.CONTEXT_NAME, X.CONTEXT_LEAD, F.lower("text").rlike(rf"(?<![a-z0-9_])(?:{X.CONTEXT_CUES})[ ,:\-]"))).alias("s"))
     cued = cued.select(*_PARA, "caps", "s.start", "s.end", words(S.part(F.col("text"), F.col("s"))).alias("ws")).where(F.size("ws").between(2, 3))
     each = cued.select(*_PARA, "start", "end", "caps", F.size("ws").alias("n"), F.posexplode("ws").alias("pos", "w")).select(*_PARA, "start", "end", "caps", "n", "pos", "w.token", "w.norm")
     each = each.withColumn("good", _may_be_name(F.col("token"), F.col("norm"), F.col("caps")))
@@ -261,8 +273,16 @@ def _as_spans(ranges: DataFrame, label: str, priority: int) -> DataFrame:
     return ranges.select(*_PARA, F.col("start").cast("int"), F.col("end").cast("int"), F.lit(label).alias("label"), F.lit(priority).alias("priority"))
 
 
+def _with_any(paras: DataFrame, *tables: DataFrame) -> DataFrame:
+    """The lines of documents that a table has any row of: few documents have names, and only their words are taken apart."""
+    docs = reduce(DataFrame.unionByName, (t.select("doc_id") for t in tables)).distinct()
+    return paras.join(docs, "doc_id", "left_semi")
+
+
 def person_spans(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Learned names, with one more name-like word after them, and names after a title."""
+    titled = paras.select(*_PARA, F.explode(_titled(F.col("text"))).alias("s")).select(*_PARA, "s.*")
+    paras = _with_any(paras, lexicon.phrases)  # the tokens are of phrases
     phrases = lexicon.phrases.select("doc_id", F.array_join("phrase", " ").alias("gram"), F.aggregate("phrase", F.lit(0), lambda a, t: a + F.length(t)).alias("size"))
     hits = _grams(paras).join(phrases, ["doc_id", "gram"]).select(*_PARA, "start", "end", (-F.col("size")).alias("rank"))
     runs = _token_runs(paras, lexicon.person_tokens).select(*_PARA, "start", "end", F.lit(0).alias("rank"))
@@ -275,13 +295,13 @@ def person_spans(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
     found = found.withColumn("more", blanks)
     found = _without(_without(found, lexicon.lower_vocab, "norm"), lexicon.place_tokens, "norm")
     found = found.select(*_PARA, "start", (F.col("end") + F.when(F.col("good"), F.col("more")).otherwise(0)).alias("end"))
-    titled = paras.select(*_PARA, F.explode(S.matches(F.col("text"), X.TITLED_NAME, X.TITLE)).alias("s")).select(*_PARA, "s.*")
     return _as_spans(found.unionByName(titled), "PERSON", PERSON)
 
 
 def brand_spans(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Runs that begin with a learned brand word and go on with such, business words, numerals and a legal suffix."""
     core = lexicon.org_core.join(lexicon.person_tokens, ["doc_id", "token"], "left_anti").withColumn("core", F.lit(True))
+    paras = _with_any(paras, lexicon.org_core)
     rows = paras.select(*_PARA, F.posexplode(words(F.col("text"), r"[^\W_]+")).alias("pos", "w")).select(*_PARA, "pos", "w.start", "w.end", "w.gap", "w.token", F.lower("w.token").alias("norm"))
     rows = rows.join(core.select("doc_id", F.col("token").alias("norm"), "core"), ["doc_id", "norm"], "left").withColumn("core", F.coalesce("core", F.lit(False)))
     follows = F.col("norm").isin(*(X.DESCRIPTORS - {"&", "and", "of", "the"})) | F.col("token").rlike(r"^(?:(?i)[IVXLC]{1,4}|\d+)$")
@@ -300,6 +320,7 @@ def brand_spans(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def locality_spans(paras: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Learned localities: those that a provider calls places anywhere, the others where a line looks like an address."""
+    paras = _with_any(paras, lexicon.localities)
     hinted = paras.where(F.col("text").rlike(_J + X.ADDRESS_HINT))
     if lexicon.place_tokens is None:
         return _as_spans(_leftmost(_token_runs(hinted, lexicon.localities).withColumn("rank", F.lit(0))), "LOCALITY", LOCALITY)
