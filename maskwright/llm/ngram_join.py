@@ -62,7 +62,7 @@ LEVELS = 1
 #: Sets in a block of members that are compared with another block.
 BLOCK = 512
 #: Tokens that a task gathers before it sends them on; input bytes whose tokens a task holds at once.
-FLUSH, RANGE_BYTES = 1 << 20, 4 << 20
+FLUSH, RANGE_BYTES = 1 << 20, 16 << 20
 #: Ranges that one partition is divided into, at most.
 MOST_RANGES = 1024
 #: Parts of a key in salted joins.
@@ -514,7 +514,8 @@ def _dealt(parcels: DataFrame, key: str, n: int) -> DataFrame:
     """Parcels by key, sorted, so that a task holds one key's at a time."""
     parts = partitions(parcels.sparkSession)
     place = F.expr(f"cast({key} * {parts} div {n} as int)") if key == "slot" else F.expr(f"cast(pmod(xxhash64({key}), {parts}) as int)")
-    return parcels.repartitionById(parts, place).sortWithinPartitions(key)
+    dealt = parcels.repartitionById(parts, place)
+    return dealt if key == "slot" and n == parts else dealt.sortWithinPartitions(key)  # a partition of one range needs no order
 
 
 def _torn(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
