@@ -40,6 +40,14 @@ def mostly_caps(text: Column) -> Column:
     return (letters > 0) & (F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) > 0.7 * letters)
 
 
+def for_entities(text: Column) -> Column:
+    """The text as an entity model reads it best: a line mostly in capitals is put in title case, if that keeps its length."""
+    letter = lambda c: c.rlike(r"(?U)^\p{L}$")
+    chars = F.split(text, "")
+    titled = F.array_join(F.transform(chars, lambda c, i: F.when((i > 0) & letter(F.get(chars, i - 1)), F.lower(c)).otherwise(F.upper(c))), "")
+    return F.when(mostly_caps(text) & (F.length(titled) == F.length(text)), titled).otherwise(text)
+
+
 def keep_case(like: Column, word: Column) -> Column:
     """The word in the case of another: upper (of two characters or more), lower, or as it is."""
     up = (F.upper(like) == like) & (F.lower(like) != like)

@@ -87,6 +87,28 @@ def lower_vocab(spark, sf_dir):
     return lexicon.lower_vocab(spread(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
+_FORMS = "SELECT DISTINCT unnest(regexp_extract_all(t, '[A-Za-z.]+')) AS token FROM (SELECT unnest([text, upper(text), lower(text)]) AS t FROM (" + TICKETS + "))"
+
+
+@query(f"""SELECT token, lower(trim(token, '.')) AS norm, regexp_matches(lower(trim(token, '.')), '^[ivxlc]{{1,4}}$') AS roman,
+CASE WHEN upper(token) = token AND lower(token) <> token AND length(token) > 1 THEN 'WORD' WHEN lower(token) = token AND upper(token) <> token THEN 'word' ELSE 'Word' END AS cased FROM ({_FORMS})""")
+def word_forms(spark, sf_dir):
+    """Every word of the tickets, also in capitals and lower case: as it is looked up, whether it is a numeral, and its case put on another."""
+    texts = tickets(ship(spark), sf_dir).select(F.explode(F.array("text", F.upper("text"), F.lower("text"))).alias("t"))
+    each = texts.select(F.explode(F.regexp_extract_all("t", F.lit("([A-Za-z.]+)"), F.lit(1))).alias("token")).distinct()
+    return each.select("token", H.norm(F.col("token")).alias("norm"), H.is_roman(H.norm(F.col("token"))).alias("roman"), H.keep_case(F.col("token"), F.lit("Word")).alias("cased"))
+
+
+_TITLE_CASE = "array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(t[i - 1], '[A-Za-z]') THEN lower(t[i]) ELSE upper(t[i]) END), '')"
+
+
+@query(f"SELECT ticket_id, t AS text, CASE WHEN length(regexp_replace(t, '[^A-Z]', '', 'g')) > 0.7 * length(regexp_replace(t, '[^A-Za-z]', '', 'g')) THEN {_TITLE_CASE} ELSE t END AS prepared FROM (SELECT ticket_id, unnest([text, upper(text)]) AS t FROM ({TICKETS}))")
+def lines_for_entities(spark, sf_dir):
+    """Tickets and their capitals as an entity model gets them."""
+    texts = tickets(ship(spark), sf_dir).select("ticket_id", F.explode(F.array("text", F.upper("text"))).alias("text"))
+    return texts.select("ticket_id", "text", H.for_entities(F.col("text")).alias("prepared"))
+
+
 # ---------------------------------------------------------------- single rules
 
 
