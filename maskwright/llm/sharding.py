@@ -27,7 +27,7 @@ from .common import Stages, session
 #: Bits of a hash; those that the first ranges are told apart by; those of their parts.
 BITS, TOP, FAN = 60, 12, 6
 #: Bits of the cells of hashes in which rows are ranked, and rows from which a cell is divided.
-CELLS, FULL = 12, 1000
+CELLS, FULL = 12, 256
 
 
 def order_key(text: Column) -> Column:
