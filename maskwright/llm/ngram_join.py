@@ -501,7 +501,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _found(sets: DataFrame, n: int, level: int, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b), and the long lists' members (pivot, name), of sets."""
     signed = sets.select("n", "name", "rare", "tokens", "classes").mapInArrow(releasing(_sign(n, level)), _PARCEL)
-    found = stages.write(_dealt(signed, "slot", n).mapInArrow(releasing(_meet), _FOUND))
+    found = stages.write(_few(_dealt(signed, "slot", n).mapInArrow(releasing(_meet), _FOUND)))
     pairs = found.where("kind = 0").select("a", "b").distinct()
     # members of a block's pivot are members of the lists that the pivot is in
     own = found.where("kind = 2").select(F.col("a").alias("top"), F.col("b").alias("name")).distinct()
@@ -518,6 +518,11 @@ def _dealt(parcels: DataFrame, key: str, n: int) -> DataFrame:
     return dealt if key == "slot" and n == parts else dealt.sortWithinPartitions(key)  # a partition of one range needs no order
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows in a quarter of the partitions: steps that are small beside the tokens make many small files otherwise."""
+    return rows.coalesce(max(1, partitions(rows.sparkSession) // 4))
+
+
 def _torn(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """pivot, name and root of the members (and the pivot) of lists that are more than one component; a set without links is its own root.
 
@@ -610,7 +615,7 @@ def components(links: DataFrame, stages: Stages) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = stages.write(small)
+        edges = stages.write(_few(small))
         if last is not None:
             stages.drop(last)
         last = edges
@@ -630,7 +635,7 @@ def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
     n = parts * min(MOST_RANGES, max(1, -(-input_bytes(docs.select("text")) // (parts * RANGE_BYTES))))
     parcels = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _text_hash(F.col("text")).alias("h")).mapInArrow(releasing(_send(n)), _PARCEL)
     counted = _dealt(parcels, "slot", n).mapInArrow(releasing(_count), _PARCEL)
-    known = stages.write(_dealt(counted, "flush", n).mapInArrow(releasing(_gather), _SETS), codec="none")
+    known = stages.write(_few(_dealt(counted, "flush", n).mapInArrow(releasing(_gather), _SETS)), codec="none")
     rows = known.where("kind = 0").select("doc_id", "h", "n", "name")
     sets = stages.write(known.where("kind = 1").select("n", "name", "rare", "tokens", "classes").dropDuplicates(["name"]), codec="none")
     pairs, members = _found(sets, n, 0, stages)
@@ -638,17 +643,17 @@ def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
     apart = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
     more: list[DataFrame] = []  # links between components, found by what lists are torn
     for level in range(1, LEVELS + 2):
-        placed = stages.write(_torn(members, roots, sets))
+        placed = stages.write(_few(_torn(members, roots, sets)))
         if placed.isEmpty():
             break
         if level <= LEVELS:
             some = stages.write(sets.join(placed.select("name").distinct(), "name", "left_semi"), codec="none")
             pairs, members = _found(some, n, level, stages)
             pairs = pairs.join(apart[0], "a", "left").join(apart[1], "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-            more.append(stages.write(_links(pairs, some)))
+            more.append(stages.write(_few(_links(pairs, some))))
             stages.drop(some)
         else:
-            more.append(stages.write(_across(placed, sets)))
+            more.append(stages.write(_few(_across(placed, sets))))
         stages.drop(placed)
     out = rows.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     if any(not links.isEmpty() for links in more):
@@ -656,7 +661,7 @@ def _placed(docs: DataFrame, stages: Stages) -> DataFrame:
         between = reduce(DataFrame.unionByName, more).join(apart[0], "a", "left").join(apart[1], "b", "left")
         joined = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), stages)
         out = out.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("root", F.coalesce("whole", "root"))
-    out = stages.write(out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("root")).alias("root")))
+    out = stages.write(_few(out.select("doc_id", "h", "n", F.when(F.col("n") > 0, F.col("root")).alias("root"))))
     stages.drop(known, sets)
     return out
 
